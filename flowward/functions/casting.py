@@ -12,34 +12,40 @@ MISSING_CELLS = [
 
 _DIGITS = r"\d+(_\d+)*"
 _NUMBER = rf"^[+-]?({_DIGITS}(\.({_DIGITS})?)?|\.{_DIGITS})([eE][+-]?{_DIGITS})?$"
+_PLAIN = r"^[+-]?[0-9]+(\.[0-9]*)?$"
 _SPECIAL = r"(?i)^[+-]?(inf|infinity|nan)$"
 
+# Every character that counts as white space.
+WHITE_SPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
 INF = float("inf")
 NAN = float("nan")
 
 
 def strip(c: Column) -> Column:
     """Drop white space of any kind at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def parse_number(c: Column) -> Column:
     """Text as double; null when it is not a number.
 
-    The pattern guards the cast, which would also take forms such as ``5d``.
-    Digit groups joined by ``_`` and the words inf, infinity and nan count.
+    Plain decimals, the usual case, go straight through the cast. Anything else is
+    held against the full pattern first: the cast would also take forms such as
+    ``5d``, while digit groups joined by ``_`` and signed words count as well.
     """
     text = strip(c)
     special = F.lower(F.regexp_replace(text, r"^[+-]", ""))
-    value = F.when(special == "nan", F.lit(NAN)).when(text.startswith("-"), F.lit(-INF)).otherwise(F.lit(INF))
-    return F.when(text.rlike(_NUMBER), F.regexp_replace(text, "_", "").try_cast("double")).when(
-        text.rlike(_SPECIAL), value
+    word = F.when(special == "nan", F.lit(NAN)).when(text.startswith("-"), F.lit(-INF)).otherwise(F.lit(INF))
+    careful = F.when(text.rlike(_NUMBER), F.regexp_replace(text, "_", "").try_cast("double")).when(
+        text.rlike(_SPECIAL), word
     )
+    return F.when(c.rlike(_PLAIN), c.try_cast("double")).otherwise(careful)
 
 
 def cast_feature(c: Column) -> Column:
     """A JSON value as double; null when absent, null or not numeric. JSON booleans count as 1 and 0."""
-    return F.when(c == "true", F.lit(1.0)).when(c == "false", F.lit(0.0)).otherwise(parse_number(c))
+    return F.when(c.isin("true", "false"), (c == "true").cast("double")).otherwise(parse_number(c))
 
 
 def cast_csv_cell(c: Column) -> Column:

@@ -14,7 +14,7 @@ def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:
 
 def confusion_matrix(df: DataFrame, label: str, pred: str, classes: list) -> DataFrame:
     """The confusion counts with one column per predicted class, zeros included."""
-    return df.groupBy(F.col(label).alias("label")).pivot(pred, classes).agg(F.count("*")).na.fill(0)
+    return df.groupBy(F.col(label).alias("label")).pivot(pred, classes).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def _ratio(a: Column, b: Column) -> Column:

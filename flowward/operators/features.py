@@ -7,9 +7,10 @@ columns: the profile's snake-case names as doubles plus ``errors``.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from flowward.functions.casting import cast_csv_cell, cast_feature, inf_to_zero, strip
 from flowward.profiles import (
@@ -142,8 +143,21 @@ def check_required(df: DataFrame, profile: FeatureProfile) -> dict[str, str]:
     return found
 
 
-def _finish(value: Column, profile: FeatureProfile) -> Column:
-    return inf_to_zero(value) if profile.fuzzy else value
+def _typed(df: DataFrame, profile: FeatureProfile, keep: Sequence[str]) -> DataFrame:
+    """``_values`` (array of doubles in profile order) as one column per feature, after the columns to keep."""
+    return df.select(
+        *keep, *[F.get("_values", F.lit(i)).alias(c) for i, c in enumerate(profile.columns)], "errors"
+    )
+
+
+def _parsed(raw: Column, parse: Callable[[Column], Column], profile: FeatureProfile) -> Column:
+    """All raw texts of a row as doubles. One expression over an array: it stays small for wide profiles."""
+    numbers = F.transform(raw, parse)
+    return F.transform(numbers, inf_to_zero) if profile.fuzzy else numbers
+
+
+def _invalid(feature: Column) -> Column:
+    return F.concat(F.lit("Invalid value for feature '"), feature, F.lit("': expected a number"))
 
 
 def extract_with_profile(
@@ -157,22 +171,11 @@ def extract_with_profile(
     extra = extra_names([c for c in df.columns if c not in keep], profile)
     if extra and not allow_extra:
         raise FeatureError(f"Unexpected columns found: {', '.join(extra)}")
-    types = dict(df.dtypes)
-
-    def value(feature: str) -> Column:
-        source = F.col(f"`{found[feature]}`")
-        return cast_csv_cell(source) if types[found[feature]] == "string" else source.cast("double")
-
-    cells = df.select(
-        *[F.col(f"`{k}`") for k in keep],
-        *[value(f).alias(snake_name(f)) for f in profile.features],
-    )
-    kept = [F.col(f"`{k}`") for k in keep]
-    return cells.select(
-        *kept,
-        *[_finish(F.col(c), profile).alias(c) for c in profile.columns],
-        not_numeric_errors(profile).alias("errors"),
-    )
+    kept = [f"`{k}`" for k in keep]
+    cells = F.array(*[F.col(f"`{found[f]}`").cast("string") for f in profile.features])
+    rows = df.select(*kept, _parsed(cells, cast_csv_cell, profile).alias("_values"))
+    errors = F.transform(_names(profile), lambda f, i: F.when(F.get("_values", i).isNull(), _invalid(f)))
+    return _typed(rows.withColumn("errors", F.filter(errors, lambda e: e.isNotNull())), profile, kept)
 
 
 def extract(
@@ -195,57 +198,48 @@ def extract(
     return extract_with_profile(df, profile, keep=keep), profile
 
 
-def not_numeric_errors(profile: FeatureProfile) -> Column:
-    """Array of messages for typed columns that came out null."""
-    return F.filter(
-        F.array(
-            *[
-                F.when(F.col(c).isNull(), f"Invalid value for feature '{f}': expected a number")
-                for f, c in zip(profile.features, profile.columns)
-            ]
-        ),
-        lambda e: e.isNotNull(),
-    )
-
-
 def extract_messages(df: DataFrame, profile: FeatureProfile, map_col: str = "payload") -> DataFrame:
     """Rows of one profile: its feature columns out of a string map, plus ``errors`` (missing or not numeric).
 
-    An exact key wins over a loosely equal one; loose lookup happens only where the exact key is absent.
+    An exact key wins over a loosely equal one; keys are compared loosely only in
+    rows that lack an exact one. The exact ones are read by one pass over the
+    map as JSON, which is far cheaper than a search of the map per feature.
     """
     m = F.col(map_col)
-    loose = F.transform(F.map_entries(m), lambda e: F.struct(F.lower(strip(e["key"])).alias("k"), e["value"].alias("v")))
-
-    def near(feature: str) -> Column:
-        return F.filter(loose, lambda e: e["k"] == _loose(feature))
-
-    def raw(feature: str) -> Column:
-        if not profile.fuzzy:
-            return m[feature]
-        return F.when(F.map_contains_key(m, feature), m[feature]).otherwise(F.get(near(feature), F.lit(0))["v"])
-
-    def absent(feature: str) -> Column:
-        gone = ~F.map_contains_key(m, feature)
-        return gone & (F.size(near(feature)) == 0) if profile.fuzzy else gone
-
-    typed = df.select("*", *[cast_feature(raw(f)).alias(snake_name(f)) for f in profile.features])
-    errors = F.filter(
-        F.array(
-            *[
-                F.when(
-                    F.col(c).isNull(),
-                    F.when(absent(f), f"Missing required feature: {f}").otherwise(
-                        f"Invalid value for feature '{f}': expected a number"
-                    ),
-                )
-                for f, c in zip(profile.features, profile.columns)
-            ]
-        ),
-        lambda e: e.isNotNull(),
+    schema = StructType([StructField(f, StringType()) for f in profile.features])
+    names = F.array(*[F.struct(F.lit(f).alias("exact"), F.lit(_loose(f)).alias("loose")) for f in profile.features])
+    entries = F.transform(
+        F.map_entries(m), lambda e: F.struct(F.lower(strip(e["key"])).alias("k"), e["value"].alias("v"))
     )
-    return typed.withColumn("errors", errors).withColumns(
-        {c: _finish(F.col(c), profile) for c in profile.columns}
+    complete = F.size(missing_names_col(F.map_keys(m), profile)) == 0
+    none = F.array().cast("array<struct<k:string,v:string>>")
+
+    def given(name: Column) -> Column:
+        return F.map_contains_key(m, name["exact"])
+
+    def near(name: Column) -> Column:
+        return F.get(F.filter("_others", lambda e: e["k"] == name["loose"]), F.lit(0))["v"]
+
+    def error(name: Column, i: Column) -> Column:
+        found = given(name) | F.exists("_others", lambda e: e["k"] == name["loose"])
+        missing = F.concat(F.lit("Missing required feature: "), name["exact"])
+        return F.when(F.get("_values", i).isNull(), F.when(found, _invalid(name["exact"])).otherwise(missing))
+
+    # Each step is used several times by the next, so Spark keeps them apart.
+    rows = df.withColumns(
+        {
+            "_row": F.from_json(F.to_json(m), schema),
+            "_others": F.when(complete, none).otherwise(entries) if profile.fuzzy else none,
+        }
     )
+    raw = F.array(*[F.col("_row")[f] for f in profile.features])
+    if profile.fuzzy:
+        rows = rows.withColumn("_exact", raw)
+        loose = F.transform(names, lambda n, i: F.when(given(n), F.get("_exact", i)).otherwise(near(n)))
+        raw = F.when(F.size("_others") == 0, F.col("_exact")).otherwise(loose)
+    rows = rows.withColumn("_values", _parsed(raw, cast_feature, profile))
+    rows = rows.withColumn("errors", F.filter(F.transform(names, error), lambda e: e.isNotNull()))
+    return _typed(rows, profile, [f"`{c}`" for c in df.columns])
 
 
 # -- packing -------------------------------------------------------------------

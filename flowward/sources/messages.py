@@ -41,7 +41,8 @@ def decode_messages(df: DataFrame) -> DataFrame:
     """
     text = F.col("value").cast("string")
     kept = df.withColumn("text", text).where(F.col("text").isNotNull() & (F.length(strip(F.col("text"))) > 0))
-    return kept.withColumn("payload", _last_wins(F.from_json("text", _MAP)))
+    # Parsed in a step of its own: the step after uses the map several times.
+    return kept.withColumn("payload", F.from_json("text", _MAP)).withColumn("payload", _last_wins(F.col("payload")))
 
 
 def _last_wins(m: Column) -> Column:
@@ -63,5 +64,6 @@ def sender_ip(df: DataFrame) -> Column:
 def unwrap(df: DataFrame) -> DataFrame:
     """Replace the payload by its ``features`` object where it has one; a value that is no object gives null."""
     m = F.col("payload")
-    inner = _last_wins(F.from_json(m["features"], _MAP))
-    return df.withColumn("payload", F.when(F.map_contains_key(m, "features"), inner).otherwise(m))
+    inner = F.from_json(m["features"], _MAP)
+    chosen = df.withColumn("payload", F.when(F.map_contains_key(m, "features"), inner).otherwise(m))
+    return chosen.withColumn("payload", _last_wins(F.col("payload")))

@@ -184,4 +184,9 @@ def write_flows_json(df: DataFrame, fmt: str = "text", **options: str) -> None:
 
 def append_log_csv(df: DataFrame, path: str) -> None:
     """Append rows to a CSV log; each part file carries the header."""
-    df.write.mode("append").option("header", True).csv(path)
+    write_csv(df, path, "append")
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """CSV with header; blanks at the start of names and values are kept."""
+    df.write.mode(mode).csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
