@@ -198,48 +198,84 @@ def extract(
     return extract_with_profile(df, profile, keep=keep), profile
 
 
-def extract_messages(df: DataFrame, profile: FeatureProfile, map_col: str = "payload") -> DataFrame:
-    """Rows of one profile: its feature columns out of a string map, plus ``errors`` (missing or not numeric).
+def message_values(
+    df: DataFrame, profiles: Sequence[FeatureProfile], map_col: str = "payload", profile_col: str = "profile"
+) -> DataFrame:
+    """Add ``_values`` (doubles in the order of the row's profile) and ``errors`` (missing or not numeric).
 
     An exact key wins over a loosely equal one; keys are compared loosely only in
     rows that lack an exact one. The exact ones are read by one pass over the
     map as JSON, which is far cheaper than a search of the map per feature.
+    Store the result before filtering on it: a filter that Spark moves below
+    these steps would repeat them.
     """
     m = F.col(map_col)
-    schema = StructType([StructField(f, StringType()) for f in profile.features])
-    names = F.array(*[F.struct(F.lit(f).alias("exact"), F.lit(_loose(f)).alias("loose")) for f in profile.features])
+    steps: list[dict[str, Column]] = [{}, {}, {}, {}]
+    for p_index, profile in enumerate(profiles):
+        own = F.col(profile_col) == profile.name
+        row, others, exact, values, errors = (f"_{n}{p_index}" for n in ("row", "others", "exact", "values", "errors"))
+        steps[0][row] = F.when(own, F.from_json(F.to_json(m), StructType([StructField(f, StringType()) for f in profile.features])))
+        steps[0][others] = _other_entries(m, profile, own)
+        steps[1][exact] = F.array(*[F.col(row)[f] for f in profile.features])
+        steps[2][values] = F.when(own, _parsed(_raw_texts(m, profile, exact, others), cast_feature, profile))
+        steps[3][errors] = F.when(own, _value_errors(m, profile, values, others))
+    out = df
+    for step in steps:
+        out = out.withColumns(step)
+    count = range(len(profiles))
+    return out.select(
+        *[f"`{c}`" for c in df.columns],
+        F.coalesce(*[F.col(f"_values{i}") for i in count]).alias("_values"),
+        F.coalesce(*[F.col(f"_errors{i}") for i in count]).alias("errors"),
+    )
+
+
+def _name_pairs(profile: FeatureProfile) -> Column:
+    return F.array(*[F.struct(F.lit(f).alias("exact"), F.lit(_loose(f)).alias("loose")) for f in profile.features])
+
+
+def _other_entries(m: Column, profile: FeatureProfile, own: Column) -> Column:
+    """The map's entries under stripped lower-case keys, empty where no loose lookup is needed."""
+    none = F.array().cast("array<struct<k:string,v:string>>")
+    if not profile.fuzzy:
+        return none
     entries = F.transform(
         F.map_entries(m), lambda e: F.struct(F.lower(strip(e["key"])).alias("k"), e["value"].alias("v"))
     )
-    complete = F.size(missing_names_col(F.map_keys(m), profile)) == 0
-    none = F.array().cast("array<struct<k:string,v:string>>")
+    lacking = F.size(missing_names_col(F.map_keys(m), profile)) > 0
+    return F.when(own & lacking, entries).otherwise(none)
+
 
-    def given(name: Column) -> Column:
-        return F.map_contains_key(m, name["exact"])
+def _raw_texts(m: Column, profile: FeatureProfile, exact: str, others: str) -> Column:
+    if not profile.fuzzy:
+        return F.col(exact)
 
-    def near(name: Column) -> Column:
-        return F.get(F.filter("_others", lambda e: e["k"] == name["loose"]), F.lit(0))["v"]
+    def pick(name: Column, i: Column) -> Column:
+        near = F.get(F.filter(others, lambda e: e["k"] == name["loose"]), F.lit(0))["v"]
+        return F.when(F.map_contains_key(m, name["exact"]), F.get(exact, i)).otherwise(near)
 
+    return F.when(F.size(others) == 0, F.col(exact)).otherwise(F.transform(_name_pairs(profile), pick))
+
+
+def _value_errors(m: Column, profile: FeatureProfile, values: str, others: str) -> Column:
     def error(name: Column, i: Column) -> Column:
-        found = given(name) | F.exists("_others", lambda e: e["k"] == name["loose"])
+        found = F.map_contains_key(m, name["exact"]) | F.exists(others, lambda e: e["k"] == name["loose"])
         missing = F.concat(F.lit("Missing required feature: "), name["exact"])
-        return F.when(F.get("_values", i).isNull(), F.when(found, _invalid(name["exact"])).otherwise(missing))
-
-    # Each step is used several times by the next, so Spark keeps them apart.
-    rows = df.withColumns(
-        {
-            "_row": F.from_json(F.to_json(m), schema),
-            "_others": F.when(complete, none).otherwise(entries) if profile.fuzzy else none,
-        }
-    )
-    raw = F.array(*[F.col("_row")[f] for f in profile.features])
-    if profile.fuzzy:
-        rows = rows.withColumn("_exact", raw)
-        loose = F.transform(names, lambda n, i: F.when(given(n), F.get("_exact", i)).otherwise(near(n)))
-        raw = F.when(F.size("_others") == 0, F.col("_exact")).otherwise(loose)
-    rows = rows.withColumn("_values", _parsed(raw, cast_feature, profile))
-    rows = rows.withColumn("errors", F.filter(F.transform(names, error), lambda e: e.isNotNull()))
-    return _typed(rows, profile, [f"`{c}`" for c in df.columns])
+        return F.when(F.get(values, i).isNull(), F.when(found, _invalid(name["exact"])).otherwise(missing))
+
+    return F.filter(F.transform(_name_pairs(profile), error), lambda e: e.isNotNull())
+
+
+def value_columns(df: DataFrame, profile: FeatureProfile) -> DataFrame:
+    """``_values`` of one profile's rows as feature columns."""
+    kept = [f"`{c}`" for c in df.columns if c not in ("_values", "errors")]
+    return _typed(df, profile, kept)
+
+
+def extract_messages(df: DataFrame, profile: FeatureProfile, map_col: str = "payload") -> DataFrame:
+    """Rows of one profile: its feature columns out of a string map, plus ``errors``."""
+    marked = df.withColumn("_profile", F.lit(profile.name))
+    return value_columns(message_values(marked, [profile], map_col, "_profile").drop("_profile"), profile)
 
 
 # -- packing -------------------------------------------------------------------

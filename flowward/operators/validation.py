@@ -64,12 +64,12 @@ def port_error() -> Column:
 
 def negative_errors(profile: FeatureProfile) -> Column:
     """Features other than ratios below -1000."""
-    return _present(
-        [
-            F.when(F.col(snake_name(f)) < LOWEST_NEGATIVE, f"Feature '{f}' has unrealistic negative value")
-            for f in profile.features
-            if "Ratio" not in f
-        ]
+    checked = [f for f in profile.features if "Ratio" not in f]
+    values = F.array(*[F.col(snake_name(f)) for f in checked])
+    names = F.array(*[F.lit(f) for f in checked])
+    low = F.filter(F.arrays_zip(names.alias("name"), values.alias("value")), lambda e: e["value"] < LOWEST_NEGATIVE)
+    return F.transform(
+        low, lambda e: F.concat(F.lit("Feature '"), e["name"], F.lit("' has unrealistic negative value"))
     )
 
 

@@ -116,7 +116,7 @@ def _dropped_sql() -> str:
     parts = []
     for j, c in enumerate(_MIXED):
         strong = " OR ".join(f'abs(corr("{e}", "{c}")) > 0.85' for e in _MIXED[:j]) or "FALSE"
-        parts.append(f"SELECT '{c}' AS \"column\", {strong} AS dropped FROM ({_MIXED_SQL})")
+        parts.append(f"SELECT '{c}' AS \"column\", count(*) > 0 AND ({strong}) AS dropped FROM ({_MIXED_SQL})")
     return " UNION ALL ".join(parts)
 
 

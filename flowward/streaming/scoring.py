@@ -1,7 +1,7 @@
 """Scoring of message streams, one micro-batch at a time with the batch operators.
 
-A micro-batch is decoded, gated, numbered and written once to the shared folder;
-everything after reads that table. All outputs are stored per micro-batch and
+A micro-batch is decoded, gated, parsed, numbered and written once to the shared
+folder; everything after reads that table. All outputs are stored per micro-batch and
 overwritten when it is replayed, so a restart repeats nothing and loses nothing.
 """
 
@@ -12,14 +12,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from flowward.operators.features import detect_profile_col, extract_messages
+from flowward.operators.features import detect_profile_col, message_values, value_columns
 from flowward.operators.joins import admitted_flag, gate_sources
+from flowward.operators.sets import union_all
 from flowward.operators.validation import with_errors
 from flowward.plans.pipeline import RULE_SCORERS, Scorer
 from flowward.sources.flow_files import stream_start_id, with_dense_ids
 from flowward.sources.messages import decode_messages, sender_ip, unwrap
 from flowward.sources.tables import prediction_structs, read_dim, to_prediction_messages, write_scored
-from flowward.operators.sets import union_all
 
 REALTIME = "realtime"
 EXTERNAL = "external_kafka"
@@ -58,16 +58,13 @@ def detected(decoded: DataFrame, scorers: Sequence[Scorer]) -> DataFrame:
 
 def score_numbered(numbered: DataFrame, scorers: Sequence[Scorer]) -> tuple[list[tuple[Scorer, DataFrame]], DataFrame]:
     """Per scorer the scored rows of its profile, and all rows that are left out with the reason."""
-    scored, refused = [], [numbered.where(F.col("reason").isNotNull()).select("id", "created_at", "source", "text", "reason")]
+    told = ["id", "created_at", "source", "text"]
+    scored, refused = [], [numbered.where(F.col("reason").isNotNull()).select(*told, "reason")]
     for s in scorers:
         rows = numbered.where(F.col("reason").isNull() & (F.col("profile") == s.profile.name))
-        checked = with_errors(extract_messages(rows, s.profile), s.profile)
+        checked = with_errors(value_columns(rows, s.profile), s.profile)
         scored.append((s, s.transform(checked.where("valid").drop("errors", "valid"))))
-        refused.append(
-            checked.where(~F.col("valid")).select(
-                "id", "created_at", "source", "text", F.array_join("errors", "; ").alias("reason")
-            )
-        )
+        refused.append(checked.where(~F.col("valid")).select(*told, F.array_join("errors", "; ").alias("reason")))
     return scored, union_all(*refused)
 
 
@@ -99,15 +96,18 @@ def score_batch(
     wanted = detected(decoded, scorers).withColumn(
         "reason", F.when(~F.col("admitted"), "sender not on the whitelist").otherwise(F.col("reason"))
     )
-    columns = ["created_at", "source", "sender_ip", "text", "payload", "profile", "reason"]
-    numbered = with_dense_ids(wanted.select(*columns), stream_start_id(source, batch_number))
+    parsed = message_values(wanted, [s.profile for s in scorers])
+    columns = ["created_at", "source", "sender_ip", "text", "profile", "reason", "_values", "errors"]
+    numbered = with_dense_ids(parsed.select(*columns), stream_start_id(source, batch_number))
     numbered = numbered.withColumn("batch_id", F.lit(None).cast("string"))
 
     load_id = f"{source}-{batch_number}"
-    scored, refused = score_numbered(numbered, scorers)
+    # At most one value per scorer; a scorer without rows is left out.
+    present = {r["profile"] for r in numbered.select("profile").distinct().collect()}
+    scored, refused = score_numbered(numbered, [s for s in scorers if s.profile.name in present])
     for s, rows in scored:
         write_scored(rows, s.profile, root, load_id)
-    if message_sink is not None:
+    if message_sink is not None and scored:
         structs = [prediction_structs(rows, s.profile) for s, rows in scored]
         message_sink(to_prediction_messages(union_all(*structs)), load_id)
     refused.write.mode("overwrite").parquet(f"{root}/quarantine/load_id={load_id}")
