@@ -101,8 +101,8 @@ def correlation_values(df: DataFrame, cols: Sequence[str]) -> list[list[float]]:
     holds only that matrix.
     """
     rows = drop_invalid(df.select(*cols), list(cols))
-    vectors = VectorAssembler(inputCols=list(cols), outputCol="v").transform(rows).select("v")
-    return Correlation.corr(vectors, "v").first()[0].toArray().tolist()
+    vectors = VectorAssembler(inputCols=list(cols), outputCol="_vector").transform(rows).select("_vector")
+    return Correlation.corr(vectors, "_vector").first()[0].toArray().tolist()
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 def union_all(*dfs: DataFrame) -> DataFrame:
     """All rows of all frames, matched by column name; a column one lacks is null there."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
+    return reduce(lambda a, b: a.select("*").unionByName(b, allowMissingColumns=True), dfs)
 
 
 def split_point(key: str, seed: int) -> Column:
