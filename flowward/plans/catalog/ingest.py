@@ -85,8 +85,7 @@ def scored_upload(spark, sf_dir):
 def stored_external_threats(spark, sf_dir):
     """Scored rows written to the result tables; one source read back."""
     root = scratch_path(spark, "tables")
-    events = V.read_table(spark, sf_dir, "events")
-    flows = V.as_view(events, V.FLOW10 | {k: v for k, v in V.MESSAGES.items() if k != "id"})
+    flows = V.as_view(V.events(spark, sf_dir), V.FLOW10 | {k: v for k, v in V.MESSAGES.items() if k != "id"})
     write_scored(rule_threat_score(flows), THREAT_LEGACY, root, "load")
     stored = load_table(spark, "threat_predictions", root).where(F.col("source") == "external_kafka")
     return stored.select("id", "traffic_data_id", "created_at", "prediction_score", "is_attack", "source")

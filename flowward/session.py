@@ -70,3 +70,16 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
 def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``limit`` rows; reads no more than it needs to know."""
     return df.limit(limit + 1).count() <= limit
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores on an input that comes in fewer pieces than there are cores.
+
+    Such an input is small (a few files or splits), while scoring it costs far more
+    than moving it. A large input has pieces enough and is returned as it is.
+    Rows move by a hash of ``keys``, so a re-run task moves them the same way.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from flowward.operators.features import pack_features
 from flowward.operators.scoring import action_rows, rule_attack_class, rule_threat_score
 from flowward.profiles import ATTACK_PROFILE, THREAT_LEGACY
+from flowward.session import spread
 
 
 def _cycle(key: str, step: int, size: int) -> str:
@@ -116,12 +117,20 @@ def as_view(df: DataFrame, view: dict[str, str]) -> DataFrame:
     return df.selectExpr(*[f"{e} AS {c}" for c, e in view.items()])
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read_table(spark, sf_dir, "events"), "event_id")
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read_table(spark, sf_dir, "orders"), "o_orderkey")
+
+
 def flow10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_view(read_table(spark, sf_dir, "events"), FLOW10)
+    return as_view(events(spark, sf_dir), FLOW10)
 
 
 def flow42(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_view(read_table(spark, sf_dir, "orders"), FLOW42)
+    return as_view(orders(spark, sf_dir), FLOW42)
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,8 +147,7 @@ def result_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     An attack prediction belongs to the traffic row with its own id, so some
     traffic has one and some predictions have no traffic here.
     """
-    events = read_table(spark, sf_dir, "events")
-    flows = as_view(events, FLOW10 | {k: v for k, v in MESSAGES.items() if k != "id"})
+    flows = as_view(events(spark, sf_dir), FLOW10 | {k: v for k, v in MESSAGES.items() if k != "id"})
     traffic = pack_features(flows, THREAT_LEGACY).select("id", "created_at", "features", "source", "batch_id")
     threat = rule_threat_score(flow10(spark, sf_dir)).select(
         "id",

@@ -17,6 +17,7 @@ from flowward.operators.joins import admitted_flag, gate_sources
 from flowward.operators.sets import union_all
 from flowward.operators.validation import with_errors
 from flowward.plans.pipeline import RULE_SCORERS, Scorer
+from flowward.session import spread
 from flowward.sources.flow_files import stream_start_id, with_dense_ids
 from flowward.sources.messages import decode_messages, sender_ip, unwrap
 from flowward.sources.tables import prediction_structs, read_dim, to_prediction_messages, write_scored
@@ -84,7 +85,7 @@ def score_batch(
     """
     spark = batch.sparkSession
     at: Column = F.coalesce("timestamp", F.current_timestamp()) if "timestamp" in batch.columns else F.current_timestamp()
-    decoded = decode_messages(batch).withColumns(
+    decoded = decode_messages(spread(batch, "value")).withColumns(
         {"source": F.lit(source), "created_at": at.cast("timestamp"), "sender_ip": F.lit(None).cast("string")}
     )
     if dims_root is not None:
