@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowward.functions.labels import heat_level
-from flowward.operators.joins import recent_complete
+from flowward.operators.joins import recent_complete, tables_of_batch
 from flowward.operators.quantiles import exact_quantiles
 from flowward.operators.recent import top_recent
 from flowward.profiles import ATTACK_LABELS, label_dim
@@ -82,9 +82,10 @@ def list_batches(traffic: DataFrame) -> DataFrame:
 
 def upload_summary(tables: dict[str, DataFrame], batch_id: str) -> DataFrame:
     """Totals of one upload: any row with an attack prediction, benign or not, counts as an attack."""
-    traffic = tables["traffic"].where(F.col("batch_id") == batch_id).select(F.col("id").alias("_key"))
-    threat = tables["threat"].select(F.col("traffic_data_id").alias("_key"), "is_attack")
-    attack = tables["attack"].select(F.col("traffic_data_id").alias("_key"), F.lit(True).alias("_has_attack"))
+    own = tables_of_batch(tables, batch_id)
+    traffic = own["traffic"].select(F.col("id").alias("_key"))
+    threat = own["threat"].select(F.col("traffic_data_id").alias("_key"), "is_attack")
+    attack = own["attack"].select(F.col("traffic_data_id").alias("_key"), F.lit(True).alias("_has_attack"))
     rows = traffic.join(threat, "_key", "left").join(attack, "_key", "left")
     has_attack = F.coalesce("_has_attack", F.lit(False))
     flagged = F.coalesce("is_attack", F.lit(False))

@@ -72,10 +72,23 @@ def recent_complete(tables: dict[str, DataFrame], n: int = 20, include_attack_ro
     return complete_predictions(chosen("traffic", "id"), chosen("threat", "traffic_data_id"), attack, action)
 
 
+def tables_of_batch(tables: dict[str, DataFrame], batch_id: str) -> dict[str, DataFrame]:
+    """The result tables cut down to one upload batch.
+
+    Stored tables are partitioned by load, and an upload's load id starts with its
+    batch id, so only that batch's files are read. Tables without load ids are
+    only filtered on the traffic side.
+    """
+    own = {
+        name: df.where(F.col("load_id").startswith(batch_id + "-")) if "load_id" in df.columns else df
+        for name, df in tables.items()
+    }
+    return own | {"traffic": own["traffic"].where(F.col("batch_id") == batch_id)}
+
+
 def batch_complete(tables: dict[str, DataFrame], batch_id: str) -> DataFrame:
     """The composite rows of one upload batch."""
-    traffic = tables["traffic"].where(F.col("batch_id") == batch_id)
-    return complete_predictions(traffic, tables["threat"], tables["attack"], tables["action"])
+    return complete_predictions(**tables_of_batch(tables, batch_id))
 
 
 def join_actions(attacks: DataFrame, actions: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from flowward.operators.aggregates import upload_summary
 from flowward.operators.features import FeatureError
-from flowward.operators.joins import complete_predictions
+from flowward.operators.joins import batch_complete, complete_predictions
 from flowward.operators.validation import DROP, InvalidRowError
 from flowward.plans.pipeline import score_upload
 from flowward.profiles import ATTACK_PROFILE, THREAT_CURRENT, THREAT_LEGACY, default_sources
@@ -42,6 +43,12 @@ def test_attack_upload(spark, tmp_path):
     assert codes == [{22: 7, 21: 4}.get(p, 0) for p in ATTACK_PORTS]
     assert rows[0]["attack"]["attack_type_encoded"] == expected_class(attack())
     assert rows[2]["action"]["action_params"] == {"ip": "192.168.1.3"} and rows[0]["threat"] is None
+    score_upload(spark, path, str(tmp_path / "out"))
+    tables = load_tables(spark, str(tmp_path / "out"))
+    of_batch = batch_complete(tables, upload.batch_id)
+    assert sorted(r["traffic"]["id"] for r in of_batch.collect()) == list(range(10))
+    assert "PartitionFilters: [isnotnull(load_id" in of_batch._jdf.queryExecution().toString()
+    assert tuple(upload_summary(tables, upload.batch_id).first()) == (10, 10, 0, 100.0)
 
 
 def test_refused_files(spark, tmp_path):
