@@ -13,7 +13,7 @@ from flowward.operators.features import extract
 from flowward.operators.scoring import rule_attack_class, rule_threat_score
 from flowward.operators.validation import FAILFAST, validate
 from flowward.profiles import ATTACK_PROFILE, THREAT_LEGACY, FeatureProfile
-from flowward.session import spread
+from flowward.session import cut_lineage
 from flowward.sources.flow_files import read_flows_csv, stamp
 from flowward.sources.tables import next_upload_id, write_scored
 
@@ -53,7 +53,9 @@ def score_frame(
     batch = batch_id or str(uuid.uuid4())
     keep = ["id"] if "id" in raw.columns else []
     typed, profile = extract(raw, model_type, [s.profile for s in scorers], keep=keep)
-    stamped = spread(stamp(typed, "upload", batch, created_at, start_id), "id")
+    # Numbering stores the typed rows; rows that have their ids are stored here. A filter
+    # on rows that are not stored would be moved below the parsing and repeat it.
+    stamped = stamp(cut_lineage(typed, "typed") if keep else typed, "upload", batch, created_at, start_id)
     good, bad = validate(stamped, profile, policy)
     return Upload(batch, profile, by_profile[profile.name].transform(good), bad)
 

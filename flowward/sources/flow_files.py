@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from flowward.operators.features import FeatureError
 from flowward.operators.sets import union_all
-from flowward.session import cut_lineage
+from flowward.session import cut_lineage, spread
 
 # Ids of rows written by streams: the stream's slot, the micro-batch number, the row's number in it.
 STREAM_SLOTS = {"realtime": 1, "external_kafka": 2, "packet_capture": 3}
@@ -81,7 +81,8 @@ def with_dense_ids(df: DataFrame, start_id: int = 0) -> DataFrame:
         .select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
     )
     return (
-        placed.join(F.broadcast(starts), "_part")
+        spread(placed, "_part", "_row")
+        .join(F.broadcast(starts), "_part")
         .select((low_bits + F.col("_start") + F.lit(start_id)).alias("id"), *[f"`{c}`" for c in df.columns])
     )
 
