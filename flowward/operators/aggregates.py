@@ -113,7 +113,8 @@ def attack_heatmap(df: DataFrame) -> DataFrame:
     """Attacks per weekday and hour on the full 7 x 24 grid, with a heat level per cell."""
     spark = df.sparkSession
     slot = F.weekday("created_at") * 24 + F.hour("created_at")
-    counts = df.where("is_attack").groupBy(slot.alias("slot")).agg(F.count("*").alias("n"))
+    # Counted, not filtered: a filter would move below the scoring and compute the score again.
+    counts = df.groupBy(slot.alias("slot")).agg(_count_if(F.col("is_attack")).alias("n"))
     grid = spark.range(0, 168, 1, 1).select(F.col("id").cast("int").alias("slot"))
     cells = grid.join(F.broadcast(counts), "slot", "left").select("slot", F.coalesce("n", F.lit(0)).alias("count"))
     names = F.array(*[F.lit(d) for d in WEEKDAYS])
