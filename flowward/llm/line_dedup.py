@@ -17,7 +17,8 @@ from flowward.llm.scratch import Scratch
 
 MIN_WORDS = 50
 WORD = r"[^\x20\x09-\x0D]+"
-DOC = ["doc_id", "text_key"]
+#: What tells documents apart, in their order: those without an id come last.
+DOC = ["no_id", "doc_id", "text_key"]
 
 
 def _key(text: F.Column) -> F.Column:
@@ -25,11 +26,12 @@ def _key(text: F.Column) -> F.Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, pos among the non-blank lines, line in the text, words, digest)."""
+    """(``DOC``, pos among the non-blank lines, line in the text, words, digest)."""
     split = F.split("text", "\n")
     numbered = F.transform(split, lambda x, i: F.struct(i.alias("line"), x.alias("x"), F.regexp_count(x, F.lit(WORD)).alias("words")))
     filled = F.filter(numbered, lambda s: s["words"] > 0)
-    rows = docs.select("doc_id", _key(F.col("text")).alias("text_key"), F.posexplode(filled).alias("pos", "s"))
+    doc = [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("doc_id")]
+    rows = docs.select(*doc, _key(F.col("text")).alias("text_key"), F.posexplode(filled).alias("pos", "s"))
     digest = F.unhex(F.substring(F.sha2(F.col("s.x"), 256), 1, 32)).alias("digest")
     return rows.select(*DOC, "pos", F.col("s.line").alias("line"), F.col("s.words").cast("long").alias("words"), digest)
 
@@ -42,7 +44,7 @@ def _ranked(scratch: Scratch, distinct: DataFrame, keys: list[str]) -> DataFrame
 
 
 class RepeatedLines:
-    """``covered``: (doc_id, text_key, line) of all lines in runs that occurred before."""
+    """``covered``: (``DOC``, line) of all lines in runs that occurred before."""
 
     def __init__(self, docs: DataFrame, min_words: int = MIN_WORDS):
         self.min_words = min_words
@@ -112,7 +114,7 @@ class RepeatedLines:
         windows = named[0]
         for more in named[1:]:
             windows = windows.unionByName(more)
-        place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "pos")
+        place = F.struct(*DOC, "pos")
         first = windows.groupBy("size", "head", "tail").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
         later = windows.join(first, ["size", "head", "tail"]).where(place > F.col("first"))
         covered = later.select(*DOC, F.explode(F.sequence("pos", F.col("pos") + F.col("size") - 1)).alias("pos")).distinct()
@@ -132,7 +134,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     repeated = RepeatedLines(narrow.where("text is not null"), min_words)
     gone = repeated.covered.groupBy(*DOC).agg(F.array_sort(F.collect_set("line")).alias("__gone"))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "__gone")
+    doc_id = F.when(~F.col("no_id"), F.col("doc_id"))
+    gone = gone.select(doc_id.alias("__id"), F.col("text_key").alias("__key"), "__gone")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (_key(F.col("text").cast("string")) == F.col("__key"))
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")

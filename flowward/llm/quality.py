@@ -55,16 +55,17 @@ class Limits:
     """``min_words`` and ``max_repeat_percent`` are the base rules; the rest is for the distances.
 
     ``class_words`` and ``histogram_words`` are the least numbers of words for which the histogram of
-    classes and that of common words is compared.
+    classes and that of common words is compared. The distance of common words is a share of the one that
+    a text without any of them has.
     """
 
     min_words: int = 50
     max_repeat_percent: int = 50
     common_words: int = 32
     max_class_distance: float = 0.25
-    max_word_distance: float = 0.62
+    max_word_distance: float = 0.95
     class_words: int = 50
-    histogram_words: int = 150
+    histogram_words: int = 60
 
 
 @dataclass(frozen=True)
@@ -154,6 +155,14 @@ def word_shares(hashes: np.ndarray, words: Words, common: np.ndarray) -> np.ndar
     return _shares(counts)
 
 
+def _from_common(shares: np.ndarray, reference: np.ndarray) -> np.ndarray:
+    """Distances from ``reference`` as shares of that of a text without its common words."""
+    none = np.zeros(len(reference))
+    none[-1] = 1
+    most = divergence(none, reference)
+    return divergence(shares, reference) / most if most > 0 else np.zeros(len(shares))
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of one task's batch: characters by language and class, words by language and hash."""
     for batch in batches:
@@ -243,7 +252,7 @@ def measure(texts: Texts, refs: References, limits: Limits) -> dict[str, np.ndar
         lowered = word_hashes(texts, words, lower=True)
         by_class = np.stack([divergence(counted, ref) for ref in refs.classes], axis=1)
         by_word = np.stack(
-            [divergence(word_shares(lowered, words, c), w) for c, w in zip(refs.common, refs.words, strict=True)], axis=1
+            [_from_common(word_shares(lowered, words, c), w) for c, w in zip(refs.common, refs.words, strict=True)], axis=1
         )
         nearest = np.argmin(by_class + by_word, axis=1)
         class_far, word_far = by_class.min(axis=1), by_word.min(axis=1)

@@ -94,7 +94,7 @@ def host_and_path(url: str = "url") -> tuple[F.Column, F.Column]:
 
 def fitting_rule(host: F.Column, path: F.Column, rules: tuple[tuple[str, str], ...] = RULES) -> F.Column:
     """The longest rule that fits, as struct(verdict, rule); null if none does."""
-    chosen = F.lit(None)
+    chosen = F.lit(None).cast("struct<verdict:string,rule:string>")
     for verdict, rule in sorted(rules, key=lambda r: len(r[1])):
         domain, _, start = rule.partition("/")
         fits = ((host == domain) | host.endswith("." + domain)) & path.startswith("/" + start)
