@@ -6,7 +6,7 @@ import json
 from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowward.ml.encoding import encode
 from flowward.ml.scaling import Scaling
@@ -41,13 +41,21 @@ class ModelBundle:
         return df if self.encoder is None else encode(df, self.encoder, self.encoded)
 
     def apply(self, df: DataFrame) -> DataFrame:
-        """``df`` with the model's output columns."""
-        rows = self.prepare(df)
+        """``df`` with the model's output columns and ``scorable``.
+
+        A row with a feature that is null, NaN or a word the encoder lacks is not scorable; what the
+        model says of it means nothing.
+        """
+        rows = self.prepare(df.withColumns({f"_own_{f}": df[f"`{f}`"] for f in self.features if f in df.columns}))
         kept = rows.withColumns({f"_raw_{f}": rows[f"`{f}`"] for f in self.features})
         scaled = self.scaling.transform(kept) if self.scaling else kept
         out = self.model.transform(scaled)
-        return out.withColumns({f: out[f"`_raw_{f}`"] for f in self.features}).drop(
-            *[f"_raw_{f}" for f in self.features], "_features"
+        known = F.lit(True)
+        for f in self.features:
+            known = known & out[f"`_raw_{f}`"].isNotNull() & ~F.isnan(out[f"`_raw_{f}`"].cast("double"))
+        out = out.withColumn("scorable", known)
+        return out.withColumns({f: out[f"`_own_{f}`"] for f in self.features}).drop(
+            *[f"{mark}{f}" for f in self.features for mark in ("_raw_", "_own_")], "_features"
         )
 
 

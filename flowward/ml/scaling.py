@@ -28,15 +28,15 @@ def fit_standard(df: DataFrame, cols: Sequence[str]) -> Scaling:
     """Mean and population standard deviation."""
     aggs = [f(F.col(f"`{c}`")) for c in cols for f in (F.avg, F.stddev_pop)]
     row = df.agg(*aggs).first()
-    return _scaling(cols, row[0::2], row[1::2])
+    return _scaling(cols, row[0::2], row[1::2])  # an all-null column has neither and is left as it is
 
 
 def fit_robust(df: DataFrame, cols: Sequence[str]) -> Scaling:
     """Exact median and interquartile range."""
     found = {(r["column"], r["prob"]): r["value"] for r in exact_quantiles(df, cols, [0.25, 0.5, 0.75]).collect()}
-    return _scaling(
-        cols, [found[(c, 0.5)] for c in cols], [found[(c, 0.75)] - found[(c, 0.25)] for c in cols]
-    )
+    ranks = [[found.get((c, p)) for p in (0.25, 0.5, 0.75)] for c in cols]
+    widths = [None if low is None or high is None else high - low for low, _, high in ranks]
+    return _scaling(cols, [middle for _, middle, _ in ranks], widths)
 
 
 def scale(df: DataFrame, scaling: Scaling) -> DataFrame:
@@ -44,4 +44,4 @@ def scale(df: DataFrame, scaling: Scaling) -> DataFrame:
 
 
 def _scaling(cols, center, width) -> Scaling:
-    return Scaling(tuple(cols), tuple(float(c) for c in center), tuple(float(w) or 1.0 for w in width))
+    return Scaling(tuple(cols), tuple(float(c or 0) for c in center), tuple(float(w or 1) for w in width))

@@ -21,22 +21,29 @@ DEFAULT_CONFIDENCE = 0.85
 
 
 def score_threat(df: DataFrame, bundle: ModelBundle) -> DataFrame:
-    """Probability of class 1 (or the plain prediction), the decision and the model version."""
+    """Probability of class 1 (or the plain prediction), the decision and the model version.
+
+    Rows that cannot be scored have no score and no decision; see `unscored`.
+    """
     out = bundle.apply(df)
     score = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
-    return _threat_columns(df, out.withColumn("prediction_score", score), bundle.threshold, bundle.version)
+    scored = out.withColumn("prediction_score", F.when(F.col("scorable"), score))
+    return _threat_columns(df, scored, bundle.threshold, bundle.version)
 
 
 def score_attack(df: DataFrame, bundle: ModelBundle) -> DataFrame:
-    """Predicted class, its name and the highest class probability."""
+    """Predicted class, its name and the highest class probability; all null for rows that cannot be scored."""
     out = bundle.apply(df)
     sure = F.array_max(vector_to_array("probability")) if "probability" in out.columns else F.lit(DEFAULT_CONFIDENCE)
-    return _attack_columns(
-        df,
-        out.withColumns({"attack_type_encoded": F.col("prediction").cast("int"), "confidence": sure}),
-        bundle.labels,
-        bundle.version,
-    )
+    results = {"attack_type_encoded": F.col("prediction").cast("int"), "confidence": sure}
+    scored = out.withColumns({c: F.when(F.col("scorable"), v) for c, v in results.items()})
+    return _attack_columns(df, scored, bundle.labels, bundle.version)
+
+
+def unscored(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Scored rows, and those the model could not score."""
+    column = "prediction_score" if "prediction_score" in scored.columns else "attack_type_encoded"
+    return scored.where(F.col(column).isNotNull()), scored.where(F.col(column).isNull())
 
 
 def _threat_columns(df: DataFrame, out: DataFrame, threshold: float, version: str) -> DataFrame:
@@ -77,6 +84,7 @@ class ProfileScorer:
     model: ModelBundle | Callable[[pd.DataFrame], pd.Series]
     threshold: float = DEFAULT_THRESHOLD
     version: str = "custom"
+    finite_only: bool = True  # rows with a value that is no finite number go to quarantine
 
     def transform(self, df: DataFrame) -> DataFrame:
         missing = [c for c in self.profile.columns if c not in df.columns]

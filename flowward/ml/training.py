@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -11,14 +12,17 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 FEATURES = "_features"
 
 
 def _fit(df: DataFrame, features: Sequence[str], classifier) -> PipelineModel:
-    assembler = VectorAssembler(inputCols=list(features), outputCol=FEATURES)
-    return Pipeline(stages=[assembler, classifier]).fit(df)
+    # "keep": a row with a value that is no number is scored as it is, never the end of a job;
+    # the bundle takes its score away. Such rows are not trained on.
+    assembler = VectorAssembler(inputCols=list(features), outputCol=FEATURES, handleInvalid="keep")
+    numbers = reduce(lambda a, b: a & b, [F.col(f"`{f}`").isNotNull() & ~F.isnan(F.col(f"`{f}`").cast("double")) for f in features])
+    return Pipeline(stages=[assembler, classifier]).fit(df.where(numbers))
 
 
 def train_forest(

@@ -13,8 +13,13 @@ def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, label: str, pred: str, classes: list) -> DataFrame:
-    """The confusion counts with one column per predicted class, zeros included."""
-    return df.groupBy(F.col(label).alias("label")).pivot(pred, classes).agg(F.count(F.lit(1))).na.fill(0)
+    """The confusion counts with one column per predicted class, zeros included.
+
+    ``other`` counts the predictions that are in none of ``classes``, null included.
+    """
+    counts = [F.count(F.when(F.col(pred) == c, 1)).alias(str(c)) for c in classes]
+    listed = F.coalesce(F.col(pred).isin(list(classes)), F.lit(False))
+    return df.groupBy(F.col(label).alias("label")).agg(*counts, F.count(F.when(~listed, 1)).alias("other"))
 
 
 def _ratio(a: Column, b: Column) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from flowward.operators.recent import top_recent
-from flowward.session import is_small
 
-SALTS = 16
+# At most so many keys are fetched to the driver as a list of values.
+LISTED = 1000
 
 
 def _nest(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -46,8 +46,9 @@ def recent_complete(tables: dict[str, DataFrame], n: int = 20, include_attack_ro
     """The composite rows of the ``n`` newest predictions.
 
     Newest threat predictions by default; ``include_attack_rows`` also ranks
-    traffic that only has an attack prediction. The chosen keys (1000 at most)
-    are broadcast, so each large table is scanned and filtered but never shuffled.
+    traffic that only has an attack prediction. The chosen keys of all tables are
+    fetched first, ``LISTED`` of them at most, and are filters that reach the scans;
+    more keys than that are joined.
     """
     ranked = tables["threat"].select("created_at", "id", "traffic_data_id")
     if include_attack_rows:
@@ -58,18 +59,25 @@ def recent_complete(tables: dict[str, DataFrame], n: int = 20, include_attack_ro
             .groupBy("traffic_data_id")
             .agg(F.max("created_at").alias("created_at"), F.max("id").alias("id"))
         )
-    keys = F.broadcast(top_recent(ranked, n).select(F.col("traffic_data_id").alias("_chosen")))
+    keys = top_recent(ranked, n).select(F.col("traffic_data_id").alias("_chosen"))
+    chosen = _among(keys, n)
+    attack = chosen(tables["attack"], "traffic_data_id")
+    attacks_chosen = _among(attack.select(F.col("id").alias("_chosen")), n)
+    return complete_predictions(
+        chosen(tables["traffic"], "id"),
+        chosen(tables["threat"], "traffic_data_id"),
+        attack,
+        attacks_chosen(tables["action"], "attack_prediction_id"),
+    )
 
-    def chosen(name: str, key: str) -> DataFrame:
-        df = tables[name]
-        return df.join(keys, df[key] == F.col("_chosen"), "left_semi")
 
-    attack = chosen("attack", "traffic_data_id")
-    attack_keys = F.broadcast(attack.select(F.col("id").alias("_chosen_attack")))
-    action = tables["action"].join(
-        attack_keys, tables["action"]["attack_prediction_id"] == F.col("_chosen_attack"), "left_semi"
-    )
-    return complete_predictions(chosen("traffic", "id"), chosen("threat", "traffic_data_id"), attack, action)
+def _among(keys: DataFrame, n: int):
+    """A filter on the values of ``_chosen``: a list of values if there are few, else a join."""
+    if n <= LISTED:
+        found = [r[0] for r in keys.limit(LISTED + 1).collect() if r[0] is not None]
+        if len(found) <= LISTED:
+            return lambda df, key: df.where(df[key].isin(found))
+    return lambda df, key: df.join(keys, df[key] == F.col("_chosen"), "left_semi")
 
 
 def tables_of_batch(tables: dict[str, DataFrame], batch_id: str) -> dict[str, DataFrame]:
@@ -104,19 +112,19 @@ def join_actions(attacks: DataFrame, actions: DataFrame) -> DataFrame:
     return attacks.join(wanted, attacks["id"] == wanted["attack_prediction_id"], "left").drop("attack_prediction_id")
 
 
-def dim_lookup(facts: DataFrame, dim: DataFrame, key: str, how: str = "left") -> DataFrame:
+def dim_lookup(facts: DataFrame, dim: DataFrame, key: str, how: str = "left", salts: int = 1) -> DataFrame:
     """Join facts to a dimension whose size is not known in advance.
 
-    A dimension that is found to be small is broadcast. A larger one is joined on
-    (key, salt), each of its rows once per salt, so that a key holding a large
-    share of the facts is spread over ``SALTS`` tasks. The salt is a hash of the row
-    and its partition: equal rows spread, and a re-run task salts as before.
+    Spark broadcasts a dimension of few bytes and splits skewed partitions of a larger one as it
+    finds them. With ``salts`` the join is on (key, salt), each row of the dimension once per salt, so
+    that a key holding a large share of the facts is spread over as many tasks. The salt is a hash of
+    the row and its partition: equal rows spread, and a re-run task salts as before.
     """
-    if is_small(dim):
-        return facts.join(F.broadcast(dim), key, how)
-    salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    if salts <= 1:
+        return facts.join(dim, key, how)
+    salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     plain = [c for c, t in facts.dtypes if "map<" not in t and "variant" not in t]
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(F.spark_partition_id(), *plain), F.lit(SALTS)).cast("int"))
+    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(F.spark_partition_id(), *plain), F.lit(salts)).cast("int"))
     return salted.join(salted_dim, [key, "_salt"], how).drop("_salt")
 
 

@@ -13,12 +13,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from flowward.functions.labels import severity
 from flowward.session import cut_lineage
 
-MAX_RECENT = 1000
-
 
 def top_recent(df: DataFrame, n: int = 100) -> DataFrame:
-    """The ``n`` newest rows, 1000 at most."""
-    return df.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(max(0, min(n, MAX_RECENT)))
+    """The ``n`` newest rows, all of them if there are no more."""
+    if n < 0:
+        raise ValueError(f"{n} rows were asked for")
+    return df.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(n)
 
 
 def recent_threats(df: DataFrame, n: int = 100, attacks_only: bool = False, filter_first: bool = False) -> DataFrame:
@@ -109,11 +109,13 @@ def running_totals(df: DataFrame, order: Sequence[str | Column], sums: dict[str,
         .select("_part", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_start_{n}") for n in sums])
     )
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
+    totals = (
         ranged.join(F.broadcast(starts), "_part")
         .withColumns({n: F.col(f"_start_{n}") + F.sum(c).over(inside) for n, c in sums.items()})
         .drop("_part", *[f"_start_{n}" for n in sums])
     )
+    totals._cut_path = ranged._cut_path  # for `discard`, once nothing reads them any more
+    return totals
 
 
 def cumulative(df: DataFrame, order: Sequence[str | Column], cols: Sequence[str]) -> DataFrame:
@@ -123,7 +125,10 @@ def cumulative(df: DataFrame, order: Sequence[str | Column], cols: Sequence[str]
 
 def with_sequence(df: DataFrame, order: Sequence[str | Column], name: str = "index") -> DataFrame:
     """Number all rows from 1 in a total order (``order`` must not tie)."""
-    return running_totals(df.withColumn("_one", F.lit(1).cast("bigint")), order, {name: "_one"}).drop("_one")
+    counted = running_totals(df.withColumn("_one", F.lit(1).cast("bigint")), order, {name: "_one"})
+    numbered = counted.drop("_one")
+    numbered._cut_path = counted._cut_path
+    return numbered
 
 
 def pct_change(df: DataFrame, order: str, col: str, name: str = "trend") -> DataFrame:

@@ -81,6 +81,13 @@ def range_errors(profile: FeatureProfile) -> Column:
     return F.concat(port_error(), checks) if "destination_port" in profile.columns else checks
 
 
+def not_finite_errors(profile: FeatureProfile) -> Column:
+    """Features that are no number, or beyond all numbers: rules can take them, trained models cannot."""
+    values = F.array(*[F.struct(F.lit(f).alias("name"), F.col(snake_name(f)).alias("value")) for f in profile.features])
+    odd = F.filter(values, lambda e: F.isnan(e["value"]) | (F.abs(e["value"]) == INF))
+    return F.transform(odd, lambda e: F.concat(F.lit("Feature '"), e["name"], F.lit("' is not a finite number")))
+
+
 def with_errors(df: DataFrame, profile: FeatureProfile) -> DataFrame:
     """Add ``errors`` (appended to those already there) and ``valid``."""
     found = range_errors(profile)

@@ -44,10 +44,19 @@ def action_distribution_total(spark, sf_dir):
 
 @query(
     """SELECT l.code AS attack_type_encoded, l.label AS attack_type_name, count(a.id) AS "count" FROM labels14 l
-    LEFT JOIN (SELECT * FROM class42 WHERE flow_duration < 1000) a ON a.code = l.code GROUP BY 1, 2"""
+    LEFT JOIN class42 a ON a.code = l.code GROUP BY 1, 2"""
+)
+def dense_distribution(spark, sf_dir):
+    """Predictions of all flows over all 14 classes, zeros included."""
+    return A.dense_distribution(rule_attack_class(V.flow42(spark, sf_dir)))
+
+
+@query(
+    """SELECT l.code AS attack_type_encoded, l.label AS attack_type_name, count(c.code) AS "count" FROM labels14 l
+    LEFT JOIN (SELECT * FROM class42 WHERE flow_duration < 1000) c ON c.code = l.code GROUP BY 1, 2"""
 )
 def dense_distribution_of_short_flows(spark, sf_dir):
-    """Predictions of short flows over all 14 classes, zeros included."""
+    """The same for short flows only: classes without a prediction come with a zero."""
     short = V.flow42(spark, sf_dir).where(F.col("flow_duration") < 1000)
     return A.dense_distribution(rule_attack_class(short))
 
@@ -103,6 +112,17 @@ def rolling_stats(spark, sf_dir):
     return rows.withColumn("avg_threat_score", F.round("avg_threat_score", 9))
 
 
+@query(
+    """SELECT count(*) AS total, count(*) FILTER (is_attack) AS attacks,
+    count(*) - count(*) FILTER (is_attack) AS normal, round(avg(coalesce(prediction_score, 0)), 9) AS avg_threat_score
+    FROM (SELECT * FROM live ORDER BY created_at DESC, id DESC LIMIT 2500)"""
+)
+def rolling_stats_of_2500(spark, sf_dir):
+    """A buffer of any size holds as many rows as it was asked for."""
+    rows = A.rolling_stats(live_messages(spark, sf_dir), 2500)
+    return rows.withColumn("avg_threat_score", F.round("avg_threat_score", 9))
+
+
 _HEAT = """SELECT g.day, g.hour, coalesce(c.n, 0) AS "count" FROM
     (SELECT d.day, d.i, h.hour FROM (VALUES (0, 'Mon'), (1, 'Tue'), (2, 'Wed'), (3, 'Thu'), (4, 'Fri'), (5, 'Sat'),
     (6, 'Sun')) d(i, day), (SELECT CAST(range AS INTEGER) AS hour FROM range(24)) h) g

@@ -25,13 +25,13 @@ COMPLETE_COLUMNS = (
 
 @query("SELECT id, prediction_score, is_attack, threshold, model_version FROM threat")
 def threat_scores(spark, sf_dir):
-    t = V.result_tables(spark, sf_dir)["threat"]
+    t = V.scored_tables(spark, sf_dir)["threat"]
     return t.select("id", "prediction_score", "is_attack", "threshold", "model_version")
 
 
 @query("SELECT id, attack_type_encoded, attack_type_name, confidence, model_version FROM attack")
 def attack_classes(spark, sf_dir):
-    t = V.result_tables(spark, sf_dir)["attack"]
+    t = V.scored_tables(spark, sf_dir)["attack"]
     return t.select("id", "attack_type_encoded", "attack_type_name", "confidence", "model_version")
 
 
@@ -40,7 +40,7 @@ def attack_classes(spark, sf_dir):
     "pvalue AS param_value, status, execution_time FROM action"
 )
 def healing_actions(spark, sf_dir):
-    t = V.result_tables(spark, sf_dir)["action"]
+    t = V.scored_tables(spark, sf_dir)["action"]
     entry = F.get(F.map_entries("action_params"), F.lit(0))
     return t.select(
         "id",
@@ -148,16 +148,15 @@ def rejected_messages(spark, sf_dir):
     return rejected.select("id", "sender_ip", "source")
 
 
-SOURCE_CONFIG = """SELECT DISTINCT source AS source_name, source = 'external_kafka' AS is_enabled
-    FROM messages WHERE source <> 'realtime'"""
+SOURCE_CONFIG = """SELECT DISTINCT CASE WHEN source = 'realtime' THEN 'packet_capture' ELSE source END AS source_name,
+    source = 'external_kafka' AS is_enabled FROM messages"""
 
 
 def source_config(spark, sf_dir):
-    """Of the three message sources one is enabled, one disabled and one not configured."""
-    rows = V.messages(spark, sf_dir).where("source <> 'realtime'")
-    return rows.select(
-        F.col("source").alias("source_name"), (F.col("source") == "external_kafka").alias("is_enabled")
-    ).distinct()
+    """Of the three message sources one is enabled, one disabled and one goes by another name and so is not configured."""
+    source = F.col("source")
+    name = F.when(source == "realtime", "packet_capture").otherwise(source)
+    return V.messages(spark, sf_dir).select(name.alias("source_name"), (source == "external_kafka").alias("is_enabled")).distinct()
 
 
 @query(
@@ -170,7 +169,7 @@ def gated_messages(spark, sf_dir):
 
 @query(
     f"""SELECT source_name, is_enabled FROM ({SOURCE_CONFIG}) UNION ALL
-    SELECT * FROM (VALUES ('packet_capture', FALSE), ('internal_kafka', TRUE)) t(source_name, is_enabled)"""
+    SELECT * FROM (VALUES ('internal_kafka', TRUE)) t(source_name, is_enabled)"""
 )
 def default_sources_added(spark, sf_dir):
     config = source_config(spark, sf_dir)

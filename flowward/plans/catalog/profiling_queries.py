@@ -110,7 +110,16 @@ def confusion_counts(spark, sf_dir):
 
 
 @query(
-    f"""SELECT label, count(*) FILTER (prediction = 0) AS "0", count(*) FILTER (prediction = 1) AS "1"
+    f"""SELECT label, count(*) FILTER (prediction = 0) AS "0", count(*) FILTER (prediction = 2) AS "2",
+    count(*) FILTER (prediction = 1) AS other FROM ({_JUDGED}) GROUP BY 1"""
+)
+def confusion_matrix_with_unlisted_class(spark, sf_dir):
+    """Predictions of a class that the matrix was not asked for are counted, not lost."""
+    return E.confusion_matrix(judged(spark, sf_dir), "label", "prediction", [0, 2])
+
+
+@query(
+    f"""SELECT label, count(*) FILTER (prediction = 0) AS "0", count(*) FILTER (prediction = 1) AS "1", 0 AS other
     FROM ({_JUDGED}) GROUP BY 1"""
 )
 def confusion_matrix(spark, sf_dir):

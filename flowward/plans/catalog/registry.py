@@ -71,7 +71,7 @@ BASE = {
     "flow10": select_sql(FLOW10, "events"),
     "flow42": select_sql(FLOW42, "orders"),
     "messages": select_sql(MESSAGES, "events"),
-    "whitelist": "SELECT DISTINCT * FROM (" + select_sql(WHITELIST, "events") + " WHERE user_id % 3 <> 2)",
+    "whitelist": "SELECT DISTINCT * FROM (" + select_sql(WHITELIST, "events") + ")",
     "labels14": f"SELECT * FROM ({values(list(enumerate(ATTACK_LABELS)))}) t(code, label)",
     "actions14": f"SELECT * FROM ({values(_ACTION_ROWS)}) t(label, action_type, action_description, pkey, pvalue)",
     "hash10": f"SELECT *, {_md5(THREAT_LEGACY.columns)} AS h FROM flow10",

@@ -11,17 +11,41 @@ from flowward.plans.catalog.registry import query
 from flowward.profiles import ATTACK_PROFILE, THREAT_LEGACY, default_sources
 from flowward.session import scratch_path
 from flowward.sources import flow_views as V
-from flowward.sources.tables import load_table, write_dim
+from flowward.sources.messages import read_external_stream, read_flow_stream
+from flowward.sources.tables import load_table, load_tables, write_dim
 from flowward.streaming import live
-from flowward.streaming.scoring import file_message_sink, score_external_stream, score_stream
+from flowward.streaming.scoring import file_message_sink, score_batch, score_external_stream, score_stream
 
 ALL = {"availableNow": True}
 
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table as a stream."""
-    schema = V.read_table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+PARTS = 3
+
+
+def _in_files(df: DataFrame, key: F.Column, name: str) -> str:
+    """``df`` as ``PARTS`` files, one after the other, for as many micro-batches."""
+    path = scratch_path(df.sparkSession, name)
+    for part in range(PARTS):
+        df.where(F.pmod(F.xxhash64(key), F.lit(PARTS)) == part).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def message_stream(messages: DataFrame, external: bool = False) -> DataFrame:
+    """Messages through the reader of the internal or the external stream, file by file."""
+    spark = messages.sparkSession
+    if "headers" not in messages.columns:
+        messages = messages.withColumn("headers", F.array().cast("array<struct<key:string,value:binary>>"))
+    path = _in_files(messages.select("value", "headers", "timestamp"), F.col("value"), "messages")
+    read = read_external_stream if external else read_flow_stream
+    return read(spark, "parquet", path=path, maxFilesPerTrigger="1")
+
+
+def scored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored events as a stream of several files, not in order of time."""
+    events = V.read_table(spark, sf_dir, "events")
+    path = _in_files(events, F.col("event_id"), "events")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return rule_threat_score(V.as_view(stream, V.FLOW10))
 
 
 def threat_messages(events: DataFrame) -> DataFrame:
@@ -58,7 +82,7 @@ def external_messages(events: DataFrame) -> DataFrame:
 def stream_scored_threats(spark, sf_dir):
     """The internal stream into the result tables; threat predictions read back."""
     root = scratch_path(spark, "stream")
-    messages = threat_messages(stream_table(spark, sf_dir, "events"))
+    messages = message_stream(threat_messages(V.read_table(spark, sf_dir, "events")))
     score_stream(messages, root, f"{root}/checkpoint", **ALL).awaitTermination()
     stored = load_table(spark, "threat_predictions", root)
     return stored.select("created_at", "prediction_score", "is_attack", "source")
@@ -68,7 +92,7 @@ def stream_scored_threats(spark, sf_dir):
 def stream_quarantine(spark, sf_dir):
     """Messages of the internal stream that could not be scored."""
     root = scratch_path(spark, "stream")
-    messages = threat_messages(stream_table(spark, sf_dir, "events"))
+    messages = message_stream(threat_messages(V.read_table(spark, sf_dir, "events")))
     score_stream(messages, root, f"{root}/checkpoint", **ALL).awaitTermination()
     return spark.read.parquet(f"{root}/quarantine").select("created_at", "reason")
 
@@ -80,7 +104,7 @@ def stream_quarantine(spark, sf_dir):
 def stream_scored_attacks(spark, sf_dir):
     """Attack-profile messages into the result tables; predictions joined with their actions."""
     root = scratch_path(spark, "stream")
-    messages = attack_messages(stream_table(spark, sf_dir, "orders"))
+    messages = message_stream(attack_messages(V.read_table(spark, sf_dir, "orders")))
     score_stream(messages, root, f"{root}/checkpoint", **ALL).awaitTermination()
     attack = load_table(spark, "attack_predictions", root)
     action = load_table(spark, "self_healing_actions", root).select(
@@ -101,7 +125,7 @@ def stream_external_messages(spark, sf_dir):
     enabled = default_sources(spark).withColumn("is_enabled", F.col("is_enabled") | (F.col("source_name") == "external_kafka"))
     write_dim(enabled, f"{root}/dims", "data_source_config")
     score_external_stream(
-        external_messages(stream_table(spark, sf_dir, "events")),
+        message_stream(external_messages(V.read_table(spark, sf_dir, "events")), external=True),
         f"{root}/dims",
         root,
         f"{root}/checkpoint",
@@ -123,11 +147,10 @@ def stream_external_messages(spark, sf_dir):
     count(*) - count(*) FILTER (is_attack) AS normal FROM threat GROUP BY 1"""
 )
 def stream_throughput(spark, sf_dir):
-    """Windowed counts per second over the scored event stream."""
+    """Windowed counts per second over the scored event stream; rows come in any order and none is too late."""
     root = scratch_path(spark, "stream")
-    scored = rule_threat_score(V.as_view(stream_table(spark, sf_dir, "events"), V.FLOW10))
-    figures = live.throughput_stream(scored)
-    live.write_throughput(figures, root, f"{root}/checkpoint", **ALL).awaitTermination()
+    scored = scored_stream(spark, sf_dir)
+    live.write_throughput(scored, root, f"{root}/checkpoint", **ALL).awaitTermination()
     return live.read_throughput(spark, root)
 
 
@@ -139,7 +162,7 @@ def stream_throughput(spark, sf_dir):
 def stream_rolling_stats(spark, sf_dir):
     """Stats over the 100 newest rows of the scored event stream."""
     root = scratch_path(spark, "stream")
-    scored = rule_threat_score(V.as_view(stream_table(spark, sf_dir, "events"), V.FLOW10))
+    scored = scored_stream(spark, sf_dir)
     q = live.rolling_stats_stream(scored, root, f"{root}/checkpoint", **ALL)
     q.awaitTermination()
     last = spark.read.parquet(f"{root}/rolling/v{q.lastProgress['batchId']}")
@@ -150,7 +173,7 @@ def stream_rolling_stats(spark, sf_dir):
 def stream_alerts(spark, sf_dir):
     """Alerts of the scored event stream."""
     root = scratch_path(spark, "stream")
-    scored = rule_threat_score(V.as_view(stream_table(spark, sf_dir, "events"), V.FLOW10))
+    scored = scored_stream(spark, sf_dir)
     writer = live.alerts(scored).select("id", "prediction_score", "alert").writeStream.format("parquet")
     writer.option("path", f"{root}/alerts").option("checkpointLocation", f"{root}/checkpoint").trigger(**ALL).start().awaitTermination()
     return spark.read.parquet(f"{root}/alerts")
@@ -160,12 +183,63 @@ def stream_alerts(spark, sf_dir):
 def stream_csv_log(spark, sf_dir):
     """The scored event stream appended to a CSV log."""
     root = scratch_path(spark, "stream")
-    scored = rule_threat_score(V.as_view(stream_table(spark, sf_dir, "events"), V.FLOW10))
+    scored = scored_stream(spark, sf_dir)
     rows = scored.select("id", "src_bytes", "prediction_score", "is_attack")
     live.log_stream(rows, f"{root}/log", f"{root}/checkpoint", **ALL).awaitTermination()
     return spark.read.schema(rows.schema).csv(f"{root}/log", header=True)
 
 
+@query(
+    """SELECT count(*) AS rows, count(*) AS ids, count(*) AS traffic, 2 AS loads_of_each_number
+    FROM events WHERE event_type <> 'error'"""
+)
+def stream_two_checkpoints(spark, sf_dir):
+    """Two streams of one source with checkpoints of their own into one root: no load replaces the other's."""
+    root = scratch_path(spark, "stream")
+    events = V.read_table(spark, sf_dir, "events")
+    for half in (0, 1):
+        messages = message_stream(threat_messages(events.where(F.col("event_id") % 2 == half)))
+        score_stream(messages, root, f"{root}/checkpoint{half}", **ALL).awaitTermination()
+    tables = load_tables(spark, root)
+    number = F.regexp_extract("load_id", "-([0-9]+)-[a-z_]+$", 1)
+    per_number = tables["threat"].groupBy(number.alias("number")).agg(F.count_distinct("load_id").alias("loads"))
+    return tables["threat"].agg(
+        F.count("*").alias("rows"),
+        F.count_distinct("id").alias("ids"),
+        F.lit(tables["traffic"].count()).alias("traffic"),
+        F.lit(per_number.agg(F.min("loads")).first()[0]).cast("int").alias("loads_of_each_number"),
+    )
+
+
+@query(
+    """SELECT t.created_at, t.prediction_score, t.is_attack, TRUE AS same_id FROM threat t
+    JOIN events e ON e.event_id = t.id WHERE e.event_type <> 'error'"""
+)
+def stream_replayed_batch(spark, sf_dir):
+    """A micro-batch replayed in other partitions: each row is there once, under the id it had."""
+    root, before = scratch_path(spark, "stream"), scratch_path(spark, "before")
+    messages = threat_messages(V.read_table(spark, sf_dir, "events"))
+    score_batch(messages.repartition(3, "value"), 0, "realtime", root)
+    load_table(spark, "threat_predictions", root).write.parquet(before)
+    score_batch(messages.repartition(7, "timestamp"), 0, "realtime", root)
+    columns = ["created_at", "prediction_score", "is_attack"]
+    first = spark.read.parquet(before).select("id", *columns).withColumn("same_id", F.lit(True))
+    again = load_table(spark, "threat_predictions", root).select("id", *columns)
+    joined = again.join(first, ["id", *columns], "left")
+    return joined.select(*columns, F.coalesce("same_id", F.lit(False)).alias("same_id"))
+
+
+@query("SELECT 0 AS rows")
+def stream_switched_off(spark, sf_dir):
+    """The external stream while its source is disabled: every message is read, none is scored."""
+    root = scratch_path(spark, "stream")
+    write_dim(V.whitelist(spark, sf_dir), f"{root}/dims", "ip_whitelist")
+    write_dim(default_sources(spark), f"{root}/dims", "data_source_config")
+    messages = message_stream(external_messages(V.read_table(spark, sf_dir, "events")), external=True)
+    score_external_stream(messages, f"{root}/dims", root, f"{root}/checkpoint", **ALL).awaitTermination()
+    return load_table(spark, "threat_predictions", root).agg(F.count("*").cast("int").alias("rows"))
+
+
 @query(
     """SELECT CASE WHEN action_description IS NOT NULL THEN 'action' WHEN is_attack THEN 'attack' ELSE 'normal' END AS type,
     count(*) AS "count" FROM live GROUP BY 1"""

@@ -43,19 +43,26 @@ def whitelist_upsert(spark, sf_dir):
     return D.upsert(entries(spark, sf_dir), changes, "id")
 
 
-@query(f"SELECT * FROM ({_ENTRIES}) WHERE id NOT IN (SELECT o_custkey FROM orders)")
+_FEW_ORDERS = "SELECT o_custkey AS id FROM orders GROUP BY 1 HAVING count(*) < 10"
+
+
+@query(f"SELECT * FROM ({_ENTRIES}) WHERE id NOT IN ({_FEW_ORDERS})")
 def whitelist_delete(spark, sf_dir):
-    """Entries left after deleting those of customers with orders."""
-    keys = V.read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
-    left, _ = D.delete_keys(entries(spark, sf_dir), keys)
+    """Entries left after deleting those of customers with few orders."""
+    orders = V.read_table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).count()
+    left, _ = D.delete_keys(entries(spark, sf_dir), orders.where("count < 10").select("id"))
     return left
 
 
-@query(f"SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey NOT IN (SELECT id FROM ({_ENTRIES}) WHERE is_active)")
+@query(
+    f"""SELECT DISTINCT id FROM (SELECT CASE WHEN o_orderkey % 7 = 0 THEN o_custkey + 1000000000 ELSE o_custkey END AS id
+    FROM orders) WHERE id NOT IN (SELECT id FROM ({_ENTRIES}))"""
+)
 def delete_keys_not_found(spark, sf_dir):
-    """Asked-for keys that the table (active entries only) does not have."""
-    keys = V.read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
-    _, unknown = D.delete_keys(entries(spark, sf_dir).where("is_active"), keys)
+    """Asked-for keys that the table does not have."""
+    key = F.when(F.col("o_orderkey") % 7 == 0, F.col("o_custkey") + 1000000000).otherwise(F.col("o_custkey"))
+    keys = V.read_table(spark, sf_dir, "orders").select(key.alias("id"))
+    _, unknown = D.delete_keys(entries(spark, sf_dir), keys)
     return unknown
 
 

@@ -8,9 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A table is broadcast only when it has at most this many rows.
-BROADCAST_ROWS = 100_000
-
 
 def build_session(app: str = "flowward", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the engine relies on; ``conf`` overrides them.
@@ -64,22 +61,20 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
 
-def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; reads no more than it needs to know."""
-    return df.limit(limit + 1).count() <= limit
 
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables that `cut_lineage` wrote, once nothing reads them any more."""
+    for table in tables:
+        path = getattr(table, "_cut_path", None)
+        if path:
+            remove_path(table.sparkSession, path)
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores on an input that comes in fewer pieces than there are cores.
 
-    Such an input is small (a few files or splits), while scoring it costs far more
-    than moving it. A large input has pieces enough and is returned as it is.
-    Rows move by a hash of ``keys``, so a re-run task moves them the same way.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder of this application."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -9,13 +9,12 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from flowward.operators.features import FeatureError
+from flowward.operators.recent import with_sequence
 from flowward.operators.sets import union_all
-from flowward.session import cut_lineage, spread
+from flowward.session import cut_lineage
 
-# Ids of rows written by streams: the stream's slot, the micro-batch number, the row's number in it.
-STREAM_SLOTS = {"realtime": 1, "external_kafka": 2, "packet_capture": 3}
-_BATCH_BITS = 28
-_ROW_BITS = 33
+# `monotonically_increasing_id` gives the position inside a partition in its low bits.
+_POSITION_BITS = 33
 
 
 def read_flows_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -36,8 +35,14 @@ def read_flows_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 
 def read_many_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Several CSV files as one frame, matched by column name."""
-    return union_all(*[read_flows_csv(spark, p) for p in paths])
+    """Several CSV files as one frame, matched by column name; files with equal headers are read together."""
+    by_header: dict[str, list[str]] = {}
+    for p in paths:
+        if not p.rstrip("/").endswith(".csv"):
+            raise FeatureError(f"Only CSV files are supported: {p}")
+        first = spark.read.text(p).first()
+        by_header.setdefault(first[0] if first else "", []).append(p)
+    return union_all(*[read_flows_csv(spark, group) for group in by_header.values()])
 
 
 def stamp(
@@ -50,17 +55,19 @@ def stamp(
     """Add id, created_at, source and batch_id.
 
     One batch id and one time for the whole batch, as plain values, so that every
-    table written from it agrees. A frame that has an ``id`` column keeps it.
+    table written from it agrees. Rows are always numbered anew.
     """
     at = created_at or datetime.now(timezone.utc)
-    numbered = df if "id" in df.columns else with_dense_ids(df, start_id)
-    return numbered.withColumns(
+    numbered = with_dense_ids(df.drop("id"), start_id)
+    stamped = numbered.withColumns(
         {
             "created_at": F.lit(at).cast("timestamp"),
             "source": F.lit(source),
             "batch_id": F.lit(batch_id or (str(uuid.uuid4()) if source == "upload" else None)).cast("string"),
         }
     )
+    stamped._cut_path = numbered._cut_path
+    return stamped
 
 
 def with_dense_ids(df: DataFrame, start_id: int = 0) -> DataFrame:
@@ -73,22 +80,30 @@ def with_dense_ids(df: DataFrame, start_id: int = 0) -> DataFrame:
     placed = cut_lineage(
         df.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "numbered"
     )
-    low_bits = F.col("_row").bitwiseAND(F.lit(2**_ROW_BITS - 1))
+    low_bits = F.col("_row").bitwiseAND(F.lit(2**_POSITION_BITS - 1))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         placed.groupBy("_part")
         .agg(F.count("*").alias("n"))
         .select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
     )
-    return (
-        spread(placed, "_part", "_row")
-        .join(F.broadcast(starts), "_part")
-        .select((low_bits + F.col("_start") + F.lit(start_id)).alias("id"), *[f"`{c}`" for c in df.columns])
+    numbered = placed.join(F.broadcast(starts), "_part").select(
+        (low_bits + F.col("_start") + F.lit(start_id)).alias("id"), *[f"`{c}`" for c in df.columns]
     )
+    numbered._cut_path = placed._cut_path
+    return numbered
 
 
-def stream_start_id(source: str, batch_number: int) -> int:
-    """First id of a micro-batch: no other source or micro-batch uses the same range."""
-    if batch_number >= 2**_BATCH_BITS:
-        raise ValueError("Too many micro-batches for one checkpoint")
-    return (STREAM_SLOTS[source] << (_BATCH_BITS + _ROW_BITS)) + (batch_number << _ROW_BITS)
+def with_content_ids(df: DataFrame, order: Sequence[str], start_id: int = 0) -> DataFrame:
+    """Number rows from ``start_id`` in the order of their content, whatever partitions they come in.
+
+    Rows that are equal in ``order`` take numbers of their own in no fixed order, so ``order`` has to hold
+    everything in which rows differ. They may be many: they are split over tasks like any others.
+    """
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    counted = with_sequence(tied, [*order, "_tie"], "_n")
+    numbered = counted.select(
+        (F.col("_n") + F.lit(start_id - 1)).alias("id"), *[f"`{c}`" for c in df.columns]
+    )
+    numbered._cut_path = counted._cut_path
+    return numbered

@@ -7,22 +7,20 @@ engine. ``floor`` stands where a double becomes a whole number.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowward.operators.features import pack_features
 from flowward.operators.scoring import action_rows, rule_attack_class, rule_threat_score
 from flowward.profiles import ATTACK_PROFILE, THREAT_LEGACY
-from flowward.session import spread
+from flowward.session import shared_dir
 
 
 def _cycle(key: str, step: int, size: int) -> str:
     return f"CAST(({key} * {step}) % {size} AS DOUBLE)"
 
 
-def _constant(value: int) -> str:
-    return f"CAST({value} AS DOUBLE)"
-
-
 # Both threat profiles over `events`.
 FLOW10 = {
     "id": "event_id",
@@ -51,44 +49,44 @@ FLOW42 = {
     "flow_duration": _cycle("o_orderkey", 3701, 200000),
     "total_fwd_packets": _cycle("o_custkey", 7, 200),
     "total_length_of_fwd_packets": _cycle("o_custkey", 1, 9000),
-    "fwd_packet_length_max": _constant(1500),
-    "fwd_packet_length_min": _constant(60),
-    "bwd_packet_length_max": _constant(1500),
-    "bwd_packet_length_min": _constant(60),
+    "fwd_packet_length_max": _cycle("o_orderkey", 3, 1461),
+    "fwd_packet_length_min": _cycle("o_custkey", 5, 67),
+    "bwd_packet_length_max": _cycle("o_orderkey", 7, 1399),
+    "bwd_packet_length_min": _cycle("o_custkey", 11, 71),
     "flow_bytes_per_s": "CAST(floor(o_totalprice) AS DOUBLE)",
     "flow_packets_per_s": "CAST((o_custkey * 31 + o_orderkey) % 1500 AS DOUBLE)",
     "flow_iat_mean": _cycle("o_orderkey", 1, 997),
     "flow_iat_std": _cycle("o_orderkey", 1, 499),
-    "flow_iat_min": _constant(10),
-    "bwd_iat_total": _constant(500),
-    "bwd_iat_std": _constant(25),
-    "fwd_psh_flags": _constant(1),
-    "bwd_psh_flags": _constant(1),
-    "fwd_urg_flags": _constant(0),
-    "bwd_urg_flags": _constant(0),
-    "fwd_header_length": _constant(200),
-    "bwd_header_length": _constant(200),
+    "flow_iat_min": _cycle("o_orderkey", 13, 23),
+    "bwd_iat_total": _cycle("o_custkey", 17, 907),
+    "bwd_iat_std": _cycle("o_orderkey", 19, 83),
+    "fwd_psh_flags": _cycle("o_custkey", 23, 2),
+    "bwd_psh_flags": _cycle("o_orderkey", 29, 2),
+    "fwd_urg_flags": _cycle("o_custkey", 31, 2),
+    "bwd_urg_flags": _cycle("o_orderkey", 37, 2),
+    "fwd_header_length": _cycle("o_custkey", 41, 401),
+    "bwd_header_length": _cycle("o_orderkey", 43, 389),
     "bwd_packets_per_s": _cycle("o_custkey", 1, 97),
-    "min_packet_length": _constant(60),
+    "min_packet_length": _cycle("o_custkey", 47, 65),
     "fin_flag_count": _cycle("o_orderkey", 1, 3),
     "rst_flag_count": _cycle("o_custkey", 1, 4),
     "psh_flag_count": "CAST((o_orderkey * 3 + o_custkey) % 3 AS DOUBLE)",
     "ack_flag_count": _cycle("o_custkey", 1, 51),
-    "urg_flag_count": _constant(0),
+    "urg_flag_count": _cycle("o_orderkey", 53, 2),
     "down_up_ratio": _cycle("o_orderkey", 1, 5) + " / 2",
-    "fwd_avg_bytes_per_bulk": _constant(500),
-    "fwd_avg_packets_per_bulk": _constant(5),
-    "fwd_avg_bulk_rate": _constant(100),
-    "bwd_avg_bytes_per_bulk": _constant(500),
-    "bwd_avg_packets_per_bulk": _constant(5),
-    "bwd_avg_bulk_rate": _constant(100),
-    "init_win_bytes_forward": _constant(8192),
-    "init_win_bytes_backward": _constant(8192),
-    "min_seg_size_forward": _constant(20),
-    "active_mean": _constant(100),
-    "active_std": _constant(50),
-    "active_max": _constant(200),
-    "idle_std": _constant(25),
+    "fwd_avg_bytes_per_bulk": _cycle("o_custkey", 59, 311),
+    "fwd_avg_packets_per_bulk": _cycle("o_orderkey", 61, 13),
+    "fwd_avg_bulk_rate": _cycle("o_custkey", 67, 221),
+    "bwd_avg_bytes_per_bulk": _cycle("o_orderkey", 71, 307),
+    "bwd_avg_packets_per_bulk": _cycle("o_custkey", 73, 14),
+    "bwd_avg_bulk_rate": _cycle("o_orderkey", 79, 241),
+    "init_win_bytes_forward": _cycle("o_custkey", 83, 65521),
+    "init_win_bytes_backward": _cycle("o_orderkey", 89, 65519),
+    "min_seg_size_forward": _cycle("o_custkey", 97, 33),
+    "active_mean": _cycle("o_orderkey", 101, 181),
+    "active_std": _cycle("o_custkey", 103, 61),
+    "active_max": _cycle("o_orderkey", 107, 409),
+    "idle_std": _cycle("o_custkey", 109, 43),
 }
 
 # Messages with sender, source and batch, and the whitelist, over `events`.
@@ -100,7 +98,7 @@ MESSAGES = {
 }
 WHITELIST = {
     "ip_address": "concat('10.0.0.', CAST(user_id % 256 AS STRING))",
-    "is_active": "user_id % 3 = 0",
+    "is_active": "user_id % 256 % 3 = 0",
 }
 
 
@@ -117,12 +115,17 @@ def as_view(df: DataFrame, view: dict[str, str]) -> DataFrame:
     return df.selectExpr(*[f"{e} AS {c}" for c, e in view.items()])
 
 
+def in_pieces(df: DataFrame, key: str) -> DataFrame:
+    """A test table, which comes as one piece, in one per core."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(read_table(spark, sf_dir, "events"), "event_id")
+    return in_pieces(read_table(spark, sf_dir, "events"), "event_id")
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(read_table(spark, sf_dir, "orders"), "o_orderkey")
+    return in_pieces(read_table(spark, sf_dir, "orders"), "o_orderkey")
 
 
 def flow10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,10 +141,25 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_view(read_table(spark, sf_dir, "events").where("user_id % 3 <> 2"), WHITELIST).distinct()
+    return as_view(read_table(spark, sf_dir, "events"), WHITELIST).distinct()
 
 
 def result_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The four linked tables of `scored_tables`, scored and stored once an application and read from there on."""
+    root = f"{shared_dir(spark)}/scored-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    names = ("traffic", "threat", "attack", "action")
+    if root not in _STORED:
+        for name, df in scored_tables(spark, sf_dir).items():
+            df.write.mode("overwrite").parquet(f"{root}/{name}")
+        _STORED.add(root)
+    return {name: spark.read.parquet(f"{root}/{name}") for name in names}
+
+
+# Roots that this process has filled.
+_STORED: set[str] = set()
+
+
+def scored_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The four linked tables: events are traffic with a threat prediction each, orders are attack predictions.
 
     An attack prediction belongs to the traffic row with its own id, so some

@@ -38,6 +38,16 @@ ANOMALY = {
 }
 
 
+def _uniform(seed: int) -> Column:
+    """A number in [0, 1) fixed by the row's id and the seed, whatever partition it is made in."""
+    return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2**53)) / F.lit(float(2**53))
+
+
+def _normal(seed: int) -> Column:
+    """A standard normal draw out of two uniform ones."""
+    return F.sqrt(-2 * F.log1p(-_uniform(seed))) * F.cos(2 * math.pi * _uniform(seed + 100_000))
+
+
 def _poisson(mean: float, seed: int) -> Column:
     """Number of cumulative probabilities under a uniform draw; the table ends where doubles reach 1."""
     cdf, total, k = [], 0.0, 0
@@ -46,20 +56,20 @@ def _poisson(mean: float, seed: int) -> Column:
         cdf.append(total)
         k += 1
     steps = F.array(*[F.lit(p) for p in cdf])
-    draw = F.transform(F.array(F.rand(seed)), lambda u: F.size(F.filter(steps, lambda p: p < u)))
+    draw = F.transform(F.array(_uniform(seed)), lambda u: F.size(F.filter(steps, lambda p: p < u)))
     return F.get(draw, F.lit(0))
 
 
 def _draw(spec, seed: int) -> Column:
     if isinstance(spec, list):
-        return F.element_at(F.array(*[F.lit(w) for w in spec]), (F.floor(F.rand(seed) * len(spec)) + 1).cast("int"))
+        return F.element_at(F.array(*[F.lit(w) for w in spec]), (F.floor(_uniform(seed) * len(spec)) + 1).cast("int"))
     kind, *args = spec
     if kind == "exponential":
-        return -F.log1p(-F.rand(seed)) * args[0]
+        return -F.log1p(-_uniform(seed)) * args[0]
     if kind == "poisson":
         return _poisson(args[0], seed)
     low, high = args
-    return F.rand(seed) * (high - low) + low
+    return _uniform(seed) * (high - low) + low
 
 
 def gen_threat(spark: SparkSession, n_normal: int = 800, n_attack: int = 200, seed: int = 42) -> DataFrame:
@@ -75,5 +85,5 @@ def gen_threat(spark: SparkSession, n_normal: int = 800, n_attack: int = 200, se
 
 def gen_attack(spark: SparkSession, n: int = 1000, seed: int = 42) -> DataFrame:
     """Attack records: gaussian features with deviation 1000 and a random `` Label``."""
-    cols = [(F.randn(seed + i) * 1000).alias(f) for i, f in enumerate(ATTACK_FEATURES)]
+    cols = [(_normal(seed + i) * 1000).alias(f) for i, f in enumerate(ATTACK_FEATURES)]
     return spark.range(n).select(*cols, _draw(ATTACK_LABELS, seed + 5000).alias(" Label"))

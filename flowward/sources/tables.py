@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from flowward.operators.features import pack_features
 from flowward.operators.scoring import ACTION_COLUMNS, ATTACK_COLUMNS, THREAT_COLUMNS, action_rows, attach_actions
 from flowward.profiles import THREAT, FeatureProfile
+from flowward.session import cut_lineage, discard
+from flowward.sources.loads import close_load, open_load, open_loads
 
 SCHEMAS = {
     "traffic_data": "id bigint, created_at timestamp, features map<string,double>, batch_id string, "
@@ -33,17 +36,21 @@ SHORT_NAMES = {
 def load_table(spark: SparkSession, name: str, root: str | None = None, fmt: str = "parquet", **options: str) -> DataFrame:
     """A result table: parquet under ``root`` (partitioned by source and load), or any format by options, e.g. JDBC.
 
-    A table that nothing was written to yet is empty.
+    A table that nothing was written to yet is empty. Loads that are not yet complete are left out.
     """
     if fmt != "parquet":
         return spark.read.format(fmt).options(**({"dbtable": name} | options)).load()
     path = f"{root}/{name}"
+    if name not in SCHEMAS:
+        return spark.read.parquet(path)
     try:
-        return spark.read.schema(SCHEMAS[name]).parquet(path) if name in SCHEMAS else spark.read.parquet(path)
+        table = spark.read.schema(SCHEMAS[name]).parquet(path)
     except AnalysisException as e:
-        if name not in SCHEMAS or e.getCondition() != "PATH_NOT_FOUND":
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], SCHEMAS[name])
+    hidden = open_loads(spark, root)
+    return table.where(~F.col("load_id").isin(hidden)) if hidden else table
 
 
 def load_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -75,26 +82,34 @@ def write_scored(scored: DataFrame, profile: FeatureProfile, root: str, load_id:
 
     Writing a load again replaces what it wrote before, so a re-run or a
     replayed micro-batch leaves each row once. The record type is part of the
-    stored load id: a load may have rows of both types.
+    stored load id: a load may have rows of both types. Rows are scored once; readers
+    see a load when all its tables are written.
     """
-    rows = scored.withColumn("load_id", F.lit(f"{load_id}-{profile.model_type}")).persist()
-    try:
-        for name, df in result_rows(rows, profile).items():
-            (
-                df.write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("source", "load_id")
-                .parquet(f"{root}/{name}")
-            )
-    finally:
-        rows.unpersist()
-
-
-def next_upload_id(spark: SparkSession, root: str) -> int:
-    """The first id after those of all uploads so far (read from one partition of the traffic table)."""
-    traffic = load_table(spark, "traffic_data", root)
-    top = traffic.where(F.col("source") == "upload").agg(F.max("id")).first()[0]
-    return 0 if top is None else top + 1
+    spark, name_of_load = scored.sparkSession, f"{load_id}-{profile.model_type}"
+    own = None if hasattr(scored, "_cut_path") else cut_lineage(scored, "scored")
+    rows = (scored if own is None else own).withColumn("load_id", F.lit(name_of_load))
+    out = result_rows(rows, profile)
+    for name, df in out.items():
+        check_types(df, name)
+    open_load(spark, root, name_of_load)
+    for name, df in out.items():
+        (
+            df.write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("source", "load_id")
+            .parquet(f"{root}/{name}")
+        )
+    close_load(spark, root, name_of_load)
+    if own is not None:
+        discard(own)
+
+
+def check_types(df: DataFrame, name: str) -> None:
+    """Refuse rows whose columns are not of the types that table ``name`` stores."""
+    wanted = {f.name: f.dataType for f in StructType.fromDDL(SCHEMAS[name]).fields}
+    for field in df.schema.fields:
+        if field.name in wanted and field.dataType != wanted[field.name]:
+            raise TypeError(f"{name}.{field.name} is {field.dataType.simpleString()}, not {wanted[field.name].simpleString()}")
 
 
 # -- dimensions --------------------------------------------------------------------

@@ -16,9 +16,10 @@ from flowward.operators.features import detect_profile_col, message_values, valu
 from flowward.operators.joins import admitted_flag, gate_sources
 from flowward.operators.sets import union_all
 from flowward.operators.validation import with_errors
-from flowward.plans.pipeline import RULE_SCORERS, Scorer
-from flowward.session import spread
-from flowward.sources.flow_files import stream_start_id, with_dense_ids
+from flowward.plans.pipeline import RULE_SCORERS, Scorer, with_number_errors
+from flowward.session import cut_lineage, discard
+from flowward.sources.flow_files import with_content_ids
+from flowward.sources.loads import first_id, stream_name
 from flowward.sources.messages import decode_messages, sender_ip, unwrap
 from flowward.sources.tables import prediction_structs, read_dim, to_prediction_messages, write_scored
 
@@ -63,7 +64,7 @@ def score_numbered(numbered: DataFrame, scorers: Sequence[Scorer]) -> tuple[list
     scored, refused = [], [numbered.where(F.col("reason").isNotNull()).select(*told, "reason")]
     for s in scorers:
         rows = numbered.where(F.col("reason").isNull() & (F.col("profile") == s.profile.name))
-        checked = with_errors(value_columns(rows, s.profile), s.profile)
+        checked = with_errors(with_number_errors(value_columns(rows, s.profile), s), s.profile)
         scored.append((s, s.transform(checked.where("valid").drop("errors", "valid"))))
         refused.append(checked.where(~F.col("valid")).select(*told, F.array_join("errors", "; ").alias("reason")))
     return scored, union_all(*refused)
@@ -77,15 +78,20 @@ def score_batch(
     scorers: Sequence[Scorer] = RULE_SCORERS,
     message_sink: MessageSink | None = None,
     dims_root: str | None = None,
+    stream: str = "batch",
 ) -> None:
     """Score one micro-batch into the result tables, the message sink and ``root/quarantine``.
 
-    With ``dims_root`` the source switch and the whitelist are read anew, so that
-    a change takes effect with the next micro-batch.
+    ``stream`` names the stream that the batch number belongs to: streams with checkpoints of
+    their own share a root without overwriting each other. Row ids follow from the load and the
+    messages' place in the source (topic, partition and offset, else their content), so a replay
+    gives the same ones however it is partitioned. With ``dims_root`` the source switch and the
+    whitelist are read anew, so that a change takes effect with the next micro-batch.
     """
     spark = batch.sparkSession
     at: Column = F.coalesce("timestamp", F.current_timestamp()) if "timestamp" in batch.columns else F.current_timestamp()
-    decoded = decode_messages(spread(batch, "value")).withColumns(
+    places = [c for c in ("topic", "partition", "offset") if c in batch.columns]
+    decoded = decode_messages(batch).withColumns(
         {"source": F.lit(source), "created_at": at.cast("timestamp"), "sender_ip": F.lit(None).cast("string")}
     )
     if dims_root is not None:
@@ -99,19 +105,22 @@ def score_batch(
     )
     parsed = message_values(wanted, [s.profile for s in scorers])
     columns = ["created_at", "source", "sender_ip", "text", "profile", "reason", "_values", "errors"]
-    numbered = with_dense_ids(parsed.select(*columns), stream_start_id(source, batch_number))
-    numbered = numbered.withColumn("batch_id", F.lit(None).cast("string"))
+    load_id = f"{source}-{stream}-{batch_number}"
+    order = places or ["created_at", "text", "sender_ip", "reason"]
+    numbered = with_content_ids(parsed.select(*columns, *places), order, first_id(spark, root, load_id))
+    rows_of_batch = numbered.drop(*places).withColumn("batch_id", F.lit(None).cast("string"))
 
-    load_id = f"{source}-{batch_number}"
     # At most one value per scorer; a scorer without rows is left out.
-    present = {r["profile"] for r in numbered.select("profile").distinct().collect()}
-    scored, refused = score_numbered(numbered, [s for s in scorers if s.profile.name in present])
+    present = {r["profile"] for r in rows_of_batch.select("profile").distinct().collect()}
+    scored, refused = score_numbered(rows_of_batch, [s for s in scorers if s.profile.name in present])
+    scored = [(s, cut_lineage(rows, "scored")) for s, rows in scored]
     for s, rows in scored:
         write_scored(rows, s.profile, root, load_id)
     if message_sink is not None and scored:
         structs = [prediction_structs(rows, s.profile) for s, rows in scored]
         message_sink(to_prediction_messages(union_all(*structs)), load_id)
     refused.write.mode("overwrite").parquet(f"{root}/quarantine/load_id={load_id}")
+    discard(numbered, *[rows for _, rows in scored])
 
 
 def score_stream(
@@ -141,7 +150,8 @@ def score_external_stream(
 
 def _start(stream, checkpoint, trigger, source, root, scorers, message_sink, dims_root) -> StreamingQuery:
     def handle(batch: DataFrame, number: int) -> None:
-        score_batch(batch, number, source, root, scorers, message_sink, dims_root)
+        name = stream_name(batch.sparkSession, checkpoint)
+        score_batch(batch, number, source, root, scorers, message_sink, dims_root, name)
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()

@@ -5,10 +5,11 @@ import os
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from flowward.plans.catalog import ORACLES
 from oracle_check import TESTDATA, compare, connect
 
 SF_DIR = f"{TESTDATA}/sf0.001"
-NAMES = sorted(n for n in oracle_sql() if not n.startswith("stream_"))
+NAMES = sorted(ORACLES)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not here")
 

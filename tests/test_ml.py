@@ -44,6 +44,23 @@ def test_scaling_uses_population_and_exact_statistics(spark):
     assert {r["c"] for r in scale(df, standard).collect()} == {0.0}
 
 
+def test_scaling_leaves_empty_columns_alone(spark):
+    df = spark.createDataFrame([(float(i), None) for i in range(10)], "x double, empty double")
+    for fit in (fit_standard, fit_robust):
+        scaling = fit(df, ["x", "empty"])
+        assert scaling.width[1] == 1.0 and scale(df, scaling).where("empty is not null").count() == 0
+
+
+def test_generators_do_not_depend_on_partitions(spark):
+    few = sorted(map(str, gen_attack(spark, 50).collect()))
+    before = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "3")
+    try:
+        assert sorted(map(str, gen_attack(spark, 50).collect())) == few
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism") if before is None else spark.conf.set("spark.sql.leafNodeDefaultParallelism", before)
+
+
 def test_correlation_filter_counts_dropped_columns_too(spark):
     df = spark.range(50).select(
         F.col("id").cast("double").alias("a"),

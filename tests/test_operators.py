@@ -71,15 +71,29 @@ def test_limit_before_and_after_the_filter(spark):
     assert R.recent_threats(df, 3, attacks_only=True, filter_first=True).count() == 3
     assert [r["id"] for r in R.recent_threats(df, 2).collect()] == [9, 8]
     assert R.recent_threats(df, 5000).count() == 10
+    with pytest.raises(ValueError):
+        R.recent_threats(df, -1)
+
+
+def test_no_listing_is_shorter_than_asked_for(spark):
+    df = spark.range(3000).select("id", F.timestamp_seconds("id").alias("created_at"), (F.col("id") % 2 == 0).alias("is_attack"))
+    scored = df.withColumn("prediction_score", F.lit(0.5))
+    assert R.recent_threats(scored, 2500).count() == 2500
+    assert A.rolling_stats(scored, 2500).first()["total"] == 2500
+
+
+def test_predictions_of_unlisted_classes_are_counted(spark):
+    df = spark.createDataFrame([(0, 0), (0, 2), (1, 1), (1, None)], "label int, prediction int")
+    rows = {r["label"]: (r["0"], r["1"], r["other"]) for r in E.confusion_matrix(df, "label", "prediction", [0, 1]).collect()}
+    assert rows == {0: (1, 0, 1), 1: (0, 1, 1)}
 
 
 @pytest.mark.parametrize("how", ["left", "left_semi", "left_anti"])
-def test_lookup_in_a_large_dimension_is_salted(spark, monkeypatch, how):
+def test_lookup_in_a_large_dimension_is_salted(spark, how):
     facts = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)] + [(999, None)], "id int, key string")
     dim = spark.createDataFrame([("hot", 1), ("k0", 2)], "key string, v int")
     small = sorted(map(str, J.dim_lookup(facts, dim, "key", how).collect()))
-    monkeypatch.setattr(J, "is_small", lambda d: False)
-    large = J.dim_lookup(facts, dim, "key", how)
+    large = J.dim_lookup(facts, dim, "key", how, salts=16)
     assert sorted(map(str, large.collect())) == small
     assert "_salt" in large._jdf.queryExecution().toString()
 

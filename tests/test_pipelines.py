@@ -1,6 +1,7 @@
 """Uploads and streams end to end."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,9 +13,11 @@ from flowward.operators.validation import DROP, InvalidRowError
 from flowward.plans.pipeline import score_upload
 from flowward.profiles import ATTACK_PROFILE, THREAT_CURRENT, THREAT_LEGACY, default_sources
 from flowward.session import cut_lineage, shared_dir
-from flowward.sources.flow_files import read_flows_csv, stream_start_id
+from flowward.sources.flow_files import read_flows_csv, read_many_csv
+from flowward.sources.loads import claim, close_load, open_load
 from flowward.sources.messages import MESSAGE_SCHEMA, decode_messages, read_flow_stream, sender_ip, unwrap
 from flowward.sources.tables import append_log_csv, load_tables, read_dim, write_dim, write_flows_json
+from flowward.streaming.live import compact_throughput, read_throughput, write_throughput
 from flowward.streaming.scoring import file_message_sink, score_batch, score_external_stream, score_stream
 from samples import ATTACK_HEADER, ATTACK_PORTS, ATTACK_ROWS, LEGACY_HEADER, LEGACY_ROWS, attack, legacy, write_csv
 from test_rules import expected_class, expected_score
@@ -31,7 +34,8 @@ def test_threat_upload(spark, tmp_path):
     assert traffic[0]["features"] == legacy() and {r["batch_id"] for r in traffic} == {upload.batch_id}
     assert tables["attack"].count() == tables["action"].count() == 0
     score_upload(spark, path, str(tmp_path / "out"))
-    assert sorted(r["id"] for r in load_tables(spark, str(tmp_path / "out"))["traffic"].collect()) == list(range(6))
+    ids = [r["id"] for r in load_tables(spark, str(tmp_path / "out"))["traffic"].collect()]
+    assert len(ids) == len(set(ids)) == 6
 
 
 def test_attack_upload(spark, tmp_path):
@@ -42,13 +46,13 @@ def test_attack_upload(spark, tmp_path):
     codes = [r["attack"]["attack_type_encoded"] for r in rows]
     assert codes == [{22: 7, 21: 4}.get(p, 0) for p in ATTACK_PORTS]
     assert rows[0]["attack"]["attack_type_encoded"] == expected_class(attack())
-    assert rows[2]["action"]["action_params"] == {"ip": "192.168.1.3"} and rows[0]["threat"] is None
+    assert rows[1]["action"]["action_params"] == {"ip": "192.168.1.3"} and rows[0]["threat"] is None
     score_upload(spark, path, str(tmp_path / "out"))
     tables = load_tables(spark, str(tmp_path / "out"))
     of_batch = batch_complete(tables, upload.batch_id)
-    assert sorted(r["traffic"]["id"] for r in of_batch.collect()) == list(range(10))
+    assert sorted(r["traffic"]["id"] for r in of_batch.collect()) == list(range(8))
     assert "PartitionFilters: [isnotnull(load_id" in of_batch._jdf.queryExecution().toString()
-    assert tuple(upload_summary(tables, upload.batch_id).first()) == (10, 10, 0, 100.0)
+    assert tuple(upload_summary(tables, upload.batch_id).first()) == (8, 8, 0, 100.0)
 
 
 def test_refused_files(spark, tmp_path):
@@ -57,7 +61,7 @@ def test_refused_files(spark, tmp_path):
         score_upload(spark, write_csv(tmp_path / "empty.csv", LEGACY_HEADER, []), out)
     with pytest.raises(FeatureError, match="Only CSV"):
         read_flows_csv(spark, str(tmp_path / "flows.txt"))
-    bad = [*LEGACY_ROWS, LEGACY_ROWS[0].replace("0.8", "1.5"), LEGACY_ROWS[0].replace("1500", "abc")]
+    bad = [*LEGACY_ROWS, LEGACY_ROWS[0].replace("0.62", "1.5"), LEGACY_ROWS[0].replace("1730", "abc")]
     path = write_csv(tmp_path / "bad.csv", LEGACY_HEADER, bad)
     with pytest.raises(InvalidRowError, match="row 3: Feature 'same_srv_rate'"):
         score_upload(spark, path, out)
@@ -110,7 +114,7 @@ def test_stream_of_mixed_messages(spark, tmp_path):
     assert [r["attack_type_name"] for r in tables["attack"].collect()] == ["FTP-Patator"]
     assert [r["action_type"] for r in tables["action"].collect()] == ["block_ip"]
     ids = [r["id"] for r in tables["traffic"].collect()]
-    assert len(set(ids)) == 5 and min(ids) >= stream_start_id("realtime", 0)
+    assert len(set(ids)) == 5
     quarantine = spark.read.parquet(f"{out}/quarantine").collect()
     assert len(quarantine) == 5 and sum(r["reason"] == "not a JSON object" for r in quarantine) == 2
     sent = [json.loads(r["value"]) for r in spark.read.text(f"{out}/messages").collect()]
@@ -125,6 +129,75 @@ def test_replayed_batch_stores_rows_once(spark, tmp_path):
     assert load_tables(spark, str(tmp_path))["threat"].count() == 1
 
 
+def test_streams_with_checkpoints_of_their_own_share_a_root(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for k in range(2):
+        source = str(tmp_path / f"in{k}")
+        messages(spark, [(json.dumps(legacy(count=float(10 * k + i))), None, i) for i in range(5 - 3 * k)]).write.parquet(source)
+        stream = read_flow_stream(spark, "parquet", path=source)
+        score_stream(stream, out, f"{out}/cp{k}", availableNow=True).awaitTermination()
+    stored = load_tables(spark, out)["threat"].collect()
+    assert len(stored) == 7 and len({r["id"] for r in stored}) == 7
+
+
+def test_replays_give_the_same_ids_however_partitioned(spark, tmp_path):
+    rows = messages(spark, [(json.dumps(legacy(count=float(i % 9))), None, i % 4) for i in range(60)])
+    found = []
+    for parts in (1, 4, 7):
+        score_batch(rows.repartition(parts, "value"), 0, "realtime", str(tmp_path))
+        table = load_tables(spark, str(tmp_path))["traffic"].collect()
+        found.append(sorted((r["id"], r["features"]["count"], r["created_at"]) for r in table))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 60
+
+
+def test_loads_are_claimed_once_and_hidden_while_open(spark, tmp_path):
+    root = str(tmp_path / "out")
+    numbers = [claim(spark, root, f"load/{k % 7}") for k in range(21)]
+    assert numbers == list(range(7)) * 3
+    path = write_csv(tmp_path / "flows.csv", LEGACY_HEADER, LEGACY_ROWS)
+    upload = score_upload(spark, path, root, batch_id="a")
+    assert upload.scored.count() == 3 and load_tables(spark, root)["threat"].count() == 3
+    open_load(spark, root, "a-threat_detection")
+    assert load_tables(spark, root)["threat"].count() == 0
+    close_load(spark, root, "a-threat_detection")
+    assert load_tables(spark, root)["threat"].count() == 3
+
+
+def test_files_with_ids_and_other_headers(spark, tmp_path):
+    rows = [f"{row},x{k}" for k, row in enumerate(LEGACY_ROWS)]
+    path = write_csv(tmp_path / "ids.csv", LEGACY_HEADER + ",id", rows)
+    root = str(tmp_path / "out")
+    for _ in range(2):
+        score_upload(spark, path, root)
+    assert load_tables(spark, root)["traffic"].dtypes[0] == ("id", "bigint")
+    assert load_tables(spark, root)["traffic"].count() == 6
+    other = write_csv(tmp_path / "other.csv", LEGACY_HEADER, LEGACY_ROWS)
+    both = read_many_csv(spark, [path, other])
+    assert both.count() == 6 and both.where("id is null").count() == 3
+
+
+def test_nothing_stays_in_the_scratch_folder(spark, tmp_path):
+    before = {p.name for p in Path(shared_dir(spark)).iterdir()} if Path(shared_dir(spark)).exists() else set()
+    path = write_csv(tmp_path / "flows.csv", LEGACY_HEADER, LEGACY_ROWS)
+    score_upload(spark, path, str(tmp_path / "out"))
+    score_batch(messages(spark, [(json.dumps(legacy()), None, 1)]), 0, "realtime", str(tmp_path / "out"))
+    assert {p.name for p in Path(shared_dir(spark)).iterdir()} == before
+
+
+def test_late_rows_count_in_their_window(spark, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "out")
+    for second in (500, 20, 500, 0):  # the later files hold the earlier rows
+        spark.createDataFrame([(second, second % 3 == 2)], "s int, is_attack boolean").select(
+            F.timestamp_seconds("s").alias("created_at"), "is_attack"
+        ).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("created_at timestamp, is_attack boolean").option("maxFilesPerTrigger", 1).parquet(source)
+    write_throughput(stream, root, f"{root}/cp", availableNow=True).awaitTermination()
+    rows = {r["window_start"].second + 60 * r["window_start"].minute: r["total"] for r in read_throughput(spark, root).collect()}
+    assert rows == {0: 1, 20: 1, 500: 2}
+    compact_throughput(spark, root, f"{root}/compact")
+    assert read_throughput(spark, f"{root}/compact").count() == 3
+
+
 def test_external_stream_gates(spark, tmp_path):
     body = {"features": legacy()}
     rows = [(json.dumps(body | {"sender_ip": "9.9.9.9"}), "10.0.0.1", 1), (json.dumps(body | {"sender_ip": "10.0.0.1"}), None, 2),
