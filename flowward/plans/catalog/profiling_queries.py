@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flowward.operators import evaluation as E
 from flowward.operators import profiling as P
+from flowward.operators.quantiles import exact_quantiles
 from flowward.operators.recent import latest_per
 from flowward.operators.scoring import rule_attack_class, rule_threat_score
 from flowward.operators.sets import split
@@ -208,3 +209,20 @@ def last_event_per_type(spark, sf_dir):
     """Few keys, many rows each: every task reduces a key before the shuffle."""
     events = V.read_table(spark, sf_dir, "events").select("event_type", "event_id", "user_id")
     return latest_per(events, "event_type", ["event_id"])
+
+
+_NARROWED = ("src_bytes", "count", "diff_srv_rate")
+_PROBS = (0.25, 0.5, 0.95)
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", CAST({p} AS DOUBLE) AS prob, round(quantile_cont("{c}", {p}), 6) AS value FROM flow10"""
+        for c in _NARROWED
+        for p in _PROBS
+    )
+)
+def narrowed_quantiles(spark, sf_dir):
+    """Exact quantiles by counted passes over the data, as for columns too long to sort in one task."""
+    found = exact_quantiles(V.flow10(spark, sf_dir), _NARROWED, _PROBS, sort_limit=20)
+    return found.withColumn("value", F.round("value", 6))

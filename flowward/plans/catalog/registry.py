@@ -63,7 +63,7 @@ def values(rows: list[tuple]) -> str:
 
 
 _ACTION_ROWS = [
-    (n, action_for(n)[0], action_for(n)[1], ACTIONS[n][1], ACTIONS[n][2]) for n in ACTIONS
+    (n, action_for(n)[0], action_for(n)[1], ACTIONS[n][2], ACTIONS[n][3]) for n in ACTIONS
 ]
 
 # Named building blocks of the check SQL, each resting on earlier ones.

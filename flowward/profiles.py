@@ -104,29 +104,22 @@ ATTACK_LABELS = [
     "Infiltration",
 ]
 
-# Response action per attack name: (action type, parameter name, parameter value).
+# Response action per attack name: (action type, description, parameter name, parameter value).
 ACTIONS = {
-    "BENIGN": ("log_only", None, None),
-    "DoS Hulk": ("block_ip", "ip", "192.168.1.1"),
-    "DDoS": ("restart_service", "service", "apache2"),
-    "PortScan": ("alert_admin", "message", "Port scanning detected"),
-    "FTP-Patator": ("block_ip", "ip", "192.168.1.2"),
-    "DoS slowloris": ("restart_service", "service", "nginx"),
-    "DoS Slowhttptest": ("restart_service", "service", "nginx"),
-    "SSH-Patator": ("block_ip", "ip", "192.168.1.3"),
-    "DoS GoldenEye": ("restart_service", "service", "apache2"),
-    "Web Attack – Brute Force": ("alert_admin", "message", "Brute force attack detected"),
-    "Bot": ("alert_admin", "message", "Bot activity detected"),
-    "Web Attack – XSS": ("alert_admin", "message", "XSS attack detected"),
-    "Web Attack – Sql Injection": ("alert_admin", "message", "SQL injection detected"),
-    "Infiltration": ("alert_admin", "message", "Infiltration detected"),
-}
-
-# Wording of an action description by action type.
-ACTION_WORDING = {
-    "block_ip": "Blocking IP address: ",
-    "restart_service": "Restarting service: ",
-    "alert_admin": "Alert admin: ",
+    "BENIGN": ("log_only", "No action needed for BENIGN traffic", None, None),
+    "DoS Hulk": ("block_ip", "Blocking IP address: 192.168.1.1", "ip", "192.168.1.1"),
+    "DDoS": ("restart_service", "Restarting service: apache2", "service", "apache2"),
+    "PortScan": ("alert_admin", "Alert admin: Port scanning detected", "message", "Port scanning detected"),
+    "FTP-Patator": ("block_ip", "Blocking IP address: 192.168.1.2", "ip", "192.168.1.2"),
+    "DoS slowloris": ("restart_service", "Restarting service: nginx", "service", "nginx"),
+    "DoS Slowhttptest": ("restart_service", "Restarting service: nginx", "service", "nginx"),
+    "SSH-Patator": ("block_ip", "Blocking IP address: 192.168.1.3", "ip", "192.168.1.3"),
+    "DoS GoldenEye": ("restart_service", "Restarting service: apache2", "service", "apache2"),
+    "Web Attack – Brute Force": ("alert_admin", "Alert admin: Brute force attack detected", "message", "Brute force attack detected"),
+    "Bot": ("alert_admin", "Alert admin: Bot activity detected", "message", "Bot activity detected"),
+    "Web Attack – XSS": ("alert_admin", "Alert admin: XSS attack detected", "message", "XSS attack detected"),
+    "Web Attack – Sql Injection": ("alert_admin", "Alert admin: SQL injection detected", "message", "SQL injection detected"),
+    "Infiltration": ("alert_admin", "Alert admin: Infiltration detected", "message", "Infiltration detected"),
 }
 
 # Data sources known from the start (name, description, enabled, parameters).
@@ -199,10 +192,8 @@ BUILTIN_PROFILES = (THREAT_CURRENT, THREAT_LEGACY, ATTACK_PROFILE)
 
 def action_for(attack_name: str) -> tuple[str, str, dict[str, str]]:
     """(action type, description, parameters) recorded for an attack name."""
-    action_type, key, value = ACTIONS[attack_name]
-    if key is None:
-        return action_type, f"No action needed for {attack_name} traffic", {}
-    return action_type, ACTION_WORDING[action_type] + value, {key: value}
+    action_type, description, key, value = ACTIONS[attack_name]
+    return action_type, description, {} if key is None else {key: value}
 
 
 def fixed_table(spark: SparkSession, columns: dict[str, list], types: dict[str, pa.DataType]) -> DataFrame:

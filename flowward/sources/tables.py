@@ -104,6 +104,18 @@ def write_scored(scored: DataFrame, profile: FeatureProfile, root: str, load_id:
         discard(own)
 
 
+def compact_tables(spark: SparkSession, root: str, into: str) -> None:
+    """Write the complete loads of all result tables anew under ``into``, by source and day instead of by load.
+
+    ``into`` is read like any root (`load_tables`), with the load id as a column. A day's rows go to as many
+    files as their size asks for, so no day and no source is too much for one task.
+    """
+    for name in SCHEMAS:
+        rows = load_table(spark, name, root).withColumn("event_date", F.to_date("created_at"))
+        spread_rows = rows.hint("rebalance", "source", "event_date")
+        spread_rows.write.mode("overwrite").partitionBy("source", "event_date").parquet(f"{into}/{name}")
+
+
 def check_types(df: DataFrame, name: str) -> None:
     """Refuse rows whose columns are not of the types that table ``name`` stores."""
     wanted = {f.name: f.dataType for f in StructType.fromDDL(SCHEMAS[name]).fields}

@@ -16,7 +16,7 @@ from flowward.session import cut_lineage, shared_dir
 from flowward.sources.flow_files import read_flows_csv, read_many_csv
 from flowward.sources.loads import claim, close_load, open_load
 from flowward.sources.messages import MESSAGE_SCHEMA, decode_messages, read_flow_stream, sender_ip, unwrap
-from flowward.sources.tables import append_log_csv, load_tables, read_dim, write_dim, write_flows_json
+from flowward.sources.tables import append_log_csv, compact_tables, load_tables, read_dim, write_dim, write_flows_json
 from flowward.streaming.live import compact_throughput, read_throughput, write_throughput
 from flowward.streaming.scoring import file_message_sink, score_batch, score_external_stream, score_stream
 from samples import ATTACK_HEADER, ATTACK_PORTS, ATTACK_ROWS, LEGACY_HEADER, LEGACY_ROWS, attack, legacy, write_csv
@@ -163,6 +163,18 @@ def test_loads_are_claimed_once_and_hidden_while_open(spark, tmp_path):
     assert load_tables(spark, root)["threat"].count() == 3
 
 
+def test_compacted_tables_read_the_same(spark, tmp_path):
+    root, into = str(tmp_path / "out"), str(tmp_path / "compact")
+    for batch in "ab":
+        score_upload(spark, write_csv(tmp_path / f"{batch}.csv", ATTACK_HEADER, ATTACK_ROWS), root, batch_id=batch)
+    compact_tables(spark, root, into)
+    before, after = load_tables(spark, root), load_tables(spark, into)
+    for name, table in before.items():
+        columns = [c for c, kind in table.dtypes if not kind.startswith("map")]
+        assert sorted(map(tuple, after[name].select(columns).collect())) == sorted(map(tuple, table.select(columns).collect()))
+    assert batch_complete(after, "a").count() == len(ATTACK_ROWS)
+
+
 def test_files_with_ids_and_other_headers(spark, tmp_path):
     rows = [f"{row},x{k}" for k, row in enumerate(LEGACY_ROWS)]
     path = write_csv(tmp_path / "ids.csv", LEGACY_HEADER + ",id", rows)
