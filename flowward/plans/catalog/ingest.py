@@ -70,12 +70,15 @@ def csv_attack_flows(spark, sf_dir):
     return typed.select(F.col("id").cast("bigint").alias("id"), *profile.columns)
 
 
-@query("SELECT id, prediction_score, is_attack, 'upload' AS source, 'upload-all' AS batch_id FROM threat")
+@query(
+    """SELECT src_bytes, dst_bytes, "count", prediction_score, is_attack, 'upload' AS source, 'upload-all' AS batch_id
+    FROM threat JOIN flow10 USING (id)"""
+)
 def scored_upload(spark, sf_dir):
-    """The upload pipeline from a raw frame to scored rows."""
+    """The upload pipeline from a raw frame to scored rows; ids are given anew."""
     raw = V.flow10(spark, sf_dir).select("id", *THREAT_LEGACY.features)
-    upload = score_frame(raw, policy=DROP, batch_id="upload-all")
-    return upload.scored.select("id", "prediction_score", "is_attack", "source", "batch_id")
+    scored = score_frame(raw, policy=DROP, batch_id="upload-all").scored
+    return scored.select("src_bytes", "dst_bytes", "count", "prediction_score", "is_attack", "source", "batch_id")
 
 
 @query(
