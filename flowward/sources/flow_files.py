@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowward.operators.features import FeatureError
-from flowward.operators.recent import with_sequence
 from flowward.operators.sets import union_all
+from flowward.profiles import fixed_table
 from flowward.session import cut_lineage
 
 # `monotonically_increasing_id` gives the position inside a partition in its low bits.
@@ -74,18 +76,16 @@ def with_dense_ids(df: DataFrame, start_id: int = 0) -> DataFrame:
     """Number rows start_id, start_id + 1, ... in partition and row order.
 
     The rows are written once with their position, so that a row keeps its
-    number; starting values per partition are the only thing that is added up.
-    No shuffle of the rows.
+    number; the driver adds up one number per partition. No shuffle of the rows.
     """
     placed = cut_lineage(
         df.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "numbered"
     )
     low_bits = F.col("_row").bitwiseAND(F.lit(2**_POSITION_BITS - 1))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        placed.groupBy("_part")
-        .agg(F.count("*").alias("n"))
-        .select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    sizes = sorted(tuple(r) for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    before = [0, *itertools.accumulate(n for _, n in sizes)][: len(sizes)]
+    starts = fixed_table(
+        df.sparkSession, {"_part": [p for p, _ in sizes], "_start": before}, {"_part": pa.int32(), "_start": pa.int64()}
     )
     numbered = placed.join(F.broadcast(starts), "_part").select(
         (low_bits + F.col("_start") + F.lit(start_id)).alias("id"), *[f"`{c}`" for c in df.columns]
@@ -101,9 +101,5 @@ def with_content_ids(df: DataFrame, order: Sequence[str], start_id: int = 0) ->
     everything in which rows differ. They may be many: they are split over tasks like any others.
     """
     tied = df.withColumn("_tie", F.monotonically_increasing_id())
-    counted = with_sequence(tied, [*order, "_tie"], "_n")
-    numbered = counted.select(
-        (F.col("_n") + F.lit(start_id - 1)).alias("id"), *[f"`{c}`" for c in df.columns]
-    )
-    numbered._cut_path = counted._cut_path
-    return numbered
+    ranged = tied.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie")
+    return with_dense_ids(ranged.drop("_tie"), start_id)
