@@ -18,19 +18,21 @@ def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of every node of ``links`` (a, b): the least node that can be reached.
 
     Large and small stars in turn: neighbours are tied to the least node seen, until each component is
-    one star. Node degrees don't matter, as all sums are pre-aggregated and skewed joins are split.
+    one star. Node degrees don't matter: all sums are pre-aggregated, and are written before they are joined,
+    so that Spark can split the partition of a node with very many neighbours.
     """
     edges = scratch.cut(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.join(_least(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        nearest = scratch.cut(_least(both))
+        large = both.join(nearest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = scratch.cut(large.where("a != b").distinct())
-        least = _least(large)
+        least = scratch.cut(_least(large))
         ties = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         ties = ties.union(least.select("a", F.col("m").alias("b")))
         small = scratch.cut(ties.where("a != b").distinct())
-        scratch.drop(edges, large)
+        scratch.drop(edges, large, nearest, least)
         edges = small
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark or not now[0]:

@@ -242,14 +242,15 @@ class NearDuplicates:
         The hub is the node that meets most others, over all its bands: the one a group of copies is made of.
         """
         banded = self.nodes.select("node", F.explode("bands").alias("band"))
-        sizes = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+        # sums are written before they are joined, so that Spark can split a bucket that many nodes share
+        sizes = self.scratch.cut(banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"))
         met = self.scratch.cut(banded.join(sizes, "band"))
         scores = met.groupBy("node").agg(F.sum(F.col("size") - 1).alias("score"))
         scored = met.join(scores, "node")
         hubs = scored.groupBy("band").agg(F.max(F.struct("score", -F.col("node"))).alias("hub"))
-        hubs = hubs.select("band", (-F.col("hub.col2")).alias("hub"))
+        hubs = self.scratch.cut(hubs.select("band", (-F.col("hub.col2")).alias("hub")))
         members = self.scratch.cut(met.select("band", "node").join(hubs, "band"))
-        self.scratch.drop(met)
+        self.scratch.drop(sizes, met, hubs)
         return members
 
     def _with_sets(self, pairs: DataFrame) -> DataFrame:
@@ -268,10 +269,10 @@ class NearDuplicates:
         """Every hub against the nodes of its buckets."""
         pairs = members.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
         pairs = self.scratch.cut(pairs)
-        alone = pairs.groupBy("a").agg((F.count("*") < 2).alias("alone"))
+        alone = self.scratch.cut(pairs.groupBy("a").agg((F.count("*") < 2).alias("alone")))
         compared = self._with_sets(pairs.join(alone, "a")).mapInArrow(_against_hub(self.shape), STARS)
         stars = self.scratch.cut(compared)
-        self.scratch.drop(pairs, self.sets)
+        self.scratch.drop(pairs, alone, self.sets)
         return stars
 
     def _left_apart(self, stars: DataFrame, labels: DataFrame) -> DataFrame:
@@ -285,7 +286,8 @@ class NearDuplicates:
         share = (100 - self.shape.percent) / (100 + self.shape.percent)
         found = stars.select("hub", "node", "linked", F.col("differing").alias("d"), "n", "hub_n", F.explode("differences").alias("e"))
         seen = found.groupBy("hub", "e").agg(F.count("*").alias("df"), F.min("linked").alias("all_linked"))
-        shared = found.join(seen.where("df > 1 and not all_linked"), ["hub", "e"])
+        seen = self.scratch.cut(seen.where("df > 1 and not all_linked"))
+        shared = found.join(seen, ["hub", "e"])
         kept = shared.withColumn("rest", F.count("*").over(Window.partitionBy("hub", "node")))
         order = Window.partitionBy("hub", "node").orderBy("df", "e")
         placed = kept.withColumn("pos", F.row_number().over(order) - 1)
@@ -312,13 +314,13 @@ class NearDuplicates:
         pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         pairs = self.scratch.cut(pairs)
         links = self.scratch.cut(self._with_sets(pairs).mapInArrow(_similar_pairs(self.shape), LINKS))
-        self.scratch.drop(placed, pairs, self.sets)
+        self.scratch.drop(seen, placed, pairs, self.sets)
         return links
 
     def classes(self) -> DataFrame:
         labels = connected(self.links, self.scratch)
         nodes = self.nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        least = nodes.groupBy("component").agg(F.min("first_id").alias("component_id"))
+        least = self.scratch.cut(nodes.groupBy("component").agg(F.min("first_id").alias("component_id")))
         named = nodes.join(least, "component").select("set_key", "component_id")
         filled = self.features.join(named, "set_key").select("doc_id", "text_key", "n_shingles", "component_id")
         empty = self.features.where("set_key is null")
