@@ -79,9 +79,10 @@ def _originals(parsed: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id", _hashed(F.col("unit")).alias("hash")).agg(F.min("turn").alias("origin"))
 
 
-def _parents(parsed: DataFrame) -> DataFrame:
+def _parents(parsed: DataFrame, scratch: Scratch) -> DataFrame:
     """(conv_id, turn, origin, linked): the earlier message that most of the outermost linked quotation comes from."""
-    found = _passages(parsed).join(_originals(parsed), ["conv_id", "hash"]).where("origin < turn")
+    originals = scratch.cut(_originals(parsed))  # written, so that Spark can split a passage that many quote
+    found = _passages(parsed).join(originals, ["conv_id", "hash"]).where("origin < turn")
     sums = found.groupBy(*KEY, "level", "origin").agg(F.sum("size").alias("size"), F.sum("n_lines").alias("lines"))
     best = F.max(F.struct(-F.col("level"), "size", "origin", "lines")).alias("best")
     return sums.groupBy(*KEY).agg(best).select(*KEY, F.col("best.origin").alias("origin"), F.col("best.lines").alias("linked"))
@@ -130,7 +131,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     )
     parsed = _lines(narrow)
     placed = parsed.where("conv_id is not null and turn is not null")
-    parents = _parents(placed)
+    parents = _parents(placed, scratch)
     turns = placed.select(*KEY).distinct()
     previous = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("previous"))
     nodes = turns.join(parents, KEY, "left").join(previous, KEY, "left")
