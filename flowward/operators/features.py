@@ -20,12 +20,14 @@ from flowward.profiles import (
     THREAT,
     THREAT_MIN_HITS,
     FeatureProfile,
-    snake_name,
 )
 
 
 class FeatureError(ValueError):
-    """The input does not carry the features a profile asks for."""
+    """The input does not carry the features a profile asks for.
+
+    The wording of these errors is a fixed value: clients show and match it.
+    """
 
 
 # -- names ---------------------------------------------------------------

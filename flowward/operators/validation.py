@@ -19,6 +19,7 @@ RATE_FEATURES = [
 AMOUNT_FEATURES = ["src_bytes", "dst_bytes", "count", "dst_host_srv_count"]
 LOWEST_NEGATIVE = -1000.0
 
+# The wording of all errors below, which clients show and match.
 FAILFAST = "FAILFAST"
 DROP = "DROP"
 
