@@ -115,7 +115,9 @@ class RepeatedLines:
         for more in named[1:]:
             windows = windows.unionByName(more)
         place = F.struct(*DOC, "pos")
-        first = windows.groupBy("size", "head", "tail").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+        first = windows.groupBy("size", "head", "tail").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+        # written before it is joined, so that Spark can split a run that very many documents share
+        first = self.scratch.cut(first.where("n > 1").drop("n"))
         later = windows.join(first, ["size", "head", "tail"]).where(place > F.col("first"))
         covered = later.select(*DOC, F.explode(F.sequence("pos", F.col("pos") + F.col("size") - 1)).alias("pos")).distinct()
         return self.scratch.cut(covered.join(self.positions.select(*DOC, "pos", "line"), [*DOC, "pos"]).drop("pos"))
