@@ -1,9 +1,10 @@
 """Quality rules: counts against fixed limits, then distance from the corpus' own languages.
 
 A text's histogram of character classes and of common words is compared to a reference for each
-language by Jensen-Shannon distance. The references are sums over all documents of the language, and
-the common words are those that all its documents use most. A document goes when it is far from every
-language. Texts under a minimum length are too short for a histogram and are judged by the counts alone.
+language by Jensen-Shannon distance. The references are means over all distinct texts of the language that
+pass the counts, each with equal weight, and the common words are the words with a letter that these use
+most. A document goes when it is far from every language. Texts under a minimum length are too short for a
+histogram and are judged by the counts alone.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ COLUMNS = {
     "base_failed": pa.bool_(),
     "kept": pa.bool_(),
 }
+#: What the shares of one text sum to: whole numbers give the same sums in any order, for 2**33 texts a language.
+SCALE = 1 << 30
 DDL = {pa.int64(): "long", pa.float64(): "double", pa.string(): "string", pa.bool_(): "boolean"}
 
 
@@ -70,7 +73,7 @@ class Limits:
 
 @dataclass(frozen=True)
 class References:
-    """A row per language: shares of character classes, and of the common words and all others."""
+    """A row per language: shares of character classes, and of the common words, words without a letter and all others."""
 
     langs: list[str]
     classes: np.ndarray
@@ -91,6 +94,7 @@ def _class_table() -> np.ndarray:
 
 _CLASS_OF = _class_table()
 _CONTINUED = byte_class((0x80, 0xBF))
+_LETTER = byte_class((ord("A"), ord("Z")), (ord("a"), ord("z")))
 _SYMBOL = byte_class(*((ord(c), ord(c)) for c in SYMBOLS))
 
 
@@ -142,16 +146,17 @@ def _shares(counts: np.ndarray) -> np.ndarray:
     return counts / np.maximum(counts.sum(axis=-1, keepdims=True), 1)
 
 
-def word_shares(hashes: np.ndarray, words: Words, common: np.ndarray) -> np.ndarray:
-    """Shares of each word of ``common`` (sorted hashes), and of all others, a row per text."""
+def word_shares(hashes: np.ndarray, words: Words, common: np.ndarray, lettered: np.ndarray) -> np.ndarray:
+    """Shares of each word of ``common`` (sorted hashes), of words without a letter, and of all others, a row per text."""
     n, k = len(words.bounds) - 1, len(common)
-    if not k:
-        return np.ones((n, 1))
-    place = np.minimum(np.searchsorted(common, hashes), k - 1)
-    hit = np.flatnonzero(common[place] == hashes)
-    row = np.searchsorted(words.bounds, hit, "right") - 1
-    counts = np.bincount(row * (k + 1) + place[hit], minlength=n * (k + 1)).reshape(n, k + 1)
-    counts[:, k] = words.counts - counts[:, :k].sum(axis=1)
+    counts = np.zeros((n, k + 2), np.int64)
+    if k:
+        place = np.minimum(np.searchsorted(common, hashes), k - 1)
+        hit = np.flatnonzero(common[place] == hashes)
+        row = np.searchsorted(words.bounds, hit, "right") - 1
+        counts[:, :k] = np.bincount(row * k + place[hit], minlength=n * k).reshape(n, k)
+    counts[:, k] = per_row(~lettered, words.bounds)
+    counts[:, k + 1] = words.counts - counts[:, : k + 1].sum(axis=1)
     return _shares(counts)
 
 
@@ -163,61 +168,99 @@ def _from_common(shares: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return divergence(shares, reference) / most if most > 0 else np.zeros(len(shares))
 
 
-def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of one task's batch: characters by language and class, words by language and hash."""
-    for batch in batches:
-        langs = batch.column(0).dictionary_encode()
-        names = [v.as_py() for v in langs.dictionary]
-        codes = np.asarray(langs.indices.fill_null(-1))
-        kinds: list = []
-        for texts in chunks(batch.column(1)):
-            words = find_words(texts, SPACED)
-            hashes = word_hashes(texts, words, lower=True)
-            classes, mine = class_counts(texts), codes[texts.first : texts.last]
-            by_word = np.repeat(mine, words.counts)
-            for code in np.unique(mine[mine >= 0]):
-                total = classes[mine == code].sum(axis=0)
-                values, counts = np.unique(hashes[by_word == code], return_counts=True)
-                kinds.append((code, np.arange(len(total)), total, np.zeros(len(total), bool)))
-                kinds.append((code, values.view(np.int64), counts, np.ones(len(values), bool)))
-        if not kinds:
-            continue
-        code = np.concatenate([np.full(len(k[1]), k[0]) for k in kinds])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(names, pa.string()).take(pa.array(code, pa.int64())),
-                pa.array(np.concatenate([k[3] for k in kinds])),
-                pa.array(np.concatenate([k[1] for k in kinds]).astype(np.int64)),
-                pa.array(np.concatenate([k[2] for k in kinds]).astype(np.int64)),
-            ],
-            ["lang", "is_word", "item", "n"],
-        )
+def _base_failed(n_words: np.ndarray, repeated: np.ndarray, limits: Limits) -> np.ndarray:
+    return (n_words < limits.min_words) | (100 * repeated > limits.max_repeat_percent * n_words)
+
+
+def _with_letter(texts: Texts, words: Words, hashes: np.ndarray) -> np.ndarray:
+    """Which words have a letter of any script."""
+    ascii_letters, beyond = (np.concatenate([[0], np.cumsum(m)]) for m in (_LETTER[texts.data], texts.data >= 0x80))
+    found = ascii_letters[words.ends] > ascii_letters[words.starts]
+    open_ = np.flatnonzero(~found & (beyond[words.ends] > beyond[words.starts]))
+    if len(open_):
+        _, first, inverse = np.unique(hashes[open_], return_index=True, return_inverse=True)
+        raw = texts.data.tobytes()
+        spans = [raw[words.starts[i] : words.ends[i]].decode("utf-8", "replace") for i in open_[first]]
+        found[open_] = np.array([any(c.isalpha() for c in w) for w in spans])[inverse]
+    return found
+
+
+def _sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    values, inverse = np.unique(keys, return_inverse=True)
+    sums = np.zeros(len(values), np.int64)
+    np.add.at(sums, inverse, weights)
+    return values, sums
+
+
+def _profile(limits: Limits) -> Callable:
+    """Sums of one task's batch: characters by language and class, words by language and hash (null: without a letter)."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column(0).dictionary_encode()
+            names = [v.as_py() for v in langs.dictionary]
+            codes = np.asarray(langs.indices.fill_null(-1))
+            kinds: list = []
+            for texts in chunks(batch.column(1)):
+                words = find_words(texts, SPACED)
+                counts = words.counts
+                base = _base_failed(counts, _repeated_words(words, word_hashes(texts, words, lower=False)), limits)
+                mine = np.where(base, -1, codes[texts.first : texts.last])
+                hashes = word_hashes(texts, words, lower=True)
+                lettered = _with_letter(texts, words, hashes)
+                classes = np.rint(_shares(class_counts(texts)) * SCALE).astype(np.int64)
+                by_word = np.repeat(mine, counts)
+                weight = np.repeat(np.rint(SCALE / np.maximum(counts, 1)).astype(np.int64), counts)
+                for code in np.unique(mine[mine >= 0]):
+                    total = classes[mine == code].sum(axis=0)
+                    here = by_word == code
+                    values, sums = _sums(hashes[here & lettered], weight[here & lettered])
+                    rest = weight[here & ~lettered].sum()
+                    kinds.append((code, np.arange(len(total)), total, False, False))
+                    kinds.append((code, values.view(np.int64), sums, True, False))
+                    kinds.append((code, np.zeros(1, np.int64), np.array([rest]), True, True))
+            if not kinds:
+                continue
+            spread = lambda at: np.concatenate([np.full(len(k[1]), k[at]) for k in kinds])
+            items = np.concatenate([k[1] for k in kinds]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(names, pa.string()).take(pa.array(spread(0), pa.int64())),
+                    pa.array(spread(3)),
+                    pa.array(items, mask=spread(4)),
+                    pa.array(np.concatenate([k[2] for k in kinds]).astype(np.int64)),
+                ],
+                ["lang", "is_word", "item", "n"],
+            )
+
+    return apply
 
 
 def learn_references(docs: DataFrame, limits: Limits = Limits(), lang_col: str = "lang", max_langs: int = 1000) -> References:
-    """References of every language of ``docs``, from all its documents.
+    """References of every language of ``docs``, from all its distinct texts that pass the base rules.
 
     What reaches the driver is a few dozen numbers a language; more than ``max_langs`` languages are refused.
-    Documents without a language teach nothing; where none has one there are no references.
+    A text counts once in its language, however many rows have it, and texts weigh alike, however long. Documents
+    without a language teach nothing; where none is left to learn from there are no references.
     """
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     narrow = docs.select(lang.alias("lang"), F.col("text").cast("string").alias("text"))
-    sums = narrow.mapInArrow(_profile, "lang string, is_word boolean, item long, n long")
+    narrow = narrow.where("lang is not null and text is not null").distinct()
+    sums = narrow.mapInArrow(_profile(limits), "lang string, is_word boolean, item long, n long")
     sums = sums.groupBy("lang", "is_word", "item").agg(F.sum("n").alias("n"))
     scratch = Scratch(docs.sparkSession, "quality")
     sums = scratch.cut(sums)
     by_count = Window.partitionBy("lang").orderBy(F.col("n").desc(), "item")
     top = (
-        sums.where("is_word")
+        sums.where("is_word and item is not null")
         .withColumn("rank", F.row_number().over(by_count))
         .where(F.col("rank") <= limits.common_words)
         .drop("rank")
     )
-    totals = (
-        sums.where("is_word").groupBy("lang").agg(F.sum("n").alias("n")).selectExpr("lang", "true is_word", "null item", "n")
-    )
-    most = max_langs * (limits.common_words + 1 + len(CLASSES))
-    rows = top.unionByName(totals).unionByName(sums.where("not is_word")).limit(most + 1).collect()
+    totals = sums.where("is_word").groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = totals.selectExpr("lang", "cast(null AS boolean) is_word", "cast(null AS long) item", "n")
+    most = max_langs * (limits.common_words + 2 + len(CLASSES))
+    rows = top.unionByName(totals).unionByName(sums.where("not is_word or item is null")).limit(most + 1).collect()
     scratch.drop(sums)
     if len(rows) > most:
         raise ValueError(f"More than {max_langs} languages")
@@ -227,12 +270,13 @@ def learn_references(docs: DataFrame, limits: Limits = Limits(), lang_col: str =
     for place, name in enumerate(langs):
         mine = [r for r in rows if r.lang == name]
         for r in mine:
-            if not r.is_word:
+            if r.is_word is False:
                 classes[place, r.item] = r.n
-        total = sum(r.n for r in mine if r.is_word and r.item is None)
+        total = sum(r.n for r in mine if r.is_word is None)
+        bare = sum(r.n for r in mine if r.is_word and r.item is None)
         found = sorted((int(np.int64(r.item).view(np.uint64)), r.n) for r in mine if r.is_word and r.item is not None)
         common.append(np.array([h for h, _ in found], np.uint64))
-        counts = np.array([n for _, n in found] + [total - sum(n for _, n in found)], float)
+        counts = np.array([n for _, n in found] + [bare, total - bare - sum(n for _, n in found)], float)
         shares.append(_shares(counts))
     return References(langs, _shares(classes), common, shares)
 
@@ -244,15 +288,16 @@ def measure(texts: Texts, refs: References, limits: Limits) -> dict[str, np.ndar
     n_words = words.counts
     inside = SPACED[texts.data] & ~_CONTINUED[texts.data]
     repeated = _repeated_words(words, hashes)
-    base = (n_words < limits.min_words) | (100 * repeated > limits.max_repeat_percent * n_words)
+    base = _base_failed(n_words, repeated, limits)
     n = len(n_words)
     class_far, word_far, nearest = np.zeros(n), np.zeros(n), np.full(n, -1)
     if refs.langs:
         counted = _shares(class_counts(texts))
         lowered = word_hashes(texts, words, lower=True)
         by_class = np.stack([divergence(counted, ref) for ref in refs.classes], axis=1)
+        lettered = _with_letter(texts, words, lowered)
         by_word = np.stack(
-            [_from_common(word_shares(lowered, words, c), w) for c, w in zip(refs.common, refs.words, strict=True)], axis=1
+            [_from_common(word_shares(lowered, words, c, lettered), w) for c, w in zip(refs.common, refs.words, strict=True)], axis=1
         )
         nearest = np.argmin(by_class + by_word, axis=1)
         class_far, word_far = by_class.min(axis=1), by_word.min(axis=1)

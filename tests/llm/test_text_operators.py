@@ -120,6 +120,34 @@ def test_quality_keeps_prose_and_drops_junk(spark):
     assert passed.columns == table.columns and passed.count() == 300
 
 
+def test_quality_references_are_not_copies_of_junk(spark):
+    rng = random.Random(15)
+    common, rare = ["the", "of", "and", "to", "in", "a", "is"], [noise(rng, 7, "abcdefghilmnorstuvw") for _ in range(4000)]
+    prose = [" ".join(rng.choice(common) if rng.random() < 0.4 else rng.choice(rare) for _ in range(150)) + "." for _ in range(200)]
+    symbols = [" ".join(w + "&&&***" for w in rng.sample(rare, 120)) for _ in range(5)]
+    table = [" | ".join(rng.sample(rare, 120)) for _ in range(5)]
+    poor = ["&&& *** " * 2000, "| " + "word | " * 20]  # fail the base rules
+    for copies in (symbols[0], table[0], *poor):
+        docs = documents(spark, prose + symbols + table + [copies] * 105)  # a third of the rows
+        kept = {r.doc_id: r.kept for r in Q.judge(docs).collect()}
+        assert all(kept[k] for k in range(200)) and not any(kept[k] for k in range(200, 315))
+    once, often = (Q.learn_references(documents(spark, prose + poor * n)) for n in (0, 50))
+    assert np.array_equal(once.classes, often.classes) and np.array_equal(once.words[0], often.words[0])
+
+
+def test_quality_references_weigh_texts_alike(spark):
+    rng = random.Random(16)
+    rare = [noise(rng, 7, "abcdefghilmnorstuvw") for _ in range(4000)]
+    short = [" ".join(["alpha"] * 30 + rng.sample(rare, 30)) for _ in range(9)]
+    long = " ".join("omega" if k % 2 else rng.choice(rare) for k in range(20_000))
+    refs = Q.learn_references(documents(spark, [*short, long]), Q.Limits(common_words=1, max_repeat_percent=100))
+    texts = next(Q.chunks(Q.pa.array(["alpha omega | — 12 é"])))
+    words = Q.find_words(texts, Q.SPACED)
+    hashes = Q.word_hashes(texts, words, lower=True)
+    assert refs.common[0].tolist() == [hashes[0]] and refs.words[0][0] == pytest.approx(0.45, abs=1e-6)
+    assert Q._with_letter(texts, words, hashes).tolist() == [True, True, False, False, False, True]
+
+
 # -- decontamination ---------------------------------------------------------------
 
 
