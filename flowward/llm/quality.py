@@ -59,7 +59,8 @@ class Limits:
 
     ``class_words`` and ``histogram_words`` are the least numbers of words for which the histogram of
     classes and that of common words is compared. The distance of common words is a share of the one that
-    a text without any of them has.
+    a text without any of them has. From ``short_words`` to ``histogram_words`` few words are counted, so a text
+    goes only beyond ``max_short_distance``, farther than one without any common word.
     """
 
     min_words: int = 50
@@ -69,6 +70,8 @@ class Limits:
     max_word_distance: float = 0.95
     class_words: int = 50
     histogram_words: int = 60
+    short_words: int = 50
+    max_short_distance: float = 1.0
 
 
 @dataclass(frozen=True)
@@ -301,8 +304,11 @@ def measure(texts: Texts, refs: References, limits: Limits) -> dict[str, np.ndar
         )
         nearest = np.argmin(by_class + by_word, axis=1)
         class_far, word_far = by_class.min(axis=1), by_word.min(axis=1)
-    far = ((class_far > limits.max_class_distance) & (n_words >= limits.class_words)) | (
-        (word_far > limits.max_word_distance) & (n_words >= limits.histogram_words)
+    short = (n_words >= limits.short_words) & (n_words < limits.histogram_words)
+    far = (
+        ((class_far > limits.max_class_distance) & (n_words >= limits.class_words))
+        | ((word_far > limits.max_word_distance) & (n_words >= limits.histogram_words))
+        | ((word_far > limits.max_short_distance) & short)
     )
     names = [*refs.langs, None]
     return {

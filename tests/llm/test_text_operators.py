@@ -135,6 +135,17 @@ def test_quality_references_are_not_copies_of_junk(spark):
     assert np.array_equal(once.classes, often.classes) and np.array_equal(once.words[0], often.words[0])
 
 
+def test_quality_judges_words_of_short_texts(spark):
+    rng = random.Random(17)
+    common, rare = ["the", "of", "and", "to", "in", "a", "is"], [noise(rng, 7, "abcdefghilmnorstuvw") for _ in range(4000)]
+    draw = lambda n: " ".join(rng.choice(common) if rng.random() < 0.4 else rng.choice(rare) for _ in range(n))
+    prose = [draw(150) for _ in range(200)]
+    clean = [draw(n) for n in range(50, 60) for _ in range(5)]
+    junk = [" ".join(rng.choice(rare) if k % 2 else "|" for k in range(n)) for n in range(50, 60) for _ in range(5)]
+    rows = {r.doc_id: r for r in Q.judge(documents(spark, prose + clean + junk)).collect()}
+    assert all(rows[k].kept for k in range(250)) and not any(rows[k].base_failed or rows[k].kept for k in range(250, 300))
+
+
 def test_quality_references_weigh_texts_alike(spark):
     rng = random.Random(16)
     rare = [noise(rng, 7, "abcdefghilmnorstuvw") for _ in range(4000)]
