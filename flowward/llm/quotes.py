@@ -11,6 +11,10 @@ from flowward.llm.scratch import Scratch
 LEAD = r"(?i)\b(wrote|writes|schrieb|escribió|a écrit)\s*:\s*$"
 QUOTE = r"^(\s*>)+"
 KEY = ["conv_id", "turn"]
+#: Of normalised text.
+SENTENCE = r"(?<=[.!?…])\s+|(?<=[。！？])\s*"
+#: Words in a row that link a part of a message that is no whole line, paragraph or sentence.
+WINDOW = 8
 
 
 def _level(line: F.Column) -> F.Column:
@@ -53,37 +57,93 @@ def _hashed(text: F.Column) -> F.Column:
     return F.unhex(F.md5(text))
 
 
+def _sentences(normal: F.Column) -> F.Column:
+    return F.filter(F.split(normal, SENTENCE), lambda x: x != "")
+
+
+def _word_windows(words: F.Column) -> F.Column:
+    """Every run of ``WINDOW`` entries of ``words``."""
+    last = F.size(words) - WINDOW
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(words, i + 1, WINDOW))
+
+
 def _passages(parsed: DataFrame) -> DataFrame:
-    """Quoted passages (conv_id, turn, level, hash, size): runs of lines of one level, and their lines one by one."""
+    """Quoted passages (conv_id, turn, level, hash, size, n_lines, lines).
+
+    Runs of lines of one level and their lines one by one; paragraphs between blank quoted lines, sentences of these and
+    windows of words of a run, which may begin and end inside lines. ``lines`` are the lines of a passage, ``n_lines``
+    their number, 0 for those of the second kind.
+    """
     rows = parsed.where(F.exists("lines", lambda s: s["level"] > 0)).select(
         *KEY, F.md5("text").alias("text_key"), F.explode("lines").alias("s")
     )
     rows = rows.select(*KEY, "text_key", "s.*").distinct()
     text = Window.partitionBy(*KEY, "text_key").orderBy("at")  # the lines of one message
     begins = F.coalesce(F.col("level") != F.lag("level").over(text), F.lit(True))
-    rows = rows.withColumn("run", F.sum(begins.cast("int")).over(text)).where("level > 0")
-    rows = rows.withColumn("normal", _normal(F.col("body"))).where("normal != ''")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "normal"))), lambda s: s["normal"]), " ")
-    whole = rows.groupBy(*KEY, "text_key", "run", "level").agg(joined.alias("normal"), F.count("*").alias("n"))
-    single = rows.select(*KEY, "level", "normal", F.lit(1).alias("n_lines"))
-    both = whole.where("n > 1").select(*KEY, "level", "normal", F.col("n").cast("int").alias("n_lines")).unionByName(single)
-    return both.select(*KEY, "level", _hashed(F.col("normal")).alias("hash"), F.length("normal").alias("size"), "n_lines")
-
-
-def _originals(parsed: DataFrame) -> DataFrame:
-    """(conv_id, hash, origin): where a message's own text, paragraph or line stood first in its conversation."""
-    own = parsed.select(*KEY, _own_text().alias("own")).where("own != ''")
-    units = F.concat(F.array("own"), F.split("own", r"\n[ \t]*\n"), F.split("own", "\n"))
-    units = F.array_distinct(F.transform(units, lambda u: _normal(u)))
+    rows = rows.withColumn("normal", _normal(F.col("body"))).withColumn("begins", begins)
+    rows = rows.withColumn("run", F.sum(F.col("begins").cast("int")).over(text))
+    rows = rows.withColumn("paragraph", F.sum((F.col("begins") | (F.col("normal") == "")).cast("int")).over(text))
+    rows = rows.where("level > 0 and normal != ''")
+    line = F.struct("at", "normal")
+    joined = lambda lines: F.array_join(F.transform(lines, lambda s: s["normal"]), " ")
+    places = lambda lines: F.transform(lines, lambda s: s["at"])
+    whole = rows.groupBy(*KEY, "text_key", "run", "level").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    single = rows.select(*KEY, "level", "normal", F.lit(1).alias("n_lines"), F.array("at").alias("lines"))
+    runs = whole.where(F.size("lines") > 1).select(
+        *KEY, "level", joined(F.col("lines")).alias("normal"), F.size("lines").alias("n_lines"), places(F.col("lines")).alias("lines")
+    )
+    parts = rows.groupBy(*KEY, "text_key", "paragraph", "level").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    parts = parts.withColumn("whole", joined(F.col("lines")))
+    units = F.array_distinct(F.concat(F.array("whole"), _sentences(F.col("whole"))))
+    parts = parts.select(*KEY, "level", "lines", F.explode(units).alias("normal"))
+    covered = F.filter("lines", lambda s: F.col("normal").contains(s["normal"]) | s["normal"].contains(F.col("normal")))
+    covered = F.when(F.size(covered) > 0, covered).otherwise(F.slice("lines", 1, 1))
+    parts = parts.select(*KEY, "level", "normal", F.lit(0).alias("n_lines"), places(covered).alias("lines"))
+    words = F.flatten(
+        F.transform("lines", lambda s: F.transform(F.split(s["normal"], " "), lambda w: F.struct(s["at"].alias("at"), w.alias("normal"))))
+    )
+    windows = whole.select(*KEY, "level", words.alias("words"))
+    windows = windows.select(*KEY, "level", F.explode(_word_windows(F.col("words"))).alias("lines"))
+    windows = windows.select(
+        *KEY,
+        "level",
+        joined(F.col("lines")).alias("normal"),
+        F.lit(0).alias("n_lines"),
+        F.array_distinct(places(F.col("lines"))).alias("lines"),
+    )
+    every = single.unionByName(runs).unionByName(parts).unionByName(windows)
+    return every.select(*KEY, "level", _hashed(F.col("normal")).alias("hash"), F.length("normal").alias("size"), "n_lines", "lines")
+
+
+def _originals(parsed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(conv_id, hash, origin): where a message's own text, paragraph, line, sentence or window of words stood first.
+
+    Only of conversations that have quotations.
+    """
+    quoting = parsed.where(F.exists("lines", lambda s: s["level"] > 0)).select("conv_id").distinct()
+    quoting = scratch.cut(quoting)  # written, so that Spark can split a conversation that many rows have
+    own = parsed.select(*KEY, _own_text().alias("own")).where("own != ''").join(quoting, "conv_id", "left_semi")
+    paragraphs = F.transform(F.split("own", r"\n[ \t]*\n"), lambda u: _normal(u))
+    units = F.concat(F.array(_normal(F.col("own"))), F.transform(F.split("own", "\n"), lambda u: _normal(u)))
+    own = own.select(*KEY, units.alias("units"), paragraphs.alias("paragraphs"))
+    windows = F.transform(_word_windows(F.split(F.col("units")[0], " ")), lambda w: F.array_join(w, " "))
+    sentences = F.flatten(F.transform("paragraphs", _sentences))
+    units = F.array_distinct(F.concat("units", "paragraphs", sentences, windows))
     rows = own.select(*KEY, F.explode(units).alias("unit")).where("unit != ''")
     return rows.groupBy("conv_id", _hashed(F.col("unit")).alias("hash")).agg(F.min("turn").alias("origin"))
 
 
 def _parents(parsed: DataFrame, scratch: Scratch) -> DataFrame:
     """(conv_id, turn, origin, linked): the earlier message that most of the outermost linked quotation comes from."""
-    originals = scratch.cut(_originals(parsed))  # written, so that Spark can split a passage that many quote
+    originals = scratch.cut(_originals(parsed, scratch))  # written, so that Spark can split a passage that many quote
     found = _passages(parsed).join(originals, ["conv_id", "hash"]).where("origin < turn")
-    sums = found.groupBy(*KEY, "level", "origin").agg(F.sum("size").alias("size"), F.sum("n_lines").alias("lines"))
+    found = found.select(*KEY, "level", "origin", "size", "n_lines", F.posexplode("lines").alias("place", "at"))
+    once = lambda name: F.sum(F.when(F.col("place") == 0, F.col(name)).otherwise(0)).alias(name)
+    sums = found.groupBy(*KEY, "level", "origin", "at").agg(once("size"), once("n_lines"))
+    # runs and lines count as they are, or else the lines that sentences and windows touch
+    lines = F.greatest(F.sum("n_lines"), F.count("*")).alias("lines")
+    sums = sums.groupBy(*KEY, "level", "origin").agg(F.sum("size").alias("size"), lines)
     best = F.max(F.struct(-F.col("level"), "size", "origin", "lines")).alias("best")
     return sums.groupBy(*KEY).agg(best).select(*KEY, F.col("best.origin").alias("origin"), F.col("best.lines").alias("linked"))
 
@@ -113,7 +173,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     """Conversations in reply order, without quotations: one row per input row.
 
     Quoted passages (lines after ``>``, nested ones by their level) are normalised, hashed and joined to the first
-    message of the conversation with that text, paragraph or line. ``reply_to`` is the message most of the outermost
+    message of the conversation with that text, paragraph, line, sentence or run of ``WINDOW`` words. ``reply_to`` is the message most of the outermost
     linked quotation comes from (ties: the later one), ``by_quote`` tells so; else it is the message one turn before,
     or null. ``own_text`` is the text without quotations and the lines that lead over to them, ``formatted`` the same
     with its role. Ordered by conv_id, root_turn, depth and turn, every message comes after the one it replies to;

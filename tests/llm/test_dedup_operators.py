@@ -255,6 +255,42 @@ def test_random_quotations_find_their_message(spark):
         assert r.reply_to == truth.get(key, key[1] - 1 if key[1] else None)
 
 
+def test_wrapped_and_partial_quotations_find_their_message(spark):
+    rng = random.Random(31)
+    wrap = lambda text, n: [" ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n)]
+    rows, truth = [], {}
+    for conv in range(24):
+        own = []
+        for turn in range(4):
+            paragraphs = ["\n".join(" ".join(words(rng, 11)) for _ in range(3)) for _ in range(3)]
+            own.append("\n\n".join(paragraphs))
+            rows.append((conv, turn, "user", own[-1]))
+        own.append("It is so. Seven apples fell! Who saw them fall? Nobody there did.")
+        rows.append((conv, 4, "user", own[-1]))
+        source = rng.randrange(3)
+        parts = own[source].split("\n\n")
+        kind = conv % 4
+        if kind == 0:  # two of three paragraphs, wrapped anew
+            quoted = wrap(parts[0], 7) + [""] + wrap(parts[1], 7)
+        elif kind == 1:  # some lines of a paragraph, wrapped anew
+            quoted = wrap(" ".join(parts[1].split("\n")[1:]), 4)
+        elif kind == 2:  # from the middle of a line to the middle of another
+            quoted = wrap(" ".join(parts[2].split()[5:25]), 6)
+        else:  # two short sentences out of a line, the first wrapped
+            quoted, source = ["Seven apples", "fell! Who saw them fall?"], 4
+        lines = "\n".join("> " + x for x in quoted)
+        rows += [(conv, 5, "user", "Something between."), (conv, 6, "user", f"{lines}\nAnswer.")]
+        rows.append((conv, 7, "user", "> these words stand nowhere before in what was said\nAnswer."))
+        truth[conv] = source, len([x for x in quoted if x])
+    found = {(r.conv_id, r.turn): r for r in quotes.link_quotes(spark.createDataFrame(rows, CHAT)).collect()}
+    assert len(found) == len(rows)
+    for conv, (source, n) in truth.items():
+        r = found[conv, 6]
+        assert (r.reply_to, r.by_quote, r.own_text) == (source, True, "Answer."), (conv, r)
+        assert 1 <= r.n_linked_lines and (found[conv, 7].reply_to, found[conv, 7].by_quote) == (6, False)
+        assert conv % 4 == 3 or r.n_linked_lines >= n
+
+
 # -- pipeline ----------------------------------------------------------------------
 
 
