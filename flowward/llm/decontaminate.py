@@ -178,8 +178,13 @@ def _judge_rows(words: Words, found: Matches, tests: TestSet) -> dict[str, list]
         pairs = np.unique(np.stack([found.row, found.item], axis=1), axis=0)
         for row, item in pairs:
             items[row].append(tests.items[item])
+        items = [sorted(set(names)) for names in items]  # an id may stand for several texts
         row, at, length, item, item_at = longest_runs(found)
-        order = np.lexsort((item_at, item, at, -length, row))
+        used, place = np.unique(item, return_inverse=True)
+        names = [tests.items[k] for k in used]
+        rank = {name: k for k, name in enumerate(sorted(set(names)))}
+        by_name = np.array([rank[name] for name in names], np.int64)[place]
+        order = np.lexsort((item_at, by_name, at, -length, row))
         best = order[np.unique(row[order], return_index=True)[1]]
         for k in best:
             r = row[k]
@@ -269,9 +274,9 @@ def _many_passes(docs: DataFrame, blocks: list[TestSet]) -> DataFrame:
     rows = passes.groupBy("doc_id", "key").agg(
         F.max("n_words").alias("n_words"),
         (F.count("*") / len(blocks)).cast("int").alias("copies"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.max(F.struct("longest_match", -F.col("match_start"), "match_item", "match_item_start")).alias("best"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("hits")))).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.min(F.struct((-F.col("longest_match")).alias("shorter"), "match_start", "match_item", "match_item_start")).alias("best"),
     )
     covered = F.aggregate(
         "hits",
@@ -291,8 +296,8 @@ def _many_passes(docs: DataFrame, blocks: list[TestSet]) -> DataFrame:
             F.size("items").cast("long").alias("n_items"),
             F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
             ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-            F.col("best.longest_match"),
-            (-F.col("best.col2")).alias("match_start"),
+            (-F.col("best.shorter")).alias("longest_match"),
+            F.col("best.match_start"),
             F.col("best.match_item"),
             F.col("best.match_item_start"),
             "key",
@@ -336,8 +341,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_BYTE
 
     A word is hit when it lies in an occurrence of 13 consecutive words of an item (a shorter item: of all its
     words). A document is contaminated when at least a twentieth of its words is hit. ``longest_match`` is in
-    words, its place given in words of the document and of ``match_item``; ties go to the earliest place. Null
-    and empty texts have no words; repeated rows are judged alike; an empty benchmark contaminates nothing;
+    words, its place given in words of the document and of ``match_item``; ties go to the earliest place,
+    then to the least item. Null and empty texts have no words; repeated rows are judged alike; an empty benchmark contaminates nothing;
     other columns are not read. A benchmark of more than ``limit`` bytes takes several passes, and of a match
     that runs through items of different passes only one is named.
     """

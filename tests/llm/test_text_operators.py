@@ -219,6 +219,24 @@ def test_hits_match_plain_search(spark, limit):
     assert sorted(r.doc_id for r in clean.collect()) == sorted(k for k in rows if not rows[k].contaminated)
 
 
+def test_one_and_many_passes_name_the_same_items(spark):
+    rng = random.Random(19)
+    draw = lambda n: " ".join(rng.choice(PLAIN) for _ in range(n))
+    one, two, shared, lone = draw(20), draw(20), draw(25), draw(20)
+    items = [("same", one), ("same", two), (None, lone), (None, lone + " end")]
+    items += [(f"tie{k}", f"{shared} {draw(9)}") for k in range(9)]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    texts = [f"{one} x {two}", f"a {shared} b", f"{lone} end", "nothing"]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1, texts[1])] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole, parts = (sorted(D.decontaminate(docs, benchmark, limit).collect()) for limit in (D.BLOCK_BYTES, 900))
+    assert len(D.test_sets(benchmark, 900)) > 1 and whole == parts and len(whole) == 24
+    by_id = {r.doc_id: r for r in whole}
+    assert [by_id[k].n_items for k in range(4)] == [1, 9, 1, 0]
+    assert by_id[0].items_sha256 == D.digest(["same"]) and by_id[2].items_sha256 == D.digest(["null"])
+    assert (by_id[1].longest_match, by_id[1].match_item, by_id[3].longest_match) == (25, "tie0", 0)
+
+
 def test_empty_benchmark(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     rows = D.decontaminate(documents(spark, ["a b c", None]), empty).collect()
