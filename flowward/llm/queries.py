@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from flowward.llm.alignment import alignment_digests
+from flowward.llm.bpe import encoded_digests
 from flowward.llm.decontaminate import decontaminate
 from flowward.llm.languages import identify
 from flowward.llm.line_dedup import dedup_lines
@@ -15,6 +17,7 @@ from flowward.llm.near_dups import near_duplicates
 from flowward.llm.packing import pack_documents
 from flowward.llm.quality import judge
 from flowward.llm.quotes import link_quotes
+from flowward.llm.role_repair import repair_digests
 from flowward.llm.secret_scan import scan_secrets
 from flowward.llm.token_counts import count_tokens
 from flowward.llm.url_filter import judge_urls
@@ -66,6 +69,18 @@ def op10_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotes(_table(spark, sf_dir, "conversations"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digests(_table(spark, sf_dir, "conversations"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
@@ -77,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_quotes": op10_quotes,
+    "op11_alignment": op11_alignment,
+    "op12_role_repair": op12_role_repair,
+    "op13_bpe": op13_bpe,
     "pipeline": corpus_pipeline.run,
 }
 

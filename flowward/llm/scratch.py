@@ -21,13 +21,13 @@ class Scratch:
         self.spark = spark
         self.name = name
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` once and go on from the written table."""
+    def cut(self, df: DataFrame, **options: str) -> DataFrame:
+        """Write ``df`` once, with ``options`` of the writer, and go on from the written table."""
         path = scratch_path(self.spark, self.name)
         before = self.spark.conf.get(_CLEANUP, None)
         self.spark.conf.set(_CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            df.write.options(**options).parquet(path)
         finally:
             if before is None:
                 self.spark.conf.unset(_CLEANUP)

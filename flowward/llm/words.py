@@ -95,6 +95,51 @@ def find_words(texts: Texts, word_bytes: np.ndarray) -> Words:
     return Words(starts, np.flatnonzero(closes) + 1, np.searchsorted(starts, offsets))
 
 
+#: White space beyond ASCII, as UTF-8 bytes read as one number.
+_WIDE_SPACE = np.array(
+    [0xC285, 0xC2A0, 0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080], np.int64
+)
+
+
+def cut_before(texts: Texts, opening: np.ndarray) -> Words:
+    """Words that cover each row, cut before every ``opening`` byte that follows no white space.
+
+    With ASCII white space as ``opening``, a word is a run of white space and what stands up to the next one.
+    Byte-level tokenizers never join across such a cut, nor do they look beyond it.
+    """
+    data, offsets = texts.data, texts.offsets
+    at = np.flatnonzero(opening[data])
+    at = at[at > 0]
+    before = data[at - 1]
+    keep = SPACED[before]
+    wide = np.flatnonzero(before >= 0x80)
+    if len(wide):
+        last = data[at[wide] - 1].astype(np.int64)
+        second = data[at[wide] - 2].astype(np.int64)
+        third = data[np.maximum(at[wide] - 3, 0)].astype(np.int64)
+        two, three = second << 8 | last, third << 16 | second << 8 | last
+        keep[wide] = ~(np.isin(two, _WIDE_SPACE) | np.isin(three, _WIDE_SPACE))
+    begins = np.zeros(len(data) + 1, bool)
+    begins[at[keep]] = True
+    begins[offsets[:-1]] = True  # of an empty last row: the end, which is no start
+    starts = np.flatnonzero(begins[:-1])
+    ends = np.append(starts[1:], len(data))[: len(starts)]
+    return Words(starts, ends, np.searchsorted(starts, offsets))
+
+
+def word_texts(texts: Texts, words: Words) -> pa.Array:
+    """The words of ``cut_before`` as an Arrow array; no word is copied one by one."""
+    offsets = np.append(words.starts, len(texts.data)).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(words.starts), pa.py_buffer(offsets), pa.py_buffer(texts.data))
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``flat[s : s + n]`` of every (s, n), one after another."""
+    ends = np.cumsum(counts)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.arange(total) + np.repeat(starts - ends + counts, counts)]
+
+
 def _byte_values(lower: bool) -> np.ndarray:
     table = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     table = table ^ (table >> np.uint64(31))
