@@ -14,20 +14,17 @@ import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 from tokenizers import Tokenizer
 
 from flowward.llm.scratch import Scratch
 from flowward.llm.words import SPACED, Texts, Words, chunks, cut_before, gather, word_hashes, word_texts
 
-#: Bound of the table that tasks hold: words, and bytes of one word and of its decoded text. At most 90 MB.
-HOT_WORDS = 1 << 19
+#: Bound of the table that tasks hold: words, and bytes of one word. At most 80 MB, commonly 35 MB.
+HOT_WORDS = 1 << 20
 HOT_BYTES = 48
 #: Word occurrences put together at a time.
 RUN = 1 << 19
@@ -104,35 +101,76 @@ def _encode_words(path: str) -> Callable:
     return apply
 
 
-@pandas_udf(StringType())
-def _utf8(raw: pd.Series) -> pd.Series:
+def _utf8(raw: pa.Array) -> pa.Array:
     """Bytes as text; what is no UTF-8 becomes U+FFFD, as the tokenizer does it."""
-    return raw.map(lambda b: None if b is None else bytes(b).decode("utf-8", "replace"))
+    try:
+        return raw.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([b.decode("utf-8", "replace") for b in raw.to_pylist()], pa.string())
 
 
-def decode_ids(table: DataFrame, key: str, ids: str, tokenizer: str | None = None) -> DataFrame:
-    """(key, decoded) of rows with a unique ``key`` and an array of ids, through a join of ids and pieces.
-
-    Special tokens are decoded to their text. A null or empty array gives the empty text, an id that the vocabulary
-    does not have gives nothing; an empty table stays empty.
+def _regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Successive rows (w, ..., id, piece) of one ``w`` as one row (..., ids, decoded)."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        w = held.column("w").to_numpy()
+        if len(w) and w[0] != w[-1]:
+            complete = int(np.searchsorted(w, w[-1]))  # w only grows
+            yield from _regrouped(held.slice(0, complete))
+            held = held.slice(complete)
+    if held is not None and len(held):
+        yield from _regrouped(held)
+
+
+def _regrouped(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    rows = rows.combine_chunks()
+    starts = np.flatnonzero(np.diff(rows.column("w").to_numpy(), prepend=-1))
+    real = pa.compute.is_valid(rows.column("id")).to_numpy().astype(np.int64)
+    ids = rows.column("id").drop_null().combine_chunks()
+    bounds = np.concatenate([[0], np.cumsum(real)])[np.append(starts, len(rows))]
+    data, offsets = _flat_bytes(rows.column("piece"))
+    offsets = pa.py_buffer(offsets[np.append(starts, len(rows))])
+    raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, offsets, pa.py_buffer(data)])
+    kept = rows.drop_columns(["w", "id", "piece"]).take(pa.array(starts)).combine_chunks()
+    columns = [kept.column(c).combine_chunks() for c in kept.column_names]
+    lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), ids)
+    yield pa.RecordBatch.from_arrays([*columns, lists, _utf8(raw)], [*kept.column_names, "ids", "decoded"])
+
+
+def decode_ids(table: DataFrame, ids: str = "ids", tokenizer: str | None = None) -> DataFrame:
+    """``table`` with ``decoded``, the text of the array ``ids``, through a join of ids and pieces.
+
+    Special tokens are decoded to their text. A null or empty array gives the empty text (and comes back empty), an
+    id that the vocabulary does not have gives nothing; an empty table stays empty. The pieces are broadcast: they
+    are as many as the tokenizer that each task holds has ids. Such a join leaves the rows of an array together and
+    in order, so they need no shuffle to be put together again.
     """
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    pieces = piece_table(table.sparkSession, tokenizer)
-    each = table.select(F.col(key).alias("key"), F.posexplode_outer(F.col(ids)).alias("pos", "id"))
-    in_order = F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("pos", "piece"))))
-    joined = each.join(pieces, each["id"].cast("int") == pieces["id"], "left").groupBy("key").agg(in_order.alias("found"))
-    raw = F.aggregate("found", F.lit(b""), lambda all_, one: F.concat(all_, one["piece"]))
-    return joined.select(F.col("key").alias(key), _utf8(raw).alias("decoded"))
+    pieces = F.broadcast(piece_table(table.sparkSession, tokenizer).withColumnRenamed("id", "__id"))
+    kept = [c for c in table.columns if c not in (ids, "decoded")]
+    numbered = table.withColumn("w", F.monotonically_increasing_id())
+    each = numbered.select("w", *kept, F.posexplode_outer(F.col(ids).cast("array<int>")).alias("pos", "id"))
+    # the other columns go with the first id alone: a long text is not repeated with each of its ids
+    once = [F.when(F.coalesce("pos", F.lit(0)) == 0, F.col(c)).alias(c) for c in kept]
+    each = each.select("w", *once, "id")
+    joined = each.join(pieces, each["id"] == pieces["__id"], "left").select("w", *kept, "id", "piece")
+    fields = [f"`{c}` {table.schema[c].dataType.simpleString()}" for c in kept]
+    back = joined.mapInArrow(_regroup, ", ".join([*fields, "ids array<int>", "decoded string"]))
+    return back.withColumnRenamed("ids", ids)
 
 
 def word_table(docs: DataFrame, scratch: Scratch, tokenizer: str, text_col: str = "text") -> DataFrame:
-    """(w, word, n, ids, decoded): each distinct word, encoded and decoded once; a written table."""
+    """(word, n, ids, other): each distinct word, encoded and decoded once; a written table.
+
+    ``other`` is what its ids decode to, null where that is the word itself.
+    """
     counted = distinct_words(docs, text_col)
     encoded = counted.mapInArrow(_encode_words(tokenizer), "word string, n long, ids array<int>")
-    encoded = scratch.cut(encoded.withColumn("w", F.monotonically_increasing_id()))
-    table = scratch.cut(encoded.join(decode_ids(encoded, "w", "ids", tokenizer), "w"))
-    scratch.drop(encoded)
-    return table
+    other = F.when(F.col("decoded") != F.col("word"), F.col("decoded"))
+    table = decode_ids(encoded, "ids", tokenizer).select("word", "n", "ids", other.alias("other"))
+    return scratch.cut(table, compression="zstd")
 
 
 # ---- the words that tasks hold ---------------------------------------------------------------------------------
@@ -161,14 +199,19 @@ class HotWords:
     def __init__(self, rows: pa.Table):
         rows = rows.sort_by([("n", "descending"), ("word", "ascending")]).combine_chunks()
         n = len(rows)
-        texts = next(chunks(rows.column("word"), 1 << 40)) if n else Texts(0, 0, np.zeros(0, np.uint8), np.zeros(1, np.int64))
-        places = np.arange(n + 1)
-        hashes = word_hashes(texts, Words(texts.offsets[:-1], texts.offsets[1:], places), lower=False)
+        data, bounds = _flat_bytes(rows.column("word"))
+        hashes = word_hashes(Texts(0, n, data, bounds), Words(bounds[:-1], bounds[1:], np.arange(n + 1)), lower=False)
         order = np.argsort(hashes)
         self.size, self.hashes, self.codes = n, hashes[order], order.astype(np.uint32)
-        self.ids, self.id_bounds = _flat_lists(rows.column("ids"))
-        decoded = next(chunks(rows.column("decoded"), 1 << 40), None)
-        self.text, self.text_bounds = (decoded.data, decoded.offsets) if decoded else (np.zeros(0, np.uint8), places)
+        ids, id_bounds = _flat_lists(rows.column("ids"))
+        self.text, text_bounds = _flat_bytes(pa.compute.coalesce(rows.column("other"), rows.column("word")))
+        self.ids = ids.astype(np.min_scalar_type(ids.max(initial=0)))  # sent to every executor: as narrow as it goes
+        self.sizes = [np.diff(b).astype(np.uint16) for b in (id_bounds, text_bounds)]
+
+    @functools.cached_property
+    def bounds(self) -> list[np.ndarray]:
+        """Where the ids and the decoded bytes of each word begin."""
+        return [np.concatenate([[0], np.cumsum(s, dtype=np.int64)]) for s in self.sizes]
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word, ``size`` for those that are not here."""
@@ -188,6 +231,19 @@ def _flat_lists(column) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _flat_bytes(column) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes, bounds by row) of a column of bytes or text; null is empty."""
+    column = pa.compute.fill_null(column.cast(pa.large_binary()), b"")
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def _to_codes(shared) -> Callable:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot: HotWords = shared.value
@@ -265,6 +321,7 @@ def _texts_of(hot: HotWords, rows: pa.RecordBatch) -> pa.RecordBatch:
     rare = joined.flatten()
     order = np.lexsort((rare.field("k").to_numpy(), np.repeat(np.arange(len(held)), held)))
     rare = rare.take(pa.array(order))
+    words = pa.compute.coalesce(rare.field("other"), rows.column("rare").flatten())
     base = np.cumsum(held) - held
     codes += np.where(codes >= hot.size, np.repeat(base, n_words), 0)
 
@@ -275,10 +332,8 @@ def _texts_of(hot: HotWords, rows: pa.RecordBatch) -> pa.RecordBatch:
         bounds = np.concatenate([[0], np.cumsum(sizes[codes])])[word_bounds]
         return gather(flat, starts[codes], sizes[codes]), bounds
 
-    ids, id_bounds = all_of(hot.ids, hot.id_bounds, *_flat_lists(rare.field("ids")))
-    decoded = next(chunks(rare.field("decoded"), 1 << 60), None)
-    own = (decoded.data, decoded.offsets) if decoded else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-    text, text_bounds = all_of(hot.text, hot.text_bounds, *own)
+    ids, id_bounds = all_of(hot.ids, hot.bounds[0], *_flat_lists(rare.field("ids")))
+    text, text_bounds = all_of(hot.text, hot.bounds[1], *_flat_bytes(words))
     texts = pa.LargeStringArray.from_buffers(len(held), pa.py_buffer(text_bounds.astype(np.int64)), pa.py_buffer(text))
     lists = pa.ListArray.from_arrays(pa.array(id_bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
     return pa.RecordBatch.from_arrays([rows.column("doc_id"), lists, texts.cast(pa.string())], ["doc_id", "ids", "decoded"])
@@ -309,16 +364,16 @@ def encode_documents(
     scratch = Scratch(spark, "bpe")
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     table = word_table(narrow, scratch, tokenizer)
-    small = (F.octet_length("word") <= HOT_BYTES) & (F.octet_length("decoded") <= HOT_BYTES) & (F.size("ids") <= HOT_BYTES)
-    hot = most_frequent(table, hot_words, small).select("word", "n", "ids", "decoded")
+    small = F.octet_length("word") <= HOT_BYTES
+    hot = most_frequent(table, hot_words, small).select("word", "n", "ids", "other")
     shared = spark.sparkContext.broadcast(HotWords(hot.toArrow()))
     coded = narrow.mapInArrow(_to_codes(shared), "doc_id long, n_words int, codes binary, rare array<string>")
-    coded = scratch.cut(coded.withColumn("row", F.monotonically_increasing_id()))
-    rare = coded.select("row", F.posexplode("rare").alias("k", "word")).join(table, "word")
-    rare = scratch.cut(rare.select("row", "k", "ids", "decoded"))
+    coded = scratch.cut(coded.withColumn("row", F.monotonically_increasing_id()), compression="zstd")
+    rare = coded.select("row", F.posexplode("rare").alias("k", "word")).join(table.drop("n"), "word")
+    rare = scratch.cut(rare.select("row", "k", "ids", "other"), compression="zstd")
     scratch.drop(table)
-    joined = rare.groupBy("row").agg(F.collect_list(F.struct("k", "ids", "decoded")).alias("joined"))
-    whole = coded.select("row", "doc_id", "n_words", "codes").join(joined, "row", "left").drop("row")
+    joined = rare.groupBy("row").agg(F.collect_list(F.struct("k", "ids", "other")).alias("joined"))
+    whole = coded.join(joined, "row", "left").drop("row")
     return whole.mapInArrow(_put_together(shared), "doc_id long, ids array<int>, decoded string")
 
 
