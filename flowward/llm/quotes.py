@@ -9,19 +9,31 @@ from flowward.llm.scratch import Scratch
 
 #: A line that leads over to a quotation when one follows: "... wrote:" in four languages.
 LEAD = r"(?i)\b(wrote|writes|schrieb|escribió|a écrit)\s*:\s*$"
-QUOTE = r"^(\s*>)+"
+WHITE = " \t\n\x0b\f\r"
 KEY = ["conv_id", "turn"]
 #: Of normalised text.
 SENTENCE = r"(?<=[.!?…])\s+|(?<=[。！？])\s*"
 #: Words in a row that link a part of a message that is no whole line, paragraph or sentence.
 WINDOW = 8
+#: Words that are cut into windows at a time.
+BLOCK = 4096
 
 
-def _level(line: F.Column) -> F.Column:
-    marks = F.regexp_extract(line, QUOTE, 0)
+def _marks(line: F.Column) -> F.Column:
+    """What stands before the body of a quoted line: blanks and ``>`` up to the last ``>``, in one walk over them."""
+    body = F.ltrim(line, F.lit(WHITE + ">"))
+    return F.rtrim(F.left(line, F.length(line) - F.length(body)), F.lit(WHITE))
+
+
+def _level(marks: F.Column) -> F.Column:
     return F.length(marks) - F.length(F.replace(marks, F.lit(">")))
 
 
+def _made(df: DataFrame, name: str, value: F.Column) -> DataFrame:
+    """``df`` with ``value`` worked out once a row: functions over its entries would else work it out at each entry."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _normal(text: F.Column) -> F.Column:
     """Lower case, white space as single blanks: the same passage however it was wrapped."""
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
@@ -32,9 +44,11 @@ def _lines(messages: DataFrame) -> DataFrame:
     split = F.split(F.coalesce("text", F.lit("")), "\n")
     with_level = F.transform(
         split,
-        lambda x, i: F.struct(i.alias("at"), _level(x).alias("level"), F.regexp_replace(x, QUOTE, "").alias("body")),
+        lambda x, i: F.struct(
+            i.alias("at"), _level(_marks(x)).alias("level"), F.substring(x, F.length(_marks(x)) + 1, F.length(x)).alias("body")
+        ),
     )
-    named = messages.withColumn("parsed", with_level)
+    named = _made(messages, "parsed", with_level)
     # a lead-in is an own line right before a quotation
     lead = F.transform(
         "parsed",
@@ -50,7 +64,7 @@ def _lines(messages: DataFrame) -> DataFrame:
 
 def _own_text() -> F.Column:
     own = F.filter("lines", lambda s: (s["level"] == 0) & ~s["lead"])
-    return F.regexp_replace(F.array_join(F.transform(own, lambda s: s["body"]), "\n"), r"^\s+|\s+$", "")
+    return F.trim(F.array_join(F.transform(own, lambda s: s["body"]), "\n"), F.lit(WHITE))
 
 
 def _hashed(text: F.Column) -> F.Column:
@@ -61,6 +75,12 @@ def _sentences(normal: F.Column) -> F.Column:
     return F.filter(F.split(normal, SENTENCE), lambda x: x != "")
 
 
+def _blocks(words: F.Column) -> F.Column:
+    """``words`` in runs that together have all its windows, each once: no array has those of a whole long text."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(BLOCK))
+    return F.transform(starts, lambda i: F.slice(words, i + 1, BLOCK + WINDOW - 1))
+
+
 def _word_windows(words: F.Column) -> F.Column:
     """Every run of ``WINDOW`` entries of ``words``."""
     last = F.size(words) - WINDOW
@@ -103,7 +123,7 @@ def _passages(parsed: DataFrame) -> DataFrame:
     words = F.flatten(
         F.transform("lines", lambda s: F.transform(F.split(s["normal"], " "), lambda w: F.struct(s["at"].alias("at"), w.alias("normal"))))
     )
-    windows = whole.select(*KEY, "level", words.alias("words"))
+    windows = _made(whole, "words", words).select(*KEY, "level", F.explode(_blocks(F.col("words"))).alias("words"))
     windows = windows.select(*KEY, "level", F.explode(_word_windows(F.col("words"))).alias("lines"))
     windows = windows.select(
         *KEY,
@@ -126,11 +146,14 @@ def _originals(parsed: DataFrame, scratch: Scratch) -> DataFrame:
     own = parsed.select(*KEY, _own_text().alias("own")).where("own != ''").join(quoting, "conv_id", "left_semi")
     paragraphs = F.transform(F.split("own", r"\n[ \t]*\n"), lambda u: _normal(u))
     units = F.concat(F.array(_normal(F.col("own"))), F.transform(F.split("own", "\n"), lambda u: _normal(u)))
+    whole = _made(own, "words", F.split(_normal(F.col("own")), " "))
+    blocks = whole.select(*KEY, F.explode(_blocks(F.col("words"))).alias("words"))
+    windows = F.transform(_word_windows(F.col("words")), lambda w: F.array_join(w, " "))
+    windows = blocks.select(*KEY, F.explode(windows).alias("unit"))
     own = own.select(*KEY, units.alias("units"), paragraphs.alias("paragraphs"))
-    windows = F.transform(_word_windows(F.split(F.col("units")[0], " ")), lambda w: F.array_join(w, " "))
     sentences = F.flatten(F.transform("paragraphs", _sentences))
-    units = F.array_distinct(F.concat("units", "paragraphs", sentences, windows))
-    rows = own.select(*KEY, F.explode(units).alias("unit")).where("unit != ''")
+    units = F.array_distinct(F.concat("units", "paragraphs", sentences))
+    rows = own.select(*KEY, F.explode(units).alias("unit")).where("unit != ''").unionByName(windows)
     return rows.groupBy("conv_id", _hashed(F.col("unit")).alias("hash")).agg(F.min("turn").alias("origin"))
 
 
@@ -180,7 +203,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     nothing here is sorted or collected per conversation.
 
     A null text is an empty one; rows without conversation or turn are roots; rows that repeat a turn share its
-    place, and the least reply_to of that turn; other columns are not kept. An empty table has no rows.
+    place, and the least reply_to of that turn; other columns are not kept. An empty table has no rows. A line may have
+    any number of ``>`` and blanks, a message any number of words: they are cut into windows by blocks of ``BLOCK``.
     """
     scratch = Scratch(messages.sparkSession, "quotes")
     narrow = messages.select(

@@ -102,19 +102,27 @@ def fitting_rule(host: F.Column, path: F.Column, rules: tuple[tuple[str, str], .
     return chosen
 
 
-def _grams(text: F.Column, mark: str, size: int) -> F.Column:
-    framed = F.concat(F.lit("^"), text, F.lit("$"))
-    places = F.sequence(F.lit(1), F.length(framed) - size + 1)
-    grams = F.transform(places, lambda i: F.concat(F.lit(mark), F.substring(framed, i, F.lit(size))))
-    return F.when(F.length(framed) >= size, grams).otherwise(F.array().cast("array<string>"))
+def _letters(text: F.Column) -> F.Column:
+    """The characters of a text between two marks."""
+    return F.regexp_extract_all(F.concat(F.lit("^"), text, F.lit("$")), F.lit("(?s)."), F.lit(0))
+
+
+def _grams(letters: F.Column, mark: str, size: int) -> F.Column:
+    places = F.sequence(F.lit(1), F.size(letters) - size + 1)
+    grams = F.transform(places, lambda i: F.concat(F.lit(mark), F.array_join(F.slice(letters, i, F.lit(size)), "")))
+    return F.when(F.size(letters) >= size, grams).otherwise(F.array().cast("array<string>"))
 
 
 def with_features(urls: DataFrame, settings: Settings, host: str, path: str, to: str) -> DataFrame:
     """``urls`` with hashed counts of their n-grams; the numbers of a path say nothing and count as one."""
     flat = F.regexp_replace(path, "[0-9]+", "0")
-    grams = [_grams(c, m, n) for n in settings.sizes for c, m in ((F.col(host), "h"), (flat, "p"))]
+    # exploded, so that the letters are there once a row and not worked out anew for every n-gram
+    letters = F.struct(_letters(F.col(host)).alias("h"), _letters(flat).alias("p"))
+    urls = urls.select("*", F.explode(F.array(letters)).alias(f"{to}_letters"))
+    grams = [_grams(F.col(f"{to}_letters")[m], m, n) for n in settings.sizes for m in "hp"]
     hashed = HashingTF(numFeatures=settings.bins, inputCol=f"{to}_grams", outputCol=to, binary=True)
-    return hashed.transform(urls.withColumn(f"{to}_grams", F.concat(*grams))).drop(f"{to}_grams")
+    urls = urls.withColumn(f"{to}_grams", F.concat(*grams))
+    return hashed.transform(urls).drop(f"{to}_grams", f"{to}_letters")
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
