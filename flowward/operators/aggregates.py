@@ -23,7 +23,11 @@ def _percent(part: Column, whole: Column) -> Column:
 
 def threat_stats(threat: DataFrame) -> DataFrame:
     """total, attacks, normal and attack_rate (percent, two decimals, 0 when empty)."""
-    counts = threat.agg(F.count("*").alias("total"), _count_if(F.col("is_attack")).alias("attacks"))
+    return rated(threat.agg(F.count("*").alias("total"), _count_if(F.col("is_attack")).alias("attacks")))
+
+
+def rated(counts: DataFrame) -> DataFrame:
+    """``counts`` (total, attacks) with the normal rows and the attack rate."""
     return counts.select(
         "total",
         "attacks",
@@ -94,6 +98,11 @@ def upload_summary(tables: dict[str, DataFrame], batch_id: str) -> DataFrame:
         _count_if(flagged | has_attack).alias("attacks"),
         _count_if(F.col("is_attack").isNotNull() & ~flagged & ~has_attack).alias("normal"),
     )
+    return upload_rate(counts)
+
+
+def upload_rate(counts: DataFrame) -> DataFrame:
+    """``counts`` with the attack rate of an upload, which is not rounded."""
     return counts.withColumn("attack_rate", _percent(F.col("attacks"), F.col("total")))
 
 
@@ -111,10 +120,18 @@ def rolling_stats(messages: DataFrame, n: int = 100) -> DataFrame:
 
 def attack_heatmap(df: DataFrame) -> DataFrame:
     """Attacks per weekday and hour on the full 7 x 24 grid, with a heat level per cell."""
-    spark = df.sparkSession
-    slot = F.weekday("created_at") * 24 + F.hour("created_at")
     # Counted, not filtered: a filter would move below the scoring and compute the score again.
-    counts = df.groupBy(slot.alias("slot")).agg(_count_if(F.col("is_attack")).alias("n"))
+    return heat_grid(df.groupBy(week_slot("created_at")).agg(_count_if(F.col("is_attack")).alias("n")))
+
+
+def week_slot(time_col: str) -> Column:
+    """The hour of the week, from Monday on."""
+    return (F.weekday(time_col) * 24 + F.hour(time_col)).alias("slot")
+
+
+def heat_grid(counts: DataFrame) -> DataFrame:
+    """The 7 x 24 grid of ``counts`` (slot, n), at most one row a slot."""
+    spark = counts.sparkSession
     grid = spark.range(0, 168, 1, 1).select(F.col("id").cast("int").alias("slot"))
     cells = grid.join(F.broadcast(counts), "slot", "left").select("slot", F.coalesce("n", F.lit(0)).alias("count"))
     names = F.array(*[F.lit(d) for d in WEEKDAYS])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from flowward.operators.recent import top_recent
+from flowward.profiles import ATTACK, THREAT
 
 # At most so many keys are fetched to the driver as a list of values.
 LISTED = 1000
@@ -83,17 +84,21 @@ def _among(keys: DataFrame, n: int):
 def tables_of_batch(tables: dict[str, DataFrame], batch_id: str) -> dict[str, DataFrame]:
     """The result tables cut down to one upload batch.
 
-    Stored tables are partitioned by load, and an upload's load id starts with its
-    batch id, so only that batch's files are read. Tables without load ids are
-    only filtered on the traffic side.
+    An upload's loads have its batch id in their names, so by their statistics only that batch's files are
+    read. Tables without load ids are only filtered on the traffic side.
     """
+    loads = [upload_load(batch_id, kind) for kind in (THREAT, ATTACK)]
     own = {
-        name: df.where(F.col("load_id").startswith(batch_id + "-")) if "load_id" in df.columns else df
-        for name, df in tables.items()
+        name: df.where(F.col("load_id").isin(loads)) if "load_id" in df.columns else df for name, df in tables.items()
     }
     return own | {"traffic": own["traffic"].where(F.col("batch_id") == batch_id)}
 
 
+def upload_load(batch_id: str, model_type: str | None = None) -> str:
+    """The load id of an upload; a type of records that it may have is part of the stored one."""
+    return f"upload-{batch_id}" + (f"-{model_type}" if model_type else "")
+
+
 def batch_complete(tables: dict[str, DataFrame], batch_id: str) -> DataFrame:
     """The composite rows of one upload batch."""
     return complete_predictions(**tables_of_batch(tables, batch_id))

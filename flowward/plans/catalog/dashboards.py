@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowward.operators import aggregates as A
+from flowward.operators import dashboards as D
 from flowward.operators import recent as R
 from flowward.operators.scoring import rule_attack_class
 from flowward.plans.catalog.frames import live_messages
@@ -14,16 +15,32 @@ from flowward.sources import flow_views as V
 _RATE = "round(count(*) FILTER (is_attack) * CAST(100 AS DOUBLE) / count(*), 2)"
 
 
-@query(
-    f"""SELECT count(*) AS total, count(*) FILTER (is_attack) AS attacks, count(*) FILTER (NOT is_attack) AS normal,
+_TOTALS = f"""SELECT count(*) AS total, count(*) FILTER (is_attack) AS attacks, count(*) FILTER (NOT is_attack) AS normal,
     {_RATE} AS attack_rate FROM threat"""
-)
+
+
+@query(_TOTALS)
 def threat_totals(spark, sf_dir):
+    """Merged from the cells of the loads, as a dashboard reads them."""
+    return D.merged_threat_stats(V.dashboard_parts(spark, sf_dir)["cells"])
+
+
+@query(_TOTALS)
+def scanned_threat_totals(spark, sf_dir):
+    """The same from the predictions themselves."""
     return A.threat_stats(V.result_tables(spark, sf_dir)["threat"])
 
 
-@query('SELECT attack_type_name, count(*) AS "count" FROM attack GROUP BY 1')
+_DISTRIBUTION = 'SELECT attack_type_name, count(*) AS "count" FROM attack GROUP BY 1'
+
+
+@query(_DISTRIBUTION)
 def attack_distribution(spark, sf_dir):
+    return D.merged_distribution(V.dashboard_parts(spark, sf_dir)["cells"], "attack")
+
+
+@query(_DISTRIBUTION)
+def scanned_attack_distribution(spark, sf_dir):
     return A.attack_distribution(V.result_tables(spark, sf_dir)["attack"])
 
 
@@ -32,8 +49,16 @@ def attack_distribution_total(spark, sf_dir):
     return A.distribution_total(A.attack_distribution(V.result_tables(spark, sf_dir)["attack"]))
 
 
-@query('SELECT action_type, count(*) AS "count" FROM action GROUP BY 1')
+_ACTIONS = 'SELECT action_type, count(*) AS "count" FROM action GROUP BY 1'
+
+
+@query(_ACTIONS)
 def action_distribution(spark, sf_dir):
+    return D.merged_distribution(V.dashboard_parts(spark, sf_dir)["cells"], "action")
+
+
+@query(_ACTIONS)
+def scanned_action_distribution(spark, sf_dir):
     return A.action_distribution(V.result_tables(spark, sf_dir)["action"])
 
 
@@ -61,17 +86,26 @@ def dense_distribution_of_short_flows(spark, sf_dir):
     return A.dense_distribution(rule_attack_class(short))
 
 
-@query(
-    f"""SELECT (SELECT count(*) FROM threat) AS total, (SELECT count(*) FROM threat WHERE is_attack) AS attacks,
+_STATS = f"""SELECT (SELECT count(*) FROM threat) AS total, (SELECT count(*) FROM threat WHERE is_attack) AS attacks,
     (SELECT {_RATE} FROM threat) AS attack_rate,
     (SELECT string_agg(concat(attack_type_name, '=', CAST(n AS VARCHAR)), ';' ORDER BY attack_type_name)
      FROM (SELECT attack_type_name, count(*) AS n FROM attack GROUP BY 1)) AS distribution,
     (SELECT string_agg(CAST(id AS VARCHAR), ',' ORDER BY created_at DESC, id DESC)
      FROM (SELECT * FROM threat ORDER BY created_at DESC, id DESC LIMIT 20)) AS recent_ids"""
-)
+
+
+@query(_STATS)
 def prediction_stats(spark, sf_dir):
     """The whole stats page as one row; the lists it folds have 14 and 20 entries at most."""
-    parts = A.prediction_stats(V.result_tables(spark, sf_dir))
+    return _stats_page(D.merged_stats(V.dashboard_parts(spark, sf_dir), V.result_tables(spark, sf_dir)))
+
+
+@query(_STATS)
+def scanned_prediction_stats(spark, sf_dir):
+    return _stats_page(A.prediction_stats(V.result_tables(spark, sf_dir)))
+
+
+def _stats_page(parts):
     pairs = F.sort_array(F.collect_list(F.concat("attack_type_name", F.lit("="), F.col("count").cast("string"))))
     newest = F.sort_array(F.collect_list(F.struct("threat.created_at", "threat.id")), asc=False)
     ids = F.transform(newest, lambda r: r["id"].cast("string"))
@@ -84,21 +118,33 @@ def prediction_stats(spark, sf_dir):
     )
 
 
-@query(
-    """SELECT batch_id, count(*) AS row_count, min(created_at) AS uploaded_at FROM traffic
+_BATCHES = """SELECT batch_id, count(*) AS row_count, min(created_at) AS uploaded_at FROM traffic
     WHERE source = 'upload' AND batch_id IS NOT NULL GROUP BY 1 ORDER BY 3 DESC, 1"""
-)
+
+
+@query(_BATCHES)
 def upload_batch_list(spark, sf_dir):
+    return D.merged_batches(V.dashboard_parts(spark, sf_dir)["cells"])
+
+
+@query(_BATCHES)
+def scanned_batch_list(spark, sf_dir):
     return A.list_batches(V.result_tables(spark, sf_dir)["traffic"])
 
 
-@query(
-    """SELECT count(*) AS total, count(*) FILTER (is_attack OR attack_id IS NOT NULL) AS attacks,
+_SUMMARY = """SELECT count(*) AS total, count(*) FILTER (is_attack OR attack_id IS NOT NULL) AS attacks,
     count(*) FILTER (NOT is_attack AND attack_id IS NULL) AS normal,
     count(*) FILTER (is_attack OR attack_id IS NOT NULL) * CAST(100 AS DOUBLE) / count(*) AS attack_rate
     FROM complete WHERE batch_id = 'batch-6'"""
-)
+
+
+@query(_SUMMARY)
 def upload_summary(spark, sf_dir):
+    return D.merged_summary(V.dashboard_parts(spark, sf_dir)["cells"], "batch-6")
+
+
+@query(_SUMMARY)
+def scanned_upload_summary(spark, sf_dir):
     return A.upload_summary(V.result_tables(spark, sf_dir), "batch-6")
 
 
@@ -130,12 +176,18 @@ _HEAT = """SELECT g.day, g.hour, coalesce(c.n, 0) AS "count" FROM
     WHERE is_attack GROUP BY 1, 2) c ON c.i = g.i AND c.hour = g.hour"""
 
 
-@query(
-    f"""SELECT day, hour, "count", CASE WHEN x = 0 THEN 0 WHEN x < CAST(0.2 AS DOUBLE) THEN 1
+_HEATMAP = f"""SELECT day, hour, "count", CASE WHEN x = 0 THEN 0 WHEN x < CAST(0.2 AS DOUBLE) THEN 1
     WHEN x < CAST(0.4 AS DOUBLE) THEN 2 WHEN x < CAST(0.6 AS DOUBLE) THEN 3 WHEN x < CAST(0.8 AS DOUBLE) THEN 4
     ELSE 5 END AS level FROM (SELECT *, "count" / CAST(greatest(max("count") OVER (), 1) AS DOUBLE) AS x FROM ({_HEAT}))"""
-)
+
+
+@query(_HEATMAP)
 def attack_heatmap(spark, sf_dir):
+    return D.merged_heatmap(V.dashboard_parts(spark, sf_dir)["cells"])
+
+
+@query(_HEATMAP)
+def scanned_heatmap(spark, sf_dir):
     return A.attack_heatmap(V.result_tables(spark, sf_dir)["threat"])
 
 

@@ -6,6 +6,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from flowward.operators.dashboards import merged_batches, merged_threat_stats
 from flowward.operators.features import (
     FeatureError,
     check_required,
@@ -24,16 +25,17 @@ from flowward.profiles import THREAT_CURRENT, THREAT_LEGACY
 from flowward.session import scratch_path
 from flowward.sources import flow_views as V
 from flowward.sources.flow_files import read_flows_csv
-from flowward.sources.tables import load_tables, write_csv
+from flowward.sources.manifest import snapshot
+from flowward.sources.tables import compact_tables, load_dashboard, load_tables, write_csv
 
 _COLUMNS = THREAT_LEGACY.columns
 _LEGACY = ", ".join(f'"{c}"' for c in _COLUMNS)
 
 
-def flows_csv(spark: SparkSession, sf_dir: str, *extra: F.Column) -> str:
-    """All threat flows as a CSV."""
+def flows_csv(spark: SparkSession, sf_dir: str, *extra: F.Column, where: str = "true") -> str:
+    """Threat flows as a CSV, all by default."""
     path = scratch_path(spark, "flows") + ".csv"
-    write_csv(V.flow10(spark, sf_dir).select(*THREAT_LEGACY.features, *extra), path)
+    write_csv(V.flow10(spark, sf_dir).where(where).select(*THREAT_LEGACY.features, *extra), path)
     return path
 
 
@@ -75,6 +77,35 @@ def upload_run_again(spark, sf_dir):
     return stored_figures(spark, root)
 
 
+@query(
+    """SELECT count(*) FILTER (id % 3 = 0) AS rows_of_a, count(*) FILTER (id % 3 < 2) AS rows_before, count(*) AS rows_after,
+    round(sum(prediction_score), 4) AS score, count(*) AS counted, count(*) FILTER (is_attack) AS attacks,
+    count(*) FILTER (id % 3 = 1) AS listed, 2 AS folders FROM threat"""
+)
+def store_beside_compaction(spark, sf_dir):
+    """A reader that opened the store before a re-run, a compaction and another load sees what it opened; names of
+    batches that begin alike keep apart; the dashboards' cells count each row once."""
+    root, parts = scratch_path(spark, "store"), [flows_csv(spark, sf_dir, where=f"id % 3 = {k}") for k in range(3)]
+    for part, batch in zip(parts, ("a", "a-b"), strict=False):
+        score_upload(spark, part, root, policy=DROP, batch_id=batch)
+    before = load_tables(spark, root)["threat"]
+    again = score_upload(spark, parts[0], root, policy=DROP, batch_id="a").scored
+    compact_tables(spark, root)
+    score_upload(spark, parts[2], root, policy=DROP, batch_id="realtime")
+    after, cells = load_tables(spark, root)["threat"], load_dashboard(spark, root)["cells"]
+    stats, batches = merged_threat_stats(cells), merged_batches(cells).where("batch_id = 'a-b'")
+    return after.agg(
+        F.lit(again.count()).alias("rows_of_a"),
+        F.lit(before.count()).alias("rows_before"),
+        F.count("*").alias("rows_after"),
+        F.round(F.sum("prediction_score"), 4).alias("score"),
+        stats.select("total").scalar().alias("counted"),
+        stats.select("attacks").scalar().alias("attacks"),
+        batches.select("row_count").scalar().alias("listed"),
+        F.lit(len(snapshot(spark, root).folders)).alias("folders"),
+    )
+
+
 @query(
     """SELECT count(*) AS rows, 1 AS batches, 36 AS length, count(*) FILTER (is_attack) AS attacks FROM threat"""
 )

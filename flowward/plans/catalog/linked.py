@@ -9,6 +9,7 @@ from flowward.functions.rules import is_attack
 from flowward.operators import aggregates as A
 from flowward.operators import filters as FL
 from flowward.operators import joins as J
+from flowward.operators.dashboards import merged_recent
 from flowward.operators import recent as R
 from flowward.operators.reports import history_rows, log_lines
 from flowward.operators.scoring import attach_actions
@@ -97,8 +98,17 @@ def complete_predictions(spark, sf_dir):
     return flatten_complete(J.complete_predictions(**V.result_tables(spark, sf_dir)))
 
 
-@query(f"SELECT {COMPLETE_COLUMNS} FROM complete ORDER BY threat_at DESC, threat_id DESC LIMIT 20")
+_RECENT = f"SELECT {COMPLETE_COLUMNS} FROM complete ORDER BY threat_at DESC, threat_id DESC LIMIT 20"
+
+
+@query(_RECENT)
 def recent_complete(spark, sf_dir):
+    """From the newest predictions that each load keeps."""
+    return flatten_complete(merged_recent(V.dashboard_parts(spark, sf_dir)["newest"], V.result_tables(spark, sf_dir), 20))
+
+
+@query(_RECENT)
+def scanned_recent_complete(spark, sf_dir):
     return flatten_complete(J.recent_complete(V.result_tables(spark, sf_dir), 20))
 
 

@@ -10,6 +10,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowward.operators.features import extract
+from flowward.operators.joins import upload_load
 from flowward.operators.scoring import rule_attack_class, rule_threat_score
 from flowward.operators.validation import FAILFAST, not_finite_errors, validate
 from flowward.profiles import ATTACK_PROFILE, THREAT, THREAT_LEGACY, FeatureProfile
@@ -93,7 +94,7 @@ def score_upload(
     raw = read_flows_csv(spark, path)
     start = first_id(spark, root, f"upload/{batch}")
     upload = score_frame(raw, model_type, policy, scorers, batch, created_at, start)
-    write_scored(upload.scored, upload.profile, root, batch)
+    write_scored(upload.scored, upload.profile, root, upload_load(batch))
     refused = f"{root}/quarantine/load_id={batch}"
     if policy != FAILFAST:
         told = upload.quarantined.select("id", "created_at", "source", "batch_id", "errors")
@@ -104,4 +105,4 @@ def score_upload(
     name = "threat" if upload.profile.model_type == THREAT else "attack"
     stored = load_tables(spark, root)[name]
     discard(upload.stored)
-    return replace(upload, scored=stored.where(F.col("load_id").startswith(f"{batch}-")), stored=None)
+    return replace(upload, scored=stored.where(F.col("load_id") == upload_load(batch, upload.profile.model_type)), stored=None)

@@ -11,6 +11,7 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from flowward.operators.dashboards import table_cells, table_newest
 from flowward.operators.features import pack_features
 from flowward.operators.scoring import action_rows, rule_attack_class, rule_threat_score
 from flowward.profiles import ATTACK_PROFILE, THREAT_LEGACY
@@ -155,6 +156,20 @@ def result_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{root}/{name}") for name in names}
 
 
+def dashboard_parts(spark: SparkSession, sf_dir: str, loads: int = 4) -> dict[str, DataFrame]:
+    """Cells and newest predictions of `result_tables`, written by ``loads`` parts of the traffic as loads do it."""
+    root = f"{shared_dir(spark)}/parts-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    if root not in _STORED:
+        tables = result_tables(spark, sf_dir)
+        keys = {"traffic": "id", "threat": "traffic_data_id", "attack": "traffic_data_id", "action": "attack_prediction_id"}
+        for k in range(loads):
+            own = {name: df.where(F.pmod(F.col(keys[name]), F.lit(loads)) == k) for name, df in tables.items()}
+            for name, part in (("cells", table_cells(own)), ("newest", table_newest(own))):
+                part.coalesce(1).write.mode("overwrite" if k == 0 else "append").parquet(f"{root}/{name}")
+        _STORED.add(root)
+    return {name: spark.read.parquet(f"{root}/{name}") for name in ("cells", "newest")}
+
+
 # Roots that this process has filled.
 _STORED: set[str] = set()
 

@@ -1,8 +1,8 @@
-"""Loads: each has a number of its own for its row ids, and is seen only when all its tables are written."""
+"""Loads: each has a number of its own for its row ids. Files that only one of several writers can create."""
 
 from __future__ import annotations
 
-from urllib.parse import quote, unquote
+from urllib.parse import quote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
@@ -16,25 +16,38 @@ def _path(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     where, fs = _path(spark, path)
     return fs.exists(where)
 
 
-def _names(spark: SparkSession, path: str) -> list[str]:
+def names_in(spark: SparkSession, path: str) -> list[str]:
     where, fs = _path(spark, path)
     return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
 
 
-def _create(spark: SparkSession, path: str) -> bool:
-    """Create an empty file that nobody else has created; False if somebody has."""
+def create_with(spark: SparkSession, path: str, content: str = "") -> bool:
+    """Create a file with ``content`` that nobody else has created; False if somebody has.
+
+    Local and mounted folders are asked themselves, as Hadoop's own check there is not one step with the creation.
+    """
     where, fs = _path(spark, path)
+    if fs.getScheme() == "file":
+        fs.mkdirs(where.getParent())
+        try:
+            with open(where.toUri().getPath(), "x", encoding="utf-8") as file:
+                file.write(content)
+        except FileExistsError:
+            return False
+        return True
     try:
-        fs.create(where, False).close()
+        out = fs.create(where, False)
     except Py4JJavaError as e:
         if not fs.exists(where):
             raise e
         return False
+    out.write(bytearray(content.encode()))
+    out.close()
     return True
 
 
@@ -50,18 +63,18 @@ def claim(spark: SparkSession, root: str, owner: str) -> int:
     start together get different ones. The next free number is searched in steps that double.
     """
     mine = f"{root}/_loads/owners/{_file(owner)}"
-    taken = _names(spark, mine)
+    taken = names_in(spark, mine)
     if not taken:
         numbers, low, high = f"{root}/_loads/numbers", 0, 1
-        while _exists(spark, f"{numbers}/{high - 1}"):
+        while path_exists(spark, f"{numbers}/{high - 1}"):
             low, high = high, high * 2
         while low < high:
             middle = (low + high) // 2
-            low, high = (middle + 1, high) if _exists(spark, f"{numbers}/{middle}") else (low, middle)
-        while not _create(spark, f"{numbers}/{low}"):
+            low, high = (middle + 1, high) if path_exists(spark, f"{numbers}/{middle}") else (low, middle)
+        while not create_with(spark, f"{numbers}/{low}"):
             low += 1
-        _create(spark, f"{mine}/{low}")
-        taken = _names(spark, mine)
+        create_with(spark, f"{mine}/{low}")
+        taken = names_in(spark, mine)
     number = min(int(n) for n in taken if n.isdigit())
     if number >= 2**LOAD_BITS:
         raise ValueError("Too many loads under one root")
@@ -73,20 +86,14 @@ def first_id(spark: SparkSession, root: str, owner: str) -> int:
     return claim(spark, root, owner) << ROW_BITS
 
 
-def open_load(spark: SparkSession, root: str, load_id: str) -> None:
-    """Hide a load while it is written."""
-    _create(spark, f"{root}/_open/{_file(load_id)}")
-
-
-def close_load(spark: SparkSession, root: str, load_id: str) -> None:
-    """Show a load whose tables are all written."""
-    where, fs = _path(spark, f"{root}/_open/{_file(load_id)}")
-    fs.delete(where, False)
-
-
-def open_loads(spark: SparkSession, root: str) -> list[str]:
-    """Loads that are being written, or were when their job ended too early."""
-    return [unquote(n[2:].replace("+", "%")) for n in _names(spark, f"{root}/_open") if n.startswith("l-")]
+def text_of(spark: SparkSession, path: str) -> str:
+    """The content of a small file."""
+    where, fs = _path(spark, path)
+    stream = fs.open(where)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def stream_name(spark: SparkSession, checkpoint: str) -> str:

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
+from flowward.operators.dashboards import CELLS, load_cells, load_newest, newest_schema
 from flowward.operators.features import pack_features
+from flowward.operators.joins import upload_load
 from flowward.operators.scoring import ACTION_COLUMNS, ATTACK_COLUMNS, THREAT_COLUMNS, action_rows, attach_actions
-from flowward.profiles import THREAT, FeatureProfile
-from flowward.session import cut_lineage, discard
-from flowward.sources.loads import close_load, open_load, open_loads
+from flowward.operators.sets import union_all
+from flowward.profiles import ATTACK, THREAT, FeatureProfile
+from flowward.session import cut_lineage, discard, remove_path
+from flowward.sources.manifest import Snapshot, commit, forgotten, snapshot
 
 SCHEMAS = {
     "traffic_data": "id bigint, created_at timestamp, features map<string,double>, batch_id string, "
@@ -25,6 +29,9 @@ SCHEMAS = {
     "action_description string, action_params map<string,string>, status string, execution_time timestamp, "
     "error_message string, source string, load_id string",
 }
+RESULT_TABLES = tuple(SCHEMAS)
+SCHEMAS |= {"dashboard_cells": CELLS, "newest_predictions": newest_schema(SCHEMAS)}
+DASHBOARD_NAMES = {"cells": "dashboard_cells", "newest": "newest_predictions"}
 SHORT_NAMES = {
     "traffic": "traffic_data",
     "threat": "threat_predictions",
@@ -34,28 +41,61 @@ SHORT_NAMES = {
 
 
 def load_table(spark: SparkSession, name: str, root: str | None = None, fmt: str = "parquet", **options: str) -> DataFrame:
-    """A result table: parquet under ``root`` (partitioned by source and load), or any format by options, e.g. JDBC.
+    """A result table: parquet under ``root``, or any format by options, e.g. JDBC.
 
-    A table that nothing was written to yet is empty. Loads that are not yet complete are left out.
+    A table that nothing was written to yet is empty. It reads the folders of the store's newest version: loads that
+    are not committed are not in it, later loads and compactions do not change it.
     """
     if fmt != "parquet":
         return spark.read.format(fmt).options(**({"dbtable": name} | options)).load()
-    path = f"{root}/{name}"
     if name not in SCHEMAS:
-        return spark.read.parquet(path)
+        return spark.read.parquet(f"{root}/{name}")
+    return read_folders(spark, name, root, snapshot(spark, root))
+
+
+def read_folders(spark: SparkSession, name: str, root: str, state: Snapshot) -> DataFrame:
+    """The rows of a result table in one version of a store."""
+    schema = SCHEMAS[name]
+    if not state.version:
+        return _plain_table(spark, name, root)
+    folders = state.of_table(name)
+    parts = []
+    whole = [f"{root}/data/{f}/{name}" for f, folder in folders.items() if not folder.others]
+    if whole:
+        parts.append(spark.read.schema(schema).parquet(*whole))
+    for f, folder in folders.items():
+        if folder.others:  # rows of loads that have been written anew since
+            table = spark.read.schema(schema).parquet(f"{root}/data/{f}/{name}")
+            parts.append(table.where(~F.col("load_id").isin(sorted(folder.others))))
+    return union_all(*parts) if parts else spark.createDataFrame([], schema)
+
+
+def _plain_table(spark: SparkSession, name: str, root: str) -> DataFrame:
+    """A table without a log: one folder, partitioned in any way."""
     try:
-        table = spark.read.schema(SCHEMAS[name]).parquet(path)
+        return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], SCHEMAS[name])
-    hidden = open_loads(spark, root)
-    return table.where(~F.col("load_id").isin(hidden)) if hidden else table
 
 
-def load_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """All four result tables by their short names."""
-    return {short: load_table(spark, name, root) for short, name in SHORT_NAMES.items()}
+def load_tables(spark: SparkSession, root: str, batch_id: str | None = None) -> dict[str, DataFrame]:
+    """All four result tables by their short names, in one version of the store.
+
+    With ``batch_id`` only the folders that hold that upload are read; other loads compacted with it are still there.
+    """
+    state = snapshot(spark, root)
+    if batch_id is not None:
+        own = {upload_load(batch_id, kind) for kind in (THREAT, ATTACK)}
+        state = Snapshot(state.version, {name: f for name, f in state.folders.items() if f.loads & own})
+    return {short: read_folders(spark, name, root, state) for short, name in SHORT_NAMES.items()}
+
+
+def load_dashboard(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """What the dashboards merge, by loads: ``cells`` and ``newest`` (see `flowward.operators.dashboards`)."""
+    state = snapshot(spark, root)
+    return {short: read_folders(spark, name, root, state) for short, name in DASHBOARD_NAMES.items()}
 
 
 def result_rows(scored: DataFrame, profile: FeatureProfile) -> dict[str, DataFrame]:
@@ -78,49 +118,73 @@ def result_rows(scored: DataFrame, profile: FeatureProfile) -> dict[str, DataFra
 
 
 def write_scored(scored: DataFrame, profile: FeatureProfile, root: str, load_id: str) -> None:
-    """Store scored rows in the result tables.
+    """Store scored rows in the result tables, with the partial figures of the dashboards.
 
-    Writing a load again replaces what it wrote before, so a re-run or a
-    replayed micro-batch leaves each row once. The record type is part of the
-    stored load id: a load may have rows of both types. Rows are scored once; readers
-    see a load when all its tables are written.
+    A load is written to a folder of its own and then committed. Writing it again replaces what it wrote before, so
+    a re-run or a replayed micro-batch leaves each row once; readers of an earlier version still see the earlier
+    folder. The record type is part of the stored load id: a load may have rows of both types. Rows are scored once.
     """
     spark, name_of_load = scored.sparkSession, f"{load_id}-{profile.model_type}"
     own = None if hasattr(scored, "_cut_path") else cut_lineage(scored, "scored")
     rows = (scored if own is None else own).withColumn("load_id", F.lit(name_of_load))
     out = result_rows(rows, profile)
+    out["dashboard_cells"] = load_cells(rows, profile)
+    out["newest_predictions"] = load_newest(rows, profile)
     for name, df in out.items():
         check_types(df, name)
-    open_load(spark, root, name_of_load)
+    folder = uuid.uuid4().hex
     for name, df in out.items():
-        (
-            df.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("source", "load_id")
-            .parquet(f"{root}/{name}")
-        )
-    close_load(spark, root, name_of_load)
+        df.write.parquet(f"{root}/data/{folder}/{name}")
+    commit(spark, root, lambda _: {"add": {folder: ([name_of_load], sorted(out), [])}, "drop": []})
     if own is not None:
         discard(own)
 
 
-def compact_tables(spark: SparkSession, root: str, into: str) -> None:
-    """Write the complete loads of all result tables anew under ``into``, by source and day instead of by load.
+def compact_tables(spark: SparkSession, root: str, into: str | None = None, below: int = 64) -> None:
+    """Write folders of few loads anew as one, in place, or the whole store by source and day under ``into``.
 
-    ``into`` is read like any root (`load_tables`), with the load id as a column. A day's rows go to as many
-    files as their size asks for, so no day and no source is too much for one task.
+    In place it takes the folders that have fewer than ``below`` loads, so that what was compacted before stays as it
+    is, and commits the new one for the old: readers and loads go on beside it. A load that has been written anew
+    meanwhile is left out of the new folder's loads.
     """
-    for name in SCHEMAS:
-        rows = load_table(spark, name, root).withColumn("event_date", F.to_date("created_at"))
-        spread_rows = rows.hint("rebalance", "source", "event_date")
-        spread_rows.write.mode("overwrite").partitionBy("source", "event_date").parquet(f"{into}/{name}")
+    if into is not None:
+        for name in RESULT_TABLES:
+            rows = load_table(spark, name, root).withColumn("event_date", F.to_date("created_at"))
+            spread_rows = rows.hint("rebalance", "source", "event_date")
+            spread_rows.write.mode("overwrite").partitionBy("source", "event_date").parquet(f"{into}/{name}")
+        return
+    state = snapshot(spark, root)
+    chosen = {name: f for name, f in state.folders.items() if len(f.loads) < below}
+    if len(chosen) < 2:
+        return
+    part = Snapshot(state.version, chosen)
+    loads = frozenset().union(*[f.loads for f in chosen.values()])
+    tables = sorted(frozenset().union(*[f.tables for f in chosen.values()]))
+    new = uuid.uuid4().hex
+    for name in tables:
+        read_folders(spark, name, root, part).hint("rebalance").write.parquet(f"{root}/data/{new}/{name}")
+
+    def change(now: Snapshot) -> dict | None:
+        left = [name for name in chosen if name in now.folders]
+        still = frozenset().union(*[now.folders[name].loads for name in left])
+        return {"add": {new: (sorted(still), tables, sorted(loads - still))}, "drop": left} if still else None
+
+    commit(spark, root, change)
+
+
+def vacuum_tables(spark: SparkSession, root: str, keep: int = 10) -> int:
+    """Remove folders that none of the ``keep`` newest versions reads; gives their number."""
+    old = forgotten(spark, root, keep)
+    for name in old:
+        remove_path(spark, f"{root}/data/{name}")
+    return len(old)
 
 
 def check_types(df: DataFrame, name: str) -> None:
     """Refuse rows whose columns are not of the types that table ``name`` stores."""
     wanted = {f.name: f.dataType for f in StructType.fromDDL(SCHEMAS[name]).fields}
     for field in df.schema.fields:
-        if field.name in wanted and field.dataType != wanted[field.name]:
+        if field.name in wanted and field.dataType.simpleString() != wanted[field.name].simpleString():
             raise TypeError(f"{name}.{field.name} is {field.dataType.simpleString()}, not {wanted[field.name].simpleString()}")
 
 

@@ -1,22 +1,36 @@
 """Uploads and streams end to end."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from flowward.operators import aggregates as A
+from flowward.operators import dashboards as D
 from flowward.operators.aggregates import upload_summary
 from flowward.operators.features import FeatureError
-from flowward.operators.joins import batch_complete, complete_predictions
+from flowward.operators.joins import batch_complete, complete_predictions, recent_complete
 from flowward.operators.validation import DROP, InvalidRowError
 from flowward.plans.pipeline import score_upload
 from flowward.profiles import ATTACK_PROFILE, THREAT_CURRENT, THREAT_LEGACY, default_sources
 from flowward.session import cut_lineage, shared_dir
 from flowward.sources.flow_files import read_flows_csv, read_many_csv
-from flowward.sources.loads import claim, close_load, open_load
+from flowward.sources.loads import claim
+from flowward.sources.manifest import commit, snapshot
 from flowward.sources.messages import MESSAGE_SCHEMA, decode_messages, read_flow_stream, sender_ip, unwrap
-from flowward.sources.tables import append_log_csv, compact_tables, load_tables, read_dim, write_dim, write_flows_json
+from flowward.sources.tables import (
+    append_log_csv,
+    compact_tables,
+    load_dashboard,
+    load_tables,
+    read_dim,
+    vacuum_tables,
+    write_dim,
+    write_flows_json,
+)
 from flowward.streaming.live import compact_throughput, read_throughput, write_throughput
 from flowward.streaming.scoring import file_message_sink, score_batch, score_external_stream, score_stream
 from samples import ATTACK_HEADER, ATTACK_PORTS, ATTACK_ROWS, LEGACY_HEADER, LEGACY_ROWS, attack, legacy, write_csv
@@ -51,7 +65,10 @@ def test_attack_upload(spark, tmp_path):
     tables = load_tables(spark, str(tmp_path / "out"))
     of_batch = batch_complete(tables, upload.batch_id)
     assert sorted(r["traffic"]["id"] for r in of_batch.collect()) == list(range(8))
-    assert "PartitionFilters: [isnotnull(load_id" in of_batch._jdf.queryExecution().toString()
+    assert "In(load_id" in of_batch._jdf.queryExecution().toString()
+    own = load_tables(spark, str(tmp_path / "out"), upload.batch_id)
+    assert 2 * len(own["attack"].inputFiles()) == len(tables["attack"].inputFiles())
+    assert sorted(r["traffic"]["id"] for r in batch_complete(own, upload.batch_id).collect()) == list(range(8))
     assert tuple(upload_summary(tables, upload.batch_id).first()) == (8, 8, 0, 100.0)
 
 
@@ -157,12 +174,81 @@ def test_loads_are_claimed_once_and_hidden_while_open(spark, tmp_path):
     path = write_csv(tmp_path / "flows.csv", LEGACY_HEADER, LEGACY_ROWS)
     upload = score_upload(spark, path, root, batch_id="a")
     assert upload.scored.count() == 3 and load_tables(spark, root)["threat"].count() == 3
-    open_load(spark, root, "a-threat_detection")
-    assert load_tables(spark, root)["threat"].count() == 0
-    close_load(spark, root, "a-threat_detection")
+    # a folder that was written and not committed is no part of the store
+    (tmp_path / "out/data/unfinished").mkdir()
+    load_tables(spark, root)["threat"].write.parquet(f"{root}/data/unfinished/threat_predictions")
     assert load_tables(spark, root)["threat"].count() == 3
 
 
+def test_names_that_begin_alike_are_loads_of_their_own(spark, tmp_path):
+    root = str(tmp_path / "out")
+    for batch, n in (("a", 1), ("a-b", 2), ("realtime", 3)):
+        path = write_csv(tmp_path / f"{batch}.csv", LEGACY_HEADER, LEGACY_ROWS[:n])
+        assert score_upload(spark, path, root, batch_id=batch).scored.count() == n
+    again = score_upload(spark, write_csv(tmp_path / "more.csv", LEGACY_HEADER, LEGACY_ROWS[:2]), root, batch_id="a")
+    assert again.scored.count() == 2
+    tables = load_tables(spark, root)
+    assert [batch_complete(tables, b).count() for b in ("a", "a-b", "realtime")] == [2, 2, 3]
+
+
+def test_compaction_in_place_beside_readers_and_loads(spark, tmp_path):
+    root = str(tmp_path / "out")
+
+    def load(batch, header=LEGACY_HEADER, rows=LEGACY_ROWS):
+        return score_upload(spark, write_csv(tmp_path / f"{batch}.csv", header, rows), root, batch_id=batch)
+
+    load("a"), load("b", ATTACK_HEADER, ATTACK_ROWS), load("c")
+    before = load_tables(spark, root)
+    ids = sorted(r["id"] for r in before["traffic"].collect())
+    compact_tables(spark, root)
+    assert len(snapshot(spark, root).folders) == 1
+    load("c", rows=LEGACY_ROWS[:1])  # its rows in the compacted folder do not count any more
+    assert sorted(r["id"] for r in before["traffic"].collect()) == ids
+    after = load_tables(spark, root)
+    assert after["traffic"].count() == len(ids) - len(LEGACY_ROWS) + 1
+    assert after["action"].count() == len(ATTACK_ROWS)
+    compact_tables(spark, root)
+    assert sorted(r["id"] for r in load_tables(spark, root)["traffic"].collect()) == sorted(r["id"] for r in after["traffic"].collect())
+    assert vacuum_tables(spark, root, keep=1) == 5
+    assert load_tables(spark, root)["threat"].count() == len(LEGACY_ROWS) + 1
+
+
+def test_commits_that_meet_all_count(spark, tmp_path):
+    root = str(tmp_path / "out")
+    with ThreadPoolExecutor(4) as pool:
+        done = [pool.submit(commit, spark, root, lambda _, k=k: {"add": {f"f{k}": ([f"l{k}"], ["t"], [])}, "drop": []}) for k in range(70)]
+        versions = sorted(d.result().version for d in done)
+    assert versions == list(range(1, 71))  # two of them hold the whole state
+    assert len(snapshot(spark, root).folders) == 70 and len(snapshot(spark, root, 40).folders) == 40
+
+
+def test_dashboards_merge_what_the_tables_hold(spark, tmp_path):
+    root = str(tmp_path / "out")
+    for k, batch in enumerate("aabc"):  # the first one twice
+        rows, header = (ATTACK_ROWS, ATTACK_HEADER) if batch == "b" else (LEGACY_ROWS, LEGACY_HEADER)
+        at = datetime(2024, 3, 4 + k, 5 + k, 30)
+        score_upload(spark, write_csv(tmp_path / f"{batch}.csv", header, rows), root, batch_id=batch, created_at=at)
+
+    def same(one, two):
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+    for turn in range(2):
+        tables, parts = load_tables(spark, root), load_dashboard(spark, root)
+        cells = parts["cells"]
+        same(D.merged_threat_stats(cells), A.threat_stats(tables["threat"]))
+        same(D.merged_distribution(cells, "attack"), A.attack_distribution(tables["attack"]))
+        same(D.merged_distribution(cells, "action"), A.action_distribution(tables["action"]))
+        same(D.merged_batches(cells), A.list_batches(tables["traffic"]))
+        same(D.merged_heatmap(cells), A.attack_heatmap(tables["threat"]))
+        for batch in "abcx":
+            same(D.merged_summary(cells, batch), A.upload_summary(tables, batch))
+        for n in (1, 4, 20):
+            same(D.merged_recent(parts["newest"], tables, n), recent_complete(tables, n))
+        if turn == 0:
+            compact_tables(spark, root)
+    assert load_dashboard(spark, str(tmp_path / "none"))["cells"].count() == 0
+
+
 def test_compacted_tables_read_the_same(spark, tmp_path):
     root, into = str(tmp_path / "out"), str(tmp_path / "compact")
     for batch in "ab":
