@@ -140,9 +140,9 @@ class Aligner:
         # bytes are counted through the whole batch, so that both frames are sorted by place
         over_a = pd.merge_asof(first, second, on="at", by="doc", suffixes=("_a", "_b"))
         over_b = pd.merge_asof(second, first, on="at", by="doc", suffixes=("_b", "_a"))
-        inner = over_b["token_a"].to_numpy(np.int64)
-        inner = first["at"].to_numpy()[inner] != second["at"].to_numpy()  # equal starts are in both directions
-        link_a = np.concatenate([over_a["token_a"].to_numpy(np.int64), over_b["token_a"].to_numpy(np.int64)[inner]])
+        covering = over_b["token_a"].to_numpy(np.int64)
+        inner = first["at"].to_numpy()[covering] != second["at"].to_numpy()  # equal starts are in both directions
+        link_a = np.concatenate([over_a["token_a"].to_numpy(np.int64), covering[inner]])
         link_b = np.concatenate([over_a["token_b"].to_numpy(np.int64), over_b["token_b"].to_numpy(np.int64)[inner]])
         link_doc = np.concatenate([over_a["doc"].to_numpy(np.int64), over_b["doc"].to_numpy(np.int64)[inner]])
         n_links = np.bincount(link_doc, minlength=len(rows)).astype(np.int64)

@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 from flowward.llm.scratch import Scratch
 from flowward.llm.words import SPACED, Texts, Words, chunks, cut_before, gather, word_hashes, word_texts
 
-#: Bound of the table that tasks hold: words, and bytes of one word. At most 80 MB, commonly 35 MB.
+#: Bound of the table that tasks hold: words, and bytes of one word. At most 170 MB, commonly 35 MB.
 HOT_WORDS = 1 << 20
 HOT_BYTES = 48
 #: Word occurrences put together at a time.
