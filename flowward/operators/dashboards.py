@@ -86,7 +86,8 @@ def table_cells(tables: dict[str, DataFrame]) -> DataFrame:
 
 def load_newest(scored: DataFrame, profile: FeatureProfile, n: int = KEPT) -> DataFrame:
     """The ``n`` newest predictions of a load with all that belongs to them."""
-    rows = pack_features(top_recent(scored, n), profile)
+    keys = F.broadcast(top_recent(scored.select("created_at", "id"), n))  # n rows at most; whole rows are not sorted
+    rows = pack_features(scored.join(keys, ["created_at", "id"], "left_semi"), profile)
     base, at_end = [F.col("id"), F.col("id").alias("traffic_data_id"), F.col("created_at")], ["source", "load_id"]
     traffic = F.struct("id", "created_at", "features", "batch_id", *at_end)
     if profile.model_type == THREAT:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -133,8 +134,10 @@ def write_scored(scored: DataFrame, profile: FeatureProfile, root: str, load_id:
     for name, df in out.items():
         check_types(df, name)
     folder = uuid.uuid4().hex
-    for name, df in out.items():
-        df.write.parquet(f"{root}/data/{folder}/{name}")
+    # side by side: the small tables take hardly more time than their scheduling
+    with ThreadPoolExecutor(len(out)) as pool:
+        for written in [pool.submit(df.write.parquet, f"{root}/data/{folder}/{name}") for name, df in out.items()]:
+            written.result()
     commit(spark, root, lambda _: {"add": {folder: ([name_of_load], sorted(out), [])}, "drop": []})
     if own is not None:
         discard(own)
