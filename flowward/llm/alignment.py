@@ -32,7 +32,7 @@ SPACE = byte_class((0x20, 0x20))
 MARK = "▁"
 
 ALIGNED = (
-    "doc_id long, a array<int>, b array<int>, groups array<struct<a: array<int>, b: array<int>>>, "
+    "doc_id long, n_a long, n_b long, groups array<struct<a: array<int>, b: array<int>>>, "
     "n_links long, pairs array<struct<a: int, b: int, n: int>>"
 )
 
@@ -162,13 +162,13 @@ class Aligner:
         pairs = pa.StructArray.from_arrays(fields, ["a", "b", "n"])
         arrays = [
             doc_ids,
-            _listed(pa.array(a), a_bounds),
-            _listed(pa.array(b), b_bounds),
+            pa.array(np.diff(a_bounds)),
+            pa.array(np.diff(b_bounds)),
             _listed(groups, group_bounds),
             pa.array(n_links),
             _listed(pairs, np.searchsorted(doc, np.arange(len(rows) + 1))),
         ]
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "a", "b", "groups", "n_links", "pairs"])
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_a", "n_b", "groups", "n_links", "pairs"])
 
 
 def _listed(values: pa.Array, bounds: np.ndarray) -> pa.Array:
@@ -199,8 +199,8 @@ def align_tokens(
 ) -> DataFrame:
     """Each text's tokens by ``a`` (byte-level BPE of space and text) and ``b`` (a sentencepiece BPE model), aligned.
 
-    One row per input row: the ids ``a`` and ``b``, ``groups`` of ids between two bytes where tokens of both sides
-    end, ``n_links`` pairs of tokens whose bytes overlap, and ``pairs`` (a, b, n), the distinct linked ids with their
+    One row per input row: the numbers ``n_a`` and ``n_b`` of tokens, ``groups`` of all their ids in order, cut where
+    tokens of both sides end, ``n_links`` pairs of tokens whose bytes overlap, and ``pairs`` (a, b, n), the distinct linked ids with their
     numbers of links. A text that is null, empty or not given back byte by byte by both sides has no tokens. Repeated
     rows are aligned each, a null id stays null, other columns are not read, an empty table stays empty.
     """
@@ -231,8 +231,8 @@ def alignment_digests(
     listed = F.array_join(F.transform("groups", lambda g: F.concat_ws("|", side(g["a"]), side(g["b"]))), ";")
     narrow = align_tokens(docs, a, b).select(
         "doc_id",
-        F.size("a").cast("long").alias("n_a"),
-        F.size("b").cast("long").alias("n_b"),
+        "n_a",
+        "n_b",
         F.size("groups").cast("long").alias("n_groups"),
         "n_links",
         F.when(F.size("groups") > 0, F.sha2(listed, 256)).otherwise("").alias("groups_sha256"),
