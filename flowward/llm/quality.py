@@ -50,6 +50,9 @@ COLUMNS = {
 }
 #: What the shares of one text sum to: whole numbers give the same sums in any order, for 2**33 texts a language.
 SCALE = 1 << 30
+#: Bits that mark which texts may repeat, and sums of words a task gathers before it hands them on.
+FILTER_BITS = 1 << 26
+GATHERED = 1 << 20
 DDL = {pa.int64(): "long", pa.float64(): "double", pa.string(): "string", pa.bool_(): "boolean"}
 
 
@@ -195,15 +198,32 @@ def _sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return values, sums
 
 
+def _merged(sums: dict[str, list]) -> dict[str, list]:
+    """The (values, sums) pairs of each language as one pair."""
+    joined = {name: _sums(*(np.concatenate(side) for side in zip(*pairs, strict=True))) for name, pairs in sums.items() if pairs}
+    return {name: [pair] for name, pair in joined.items()}
+
+
+def _handed_on(sums: dict[str, list], is_word: bool) -> Iterator[pa.RecordBatch]:
+    for name, pairs in _merged(sums).items():
+        values, totals = pairs[0]
+        langs = pa.array([name], pa.string()).take(pa.array(np.zeros(len(values), np.int64)))
+        yield pa.RecordBatch.from_arrays(
+            [langs, pa.array(np.full(len(values), is_word)), pa.array(values), pa.array(totals)], ["lang", "is_word", "item", "n"]
+        )
+
+
 def _profile(limits: Limits) -> Callable:
-    """Sums of one task's batch: characters by language and class, words by language and hash (null: without a letter)."""
+    """A task's sums: characters by language and class, words with a letter by language and hash; all others are class -1."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes_of: dict[str, list] = {}
+        words_of: dict[str, list] = {}
+        gathered, merged = 0, 0
         for batch in batches:
             langs = batch.column(0).dictionary_encode()
             names = [v.as_py() for v in langs.dictionary]
             codes = np.asarray(langs.indices.fill_null(-1))
-            kinds: list = []
             for texts in chunks(batch.column(1)):
                 words = find_words(texts, SPACED)
                 counts = words.counts
@@ -215,30 +235,44 @@ def _profile(limits: Limits) -> Callable:
                 by_word = np.repeat(mine, counts)
                 weight = np.repeat(np.rint(SCALE / np.maximum(counts, 1)).astype(np.int64), counts)
                 for code in np.unique(mine[mine >= 0]):
-                    total = classes[mine == code].sum(axis=0)
                     here = by_word == code
-                    values, sums = _sums(hashes[here & lettered], weight[here & lettered])
-                    rest = weight[here & ~lettered].sum()
-                    kinds.append((code, np.arange(len(total)), total, False, False))
-                    kinds.append((code, values.view(np.int64), sums, True, False))
-                    kinds.append((code, np.zeros(1, np.int64), np.array([rest]), True, True))
-            if not kinds:
-                continue
-            spread = lambda at: np.concatenate([np.full(len(k[1]), k[at]) for k in kinds])
-            items = np.concatenate([k[1] for k in kinds]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(names, pa.string()).take(pa.array(spread(0), pa.int64())),
-                    pa.array(spread(3)),
-                    pa.array(items, mask=spread(4)),
-                    pa.array(np.concatenate([k[2] for k in kinds]).astype(np.int64)),
-                ],
-                ["lang", "is_word", "item", "n"],
-            )
+                    bare = weight[here & ~lettered].sum()
+                    kinds = np.append(classes[mine == code].sum(axis=0), bare)
+                    found = _sums(hashes[here & lettered].view(np.int64), weight[here & lettered])
+                    classes_of.setdefault(names[code], []).append((np.append(np.arange(len(kinds) - 1), -1), kinds))
+                    words_of.setdefault(names[code], []).append(found)
+                    gathered += len(found[0])
+            if gathered > merged + GATHERED:
+                classes_of, words_of = _merged(classes_of), _merged(words_of)
+                gathered = merged = sum(len(pairs[0][0]) for pairs in words_of.values())
+                if merged > GATHERED:
+                    yield from _handed_on(words_of, True)
+                    words_of, gathered, merged = {}, 0, 0
+        yield from _handed_on(classes_of, False)
+        yield from _handed_on(words_of, True)
 
     return apply
 
 
+def distinct_texts(narrow: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(lang, text) rows of ``narrow`` without repeats, and the written table they read besides.
+
+    Only texts that may repeat are shuffled. Rows are counted by a hash of language and text; each hash that comes more
+    than once sets one of ``FILTER_BITS`` bits, broadcast as at most ``FILTER_BITS`` / 64 numbers. A row whose bit is not set
+    has no equal; all others, among them rows that only share a bit, are compared in full.
+    """
+    hashed = narrow.withColumn("hash", F.xxhash64("lang", "text"))
+    repeated = hashed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    place = f"pmod(hash, {FILTER_BITS}L)"
+    bit = f"cast({place} & 63 AS int)"
+    word = F.expr(f"shiftright({place}, 6)").alias("word")
+    bits = scratch.cut(repeated.groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("bits")))
+    marked = hashed.withColumn("word", word).join(F.broadcast(bits), "word", "left")
+    marked = marked.withColumn("open", F.expr(f"coalesce(shiftright(bits, {bit}) & 1L, 0L) = 1L"))
+    single = marked.where("not open").select("lang", "text")
+    return single.unionByName(marked.where("open").select("lang", "text").distinct()), bits
+
+
 def learn_references(docs: DataFrame, limits: Limits = Limits(), lang_col: str = "lang", max_langs: int = 1000) -> References:
     """References of every language of ``docs``, from all its distinct texts that pass the base rules.
 
@@ -248,22 +282,23 @@ def learn_references(docs: DataFrame, limits: Limits = Limits(), lang_col: str =
     """
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     narrow = docs.select(lang.alias("lang"), F.col("text").cast("string").alias("text"))
-    narrow = narrow.where("lang is not null and text is not null").distinct()
-    sums = narrow.mapInArrow(_profile(limits), "lang string, is_word boolean, item long, n long")
-    sums = sums.groupBy("lang", "is_word", "item").agg(F.sum("n").alias("n"))
     scratch = Scratch(docs.sparkSession, "quality")
+    each, bits = distinct_texts(narrow.where("lang is not null and text is not null"), scratch)
+    sums = each.mapInArrow(_profile(limits), "lang string, is_word boolean, item long, n long")
+    sums = sums.groupBy("lang", "is_word", "item").agg(F.sum("n").alias("n"))
     sums = scratch.cut(sums)
+    scratch.drop(bits)
     by_count = Window.partitionBy("lang").orderBy(F.col("n").desc(), "item")
     top = (
-        sums.where("is_word and item is not null")
+        sums.where("is_word")
         .withColumn("rank", F.row_number().over(by_count))
         .where(F.col("rank") <= limits.common_words)
         .drop("rank")
     )
-    totals = sums.where("is_word").groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = sums.where("is_word or item = -1").groupBy("lang").agg(F.sum("n").alias("n"))
     totals = totals.selectExpr("lang", "cast(null AS boolean) is_word", "cast(null AS long) item", "n")
     most = max_langs * (limits.common_words + 2 + len(CLASSES))
-    rows = top.unionByName(totals).unionByName(sums.where("not is_word or item is null")).limit(most + 1).collect()
+    rows = top.unionByName(totals).unionByName(sums.where("not is_word")).limit(most + 1).collect()
     scratch.drop(sums)
     if len(rows) > most:
         raise ValueError(f"More than {max_langs} languages")
@@ -273,11 +308,11 @@ def learn_references(docs: DataFrame, limits: Limits = Limits(), lang_col: str =
     for place, name in enumerate(langs):
         mine = [r for r in rows if r.lang == name]
         for r in mine:
-            if r.is_word is False:
+            if r.is_word is False and r.item >= 0:
                 classes[place, r.item] = r.n
         total = sum(r.n for r in mine if r.is_word is None)
-        bare = sum(r.n for r in mine if r.is_word and r.item is None)
-        found = sorted((int(np.int64(r.item).view(np.uint64)), r.n) for r in mine if r.is_word and r.item is not None)
+        bare = sum(r.n for r in mine if r.is_word is False and r.item == -1)
+        found = sorted((int(np.int64(r.item).view(np.uint64)), r.n) for r in mine if r.is_word)
         common.append(np.array([h for h, _ in found], np.uint64))
         counts = np.array([n for _, n in found] + [bare, total - bare - sum(n for _, n in found)], float)
         shares.append(_shares(counts))

@@ -135,6 +135,32 @@ def test_quality_references_are_not_copies_of_junk(spark):
     assert np.array_equal(once.classes, often.classes) and np.array_equal(once.words[0], often.words[0])
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 26])
+def test_distinct_texts_are_those_of_a_plain_distinct(spark, bits, monkeypatch):
+    monkeypatch.setattr(Q, "FILTER_BITS", bits)  # with 64 bits, most texts share one with a text that repeats
+    rows = [("en" if k % 3 else "de", f"text {k % 90}" if k % 2 else f"only {k}") for k in range(400)] + [("en", "")] * 3
+    table = spark.createDataFrame(rows, "lang string, text string").repartition(7)
+    found, _ = Q.distinct_texts(table, Q.Scratch(spark, "test"))
+    assert sorted(map(tuple, found.collect())) == sorted(set(rows))
+
+
+def test_sums_of_words_do_not_depend_on_how_many_are_gathered():
+    rng = random.Random(18)
+    texts = [" ".join(noise(rng, 3, "abcdefgh") for _ in range(90)) + " 12 |" for _ in range(40)]
+    batches = [Q.pa.RecordBatch.from_arrays([Q.pa.array(["en", "de"] * 10), Q.pa.array(texts[a : a + 20])], ["lang", "text"]) for a in (0, 20)]
+    before, found = Q.GATHERED, []
+    try:
+        for Q.GATHERED in (10, 1 << 20):
+            total = defaultdict(int)
+            for out in Q._profile(Q.Limits())(iter(batches)):
+                for lang, is_word, item, n in zip(*(c.to_pylist() for c in out.columns), strict=True):
+                    total[lang, is_word, item] += n
+            found.append(dict(total))
+    finally:
+        Q.GATHERED = before
+    assert found[0] == found[1] and found[0]["en", False, -1] > 0
+
+
 def test_quality_judges_words_of_short_texts(spark):
     rng = random.Random(17)
     common, rare = ["the", "of", "and", "to", "in", "a", "is"], [noise(rng, 7, "abcdefghilmnorstuvw") for _ in range(4000)]
