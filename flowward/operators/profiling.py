@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, functions as F
 
-from flowward.operators.quantiles import exact_quantiles, unpivoted
+from flowward.operators.quantiles import quantiles_and
 from flowward.operators.validation import drop_invalid
 from flowward.profiles import fixed_table
 
@@ -35,24 +35,39 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 def column_summary(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """count, mean, sample std, min, quartiles and max per numeric column; quartiles are exact."""
     cols = list(cols or numeric_columns(df))
-    stats = (
-        unpivoted(df, cols)
-        .groupBy("column")
-        .agg(
-            F.count("*").alias("count"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-        )
-    )
-    quartiles = exact_quantiles(df, cols, QUARTILES).groupBy("column").pivot("prob", list(QUARTILES)).agg(F.first("value"))
-    quartiles = quartiles.toDF("column", "q25", "q50", "q75")
-    return stats.join(F.broadcast(quartiles), "column", "left").select(
-        "column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"
+    values = {c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for c in cols}
+    stats = [f(v) for v in values.values() for f in (F.count, F.avg, F.stddev_samp, F.min, F.max)]
+    quartiles, row = quantiles_and(df, cols, QUARTILES, stats)
+    out = []
+    for i, c in enumerate(values):
+        count, mean, std, least, most = row[5 * i : 5 * i + 5]
+        if count:
+            out.append((c, count, mean, std, least, *[quartiles[(c, p)] for p in QUARTILES], most))
+    names = ("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    types = dict.fromkeys(names, pa.float64()) | {"column": pa.string(), "count": pa.int64()}
+    return fixed_table(df.sparkSession, {k: [o[i] for o in out] for i, k in enumerate(names)}, types)
+
+
+def column_types(df: DataFrame) -> DataFrame:
+    """Place, name, type and number of non-null values of every column, as a listing of a table's structure."""
+    counts = df.agg(*[F.count(F.col(f"`{c}`")) for c in df.columns]).first()
+    return fixed_table(
+        df.sparkSession,
+        {"place": list(range(len(df.columns))), "column": df.columns, "dtype": [t for _, t in df.dtypes], "non_null": list(counts)},
+        {"place": pa.int32(), "column": pa.string(), "dtype": pa.string(), "non_null": pa.int64()},
     )
 
 
+def shape(df: DataFrame) -> DataFrame:
+    """Number of rows and of columns."""
+    return df.agg(F.count("*").alias("rows"), F.lit(len(df.columns)).alias("columns"))
+
+
+def head(df: DataFrame, by: Sequence[str], n: int = 5) -> DataFrame:
+    """The ``n`` first rows in the order of ``by``; every task keeps its own ``n`` first."""
+    return df.orderBy(*by).limit(n)
+
+
 def text_summary(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """count, number of distinct values, most frequent value and its count per text column."""
     cols = list(cols or text_columns(df))

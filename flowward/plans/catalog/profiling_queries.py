@@ -37,6 +37,26 @@ def column_summary(spark, sf_dir):
     return rows.withColumns({c: F.round(c, 6) for c in ("mean", "std", "q25", "q50", "q75")})
 
 
+@query(
+    " UNION ALL ".join(
+        f"""SELECT {i} AS place, '{c}' AS "column", '{t}' AS dtype, count({c}) AS non_null FROM messages"""
+        for i, (c, t) in enumerate((("id", "bigint"), ("sender_ip", "string"), ("source", "string"), ("batch_id", "string")))
+    )
+)
+def column_types(spark, sf_dir):
+    return P.column_types(V.messages(spark, sf_dir).select("id", "sender_ip", "source", "batch_id"))
+
+
+@query("SELECT count(*) AS rows, 4 AS columns FROM messages")
+def table_shape(spark, sf_dir):
+    return P.shape(V.messages(spark, sf_dir).select("id", "sender_ip", "source", "batch_id"))
+
+
+@query("SELECT event_id, user_id, event_type FROM events ORDER BY ts, event_id LIMIT 5")
+def first_rows(spark, sf_dir):
+    return P.head(V.read_table(spark, sf_dir, "events"), ["ts", "event_id"]).select("event_id", "user_id", "event_type")
+
+
 def _text_sql(c: str, table: str) -> str:
     return f"""SELECT '{c}' AS "column", CAST(sum(n) AS BIGINT) AS "count", count(*) AS "unique",
         first(v ORDER BY n DESC, v) AS top, max(n) AS freq

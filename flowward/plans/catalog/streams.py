@@ -22,29 +22,33 @@ ALL = {"availableNow": True}
 PARTS = 3
 
 
-def _in_files(df: DataFrame, key: F.Column, name: str) -> str:
-    """``df`` as ``PARTS`` files, one after the other, for as many micro-batches."""
-    path = scratch_path(df.sparkSession, name)
+def _in_files(df: DataFrame, key: F.Column, name: str) -> tuple[str, int]:
+    """``df`` in ``PARTS`` parts, written one after the other by all tasks, and the files of a part: a micro-batch each."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    files, most = 0, 1
     for part in range(PARTS):
-        df.where(F.pmod(F.xxhash64(key), F.lit(PARTS)) == part).coalesce(1).write.mode("append").parquet(path)
-    return path
+        df.where(F.pmod(F.xxhash64(key), F.lit(PARTS)) == part).write.mode("append").parquet(path)
+        now = len(spark.read.schema(df.schema).parquet(path).inputFiles())
+        files, most = now, max(most, now - files)
+    return path, most
 
 
 def message_stream(messages: DataFrame, external: bool = False) -> DataFrame:
-    """Messages through the reader of the internal or the external stream, file by file."""
+    """Messages through the reader of the internal or the external stream, part by part."""
     spark = messages.sparkSession
     if "headers" not in messages.columns:
         messages = messages.withColumn("headers", F.array().cast("array<struct<key:string,value:binary>>"))
-    path = _in_files(messages.select("value", "headers", "timestamp"), F.col("value"), "messages")
+    path, files = _in_files(messages.select("value", "headers", "timestamp"), F.col("value"), "messages")
     read = read_external_stream if external else read_flow_stream
-    return read(spark, "parquet", path=path, maxFilesPerTrigger="1")
+    return read(spark, "parquet", path=path, maxFilesPerTrigger=str(files))
 
 
 def scored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scored events as a stream of several files, not in order of time."""
     events = V.read_table(spark, sf_dir, "events")
-    path = _in_files(events, F.col("event_id"), "events")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    path, files = _in_files(events, F.col("event_id"), "events")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(path)
     return rule_threat_score(V.as_view(stream, V.FLOW10))
 
 

@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from flowward.operators.features import FeatureError
 from flowward.operators.sets import union_all
 from flowward.profiles import fixed_table
-from flowward.session import cut_lineage
+from flowward.session import cut_lineage, discard
 
 # `monotonically_increasing_id` gives the position inside a partition in its low bits.
 _POSITION_BITS = 33
+# Bits of a row id that are its own, the rest is its load's.
+_LOAD_ROOM = 37
 
 
 def read_flows_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -103,3 +105,33 @@ def with_content_ids(df: DataFrame, order: Sequence[str], start_id: int = 0) ->
     tied = df.withColumn("_tie", F.monotonically_increasing_id())
     ranged = tied.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie")
     return with_dense_ids(ranged.drop("_tie"), start_id)
+
+
+def with_offset_ids(df: DataFrame, otherwise: Sequence[str], start_id: int = 0, room: int = 2**_LOAD_ROOM) -> DataFrame:
+    """Number rows by (topic, partition, offset), which the result leaves out, without moving them.
+
+    The driver lays the offset ranges of the topics' partitions one after the other, one row for each. Rows are written
+    once, so that they are read from the source once. Where a place is missing, or the ranges leave gaps so wide that
+    they do not fit into ``room``, rows are numbered in the order of ``otherwise``.
+    """
+    placed = cut_lineage(df, "placed")
+    columns = [c for c in df.columns if c not in ("topic", "partition", "offset")]
+    lacking = F.col("topic").isNull() | F.col("partition").isNull() | F.col("offset").isNull()
+    ranges = placed.groupBy("topic", "partition").agg(F.min("offset"), F.max("offset"), F.count_if(lacking)).collect()
+    missing = any(r[4] for r in ranges)
+    if missing or sum(r[3] - r[2] + 1 for r in ranges) > room:
+        numbered = with_content_ids(placed, otherwise, start_id)
+        discard(placed)
+        kept = numbered.select("id", *columns)
+        kept._cut_path = numbered._cut_path
+        return kept
+    starts = []
+    for topic, partition, low, high, _ in sorted(map(tuple, ranges)):
+        starts.append((topic, partition, start_id - low))
+        start_id += high - low + 1
+    names = {"topic": pa.string(), "partition": pa.int32(), "_start": pa.int64()}
+    table = fixed_table(df.sparkSession, {name: [s[i] for s in starts] for i, name in enumerate(names)}, names)
+    numbered = placed.join(F.broadcast(table), ["topic", "partition"])
+    numbered = numbered.select((F.col("offset") + F.col("_start")).alias("id"), *columns)
+    numbered._cut_path = placed._cut_path
+    return numbered

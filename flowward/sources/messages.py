@@ -13,7 +13,9 @@ _MAP = "map<string,string>"
 
 
 def read_flow_stream(spark: SparkSession, fmt: str = "kafka", **options: str) -> DataFrame:
-    """The internal message stream: Kafka from the latest offset, or files with the same columns.
+    """The internal message stream: Kafka from the latest offset, or parquet files with the same columns.
+
+    In the file form a file stands for a topic and a row's number in it for the offset.
 
     For Kafka pass at least ``kafka.bootstrap.servers`` through ``options``.
     """
@@ -31,7 +33,15 @@ def _read(spark: SparkSession, fmt: str, defaults: dict[str, str], options: dict
     if fmt == "kafka":
         return reader.options(**(defaults | options)).load()
     path = options.pop("path")
-    return reader.schema(MESSAGE_SCHEMA).options(**options).load(path)
+    files = reader.schema(MESSAGE_SCHEMA).options(**options).load(path)
+    if fmt != "parquet":
+        return files
+    return files.select(
+        "*",
+        F.col("_metadata.file_path").alias("topic"),
+        F.lit(0).alias("partition"),
+        F.col("_metadata.row_index").alias("offset"),
+    )
 
 
 def decode_messages(df: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from flowward.operators.sets import union_all
 from flowward.operators.validation import with_errors
 from flowward.plans.pipeline import RULE_SCORERS, Scorer, with_number_errors
 from flowward.session import cut_lineage, discard
-from flowward.sources.flow_files import with_content_ids
+from flowward.sources.flow_files import with_content_ids, with_offset_ids
 from flowward.sources.loads import first_id, stream_name
 from flowward.sources.messages import decode_messages, sender_ip, unwrap
 from flowward.sources.tables import prediction_structs, read_dim, to_prediction_messages, write_scored
@@ -106,9 +106,13 @@ def score_batch(
     parsed = message_values(wanted, [s.profile for s in scorers])
     columns = ["created_at", "source", "sender_ip", "text", "profile", "reason", "_values", "errors"]
     load_id = f"{source}-{stream}-{batch_number}"
-    order = places or ["created_at", "text", "sender_ip", "reason"]
-    numbered = with_content_ids(parsed.select(*columns, *places), order, first_id(spark, root, load_id))
-    rows_of_batch = numbered.drop(*places).withColumn("batch_id", F.lit(None).cast("string"))
+    start = first_id(spark, root, load_id)
+    content = ["created_at", "text", "sender_ip", "reason"]
+    if len(places) == 3:
+        numbered = with_offset_ids(parsed.select(*columns, *places), [*places, *content], start)
+    else:
+        numbered = with_content_ids(parsed.select(*columns), content, start)
+    rows_of_batch = numbered.withColumn("batch_id", F.lit(None).cast("string"))
 
     # At most one value per scorer; a scorer without rows is left out.
     present = {r["profile"] for r in rows_of_batch.select("profile").distinct().collect()}

@@ -13,6 +13,7 @@ from flowward.operators import evaluation as E
 from flowward.operators import joins as J
 from flowward.operators import recent as R
 from flowward.operators.profiling import column_summary, correlation_matrix, text_summary
+from flowward.operators import quantiles as Q
 from flowward.operators.quantiles import exact_quantiles
 from flowward.operators.sets import split, union_all
 from flowward.profiles import default_sources
@@ -38,6 +39,23 @@ def test_quantiles_are_exact_however_far_they_narrow(spark, limit):
             assert got[(c, p)] == pytest.approx(np.quantile(values, p), rel=1e-12), (c, p)
 
 
+def test_quantile_passes_do_not_grow_with_columns_and_ranks(spark, monkeypatch):
+    df = spark.range(5000).selectExpr("id AS a", "id * 7 % 5000 AS b", "id % 3 AS c", "cast(null AS double) AS d")
+    passes = []
+    narrow = Q._narrow
+    monkeypatch.setattr(Q, "_narrow", lambda *args: passes.append(1) or narrow(*args))
+    counts = []
+    for cols, probs in ((["a"], [0.5]), (["a", "b", "c", "d"], [0.01 * k for k in range(1, 100)])):
+        passes.clear()
+        rows = exact_quantiles(df, cols, probs, 100).collect()
+        counts.append(len(passes))
+        assert len(rows) == len(probs) * min(len(cols), 3)
+        for r in rows:
+            values = {"a": range(5000), "b": range(5000), "c": [k % 3 for k in range(5000)]}[r["column"]]
+            assert r["value"] == pytest.approx(np.quantile(list(values), r["prob"]), rel=1e-12)
+    assert counts == [1, 1]
+
+
 def test_quantiles_leave_missing_values_out(spark):
     df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (3.0,), (float("inf"),)], "v double")
     assert exact_quantiles(df, ["v"], [0.5]).first()["value"] == 3.0

@@ -17,7 +17,7 @@ from flowward.operators.validation import DROP, InvalidRowError
 from flowward.plans.pipeline import score_upload
 from flowward.profiles import ATTACK_PROFILE, THREAT_CURRENT, THREAT_LEGACY, default_sources
 from flowward.session import cut_lineage, shared_dir
-from flowward.sources.flow_files import read_flows_csv, read_many_csv
+from flowward.sources.flow_files import read_flows_csv, read_many_csv, with_offset_ids
 from flowward.sources.loads import claim
 from flowward.sources.manifest import commit, snapshot
 from flowward.sources.messages import MESSAGE_SCHEMA, decode_messages, read_flow_stream, sender_ip, unwrap
@@ -157,6 +157,41 @@ def test_streams_with_checkpoints_of_their_own_share_a_root(spark, tmp_path):
     assert len(stored) == 7 and len({r["id"] for r in stored}) == 7
 
 
+def test_ids_follow_offsets_without_a_shuffle(spark):
+    rows = [("t" if k % 2 else "s", k % 3, 100 + k, f"x{k}") for k in range(60) if k != 31]
+    df = spark.createDataFrame(rows, "topic string, partition int, offset long, text string")
+    found = []
+    for parts in (2, 5):
+        numbered = with_offset_ids(df.repartition(parts, "text"), ["text"], 1000)
+        assert "Exchange hash" not in numbered._jdf.queryExecution().toString()
+        found.append(sorted(map(tuple, numbered.collect())))
+    ids = [i for i, _ in found[0]]
+    assert found[0] == found[1] and len(set(ids)) == 59 and ids[0] == 1000 and numbered.columns == ["id", "text"]
+    order = sorted(rows)
+    assert [t for _, t in found[0]] == [r[3] for r in order]
+    for odd, room in ((df.withColumn("offset", F.expr("nullif(offset, 120)")), 1 << 37), (df, 100)):
+        ids = [r.id for r in with_offset_ids(odd, ["text"], 7, room).collect()]
+        assert sorted(ids) == list(range(7, 66))  # in the order of the content
+
+
+def test_file_stream_has_offsets_over_a_restart(spark, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "out")
+    body = F.to_json(F.struct(*[F.lit(1.0).alias(c) for c in THREAT_LEGACY.features]))
+    rows = spark.range(20).select(
+        body.alias("value"),
+        F.array().cast("array<struct<key:string,value:binary>>").alias("headers"),
+        F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("timestamp"),
+    )
+    for part in range(2):  # a file each, the second one after the first run has ended
+        rows.coalesce(1).write.mode("append").parquet(source)
+        stream = read_flow_stream(spark, "parquet", path=source, maxFilesPerTrigger="1")
+        score_stream(stream, root, f"{root}/checkpoint", availableNow=True).awaitTermination()
+        stored = load_tables(spark, root)["threat"].orderBy("id").collect()
+        assert len(stored) == len({r.id for r in stored}) == 20 * (part + 1)
+    seconds = [int(r.created_at.timestamp()) - 1_700_000_000 for r in stored]
+    assert seconds == [*range(20), *range(20)]
+
+
 def test_replays_give_the_same_ids_however_partitioned(spark, tmp_path):
     rows = messages(spark, [(json.dumps(legacy(count=float(i % 9))), None, i % 4) for i in range(60)])
     found = []
