@@ -21,15 +21,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of line runs; one that was nothing but copies goes.
 
-    ``n_chars`` follows the text where a document has changed.
+    ``n_chars`` follows the text where a document has changed; all other columns stay as they were, one named as the
+    operator's own ``removed_lines`` too.
     """
-    found = dedup_lines(docs)
+    own = {c: f"__own_{c}" for c in docs.columns if c == "removed_lines"}
+    found = dedup_lines(docs.withColumnsRenamed(own))
     changed = F.size("removed_lines") > 0
     found = found.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         found = found.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+    return found.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -316,6 +316,16 @@ def pipeline_tables(spark, tmp_path):
     return {d[0]: d[1] for d in docs}, passage
 
 
+def test_line_stage_gives_back_a_column_of_the_operators_name(spark):
+    import corpus_pipeline
+
+    run = "\n".join(" ".join(f"w{k}{j}" for j in range(20)) for k in range(4))
+    docs = documents(spark, [run, "before\n" + run, "other"]).selectExpr("*", "'mine' AS removed_lines")
+    rows = corpus_pipeline.line_dedup(spark, docs, "").orderBy("doc_id").collect()
+    assert [(r.text, r.removed_lines) for r in rows] == [(run, "mine"), ("before", "mine"), ("other", "mine")]
+    assert rows[0].asDict().keys() == dict.fromkeys(docs.columns).keys()
+
+
 def test_pipeline_stage_by_stage(spark, tmp_path):
     import corpus_pipeline
 
