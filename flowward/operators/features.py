@@ -7,6 +7,7 @@ columns: the profile's snake-case names as doubles plus ``errors``.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -218,7 +219,7 @@ def message_values(
         row, others, exact, values, errors = (f"_{n}{p_index}" for n in ("row", "others", "exact", "values", "errors"))
         steps[0][row] = F.when(own, F.from_json(F.to_json(m), StructType([StructField(f, StringType()) for f in profile.features])))
         steps[0][others] = _other_entries(m, profile, own)
-        steps[1][exact] = F.array(*[F.col(row)[f] for f in profile.features])
+        steps[1][exact] = F.expr(f"array({row}.*)")
         steps[2][values] = F.when(own, _parsed(_raw_texts(m, profile, exact, others), cast_feature, profile))
         steps[3][errors] = F.when(own, _value_errors(m, profile, values, others))
     out = df
@@ -233,7 +234,9 @@ def message_values(
 
 
 def _name_pairs(profile: FeatureProfile) -> Column:
-    return F.array(*[F.struct(F.lit(f).alias("exact"), F.lit(_loose(f)).alias("loose")) for f in profile.features])
+    """One literal: a call to the JVM for each name would take longer than a small micro-batch."""
+    pairs = json.dumps([{"exact": f, "loose": _loose(f)} for f in profile.features])
+    return F.from_json(F.lit(pairs), "array<struct<exact:string,loose:string>>")
 
 
 def _other_entries(m: Column, profile: FeatureProfile, own: Column) -> Column:
