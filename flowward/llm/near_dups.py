@@ -282,23 +282,29 @@ class NearDuplicates:
         only if their D share at least k = (|D| + |D'| - (1 - s) / (1 + s) (n + n')) / 2 elements, at similarity
         s, and k is positive where one of them is not linked with the hub. So, with elements in the order of how
         few nodes of the hub have them, the first |D| - k + 1 of each must meet, and early enough for k of them.
+
+        Only elements in which different components meet count. Where they do, nodes outside the element's largest
+        component are compared with all others; the nodes of that one are not compared with each other.
         """
         share = (100 - self.shape.percent) / (100 + self.shape.percent)
-        found = stars.select("hub", "node", "linked", F.col("differing").alias("d"), "n", "hub_n", F.explode("differences").alias("e"))
-        seen = found.groupBy("hub", "e").agg(F.count("*").alias("df"), F.min("linked").alias("all_linked"))
-        seen = self.scratch.cut(seen.where("df > 1 and not all_linked"))
+        known = stars.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        known = known.select("hub", "node", "component", "linked", F.col("differing").alias("d"), "n", "hub_n", "differences")
+        found = known.withColumn("e", F.explode("differences")).drop("differences")
+        parts = found.groupBy("hub", "e", "component").agg(F.count("*").alias("size"))
+        main = F.max(F.struct("size", "component"))["component"].alias("main")
+        seen = parts.groupBy("hub", "e").agg(F.sum("size").alias("df"), F.count("*").alias("parts"), main)
+        seen = self.scratch.cut(seen.where("parts > 1").drop("parts"))
         shared = found.join(seen, ["hub", "e"])
         kept = shared.withColumn("rest", F.count("*").over(Window.partitionBy("hub", "node")))
         order = Window.partitionBy("hub", "node").orderBy("df", "e")
         placed = kept.withColumn("pos", F.row_number().over(order) - 1)
-        # elements that no other node has, or only linked ones, stand before all these
+        # elements that no other component has stand before all these
         placed = placed.withColumn("pos", F.col("pos") + F.col("d") - F.col("rest"))
         most = F.floor((F.col("d") + (F.col("n") - F.col("hub_n")) * share) / 2) + 1
         most = F.when(F.col("linked"), most).otherwise(F.greatest(most, F.floor(F.col("n") * (100 / self.shape.percent - 1)) + 2))
         placed = placed.where(F.col("pos") < most)
-        placed = placed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        placed = self.scratch.cut(placed.select("hub", "e", "node", "linked", "d", "n", "pos", "component"))
-        x, y = placed.where("not linked").alias("x"), placed.alias("y")
+        placed = self.scratch.cut(placed.select("hub", "e", "node", "d", "n", "pos", "component", "main"))
+        x, y = placed.where("component != main").alias("x"), placed.alias("y")
         need = (F.col("x.d") + F.col("y.d") - (F.col("x.n") + F.col("y.n")) * share) / 2
         room = 1 + F.least(F.col("x.d") - F.col("x.pos") - 1, F.col("y.d") - F.col("y.pos") - 1)
         sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * self.shape.percent
@@ -307,7 +313,7 @@ class NearDuplicates:
             (F.col("x.hub") == F.col("y.hub"))
             & (F.col("x.e") == F.col("y.e"))
             & (F.col("x.component") != F.col("y.component"))
-            & (F.col("y.linked") | (F.col("x.node") < F.col("y.node")))
+            & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
             & (room + 1e-6 >= need)
             & sizes,
         )
@@ -317,16 +323,21 @@ class NearDuplicates:
         self.scratch.drop(seen, placed, pairs, self.sets)
         return links
 
-    def classes(self) -> DataFrame:
+    def classed(self) -> DataFrame:
+        """Each row's class with the class's node; texts without words have no node."""
         labels = connected(self.links, self.scratch)
         nodes = self.nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         least = self.scratch.cut(nodes.groupBy("component").agg(F.min("first_id").alias("component_id")))
-        named = nodes.join(least, "component").select("set_key", "component_id")
-        filled = self.features.join(named, "set_key").select("doc_id", "text_key", "n_shingles", "component_id")
+        named = nodes.join(least, "component").select("set_key", "component_id", "component")
+        filled = self.features.join(named, "set_key").select("doc_id", "text_key", "n_shingles", "component_id", "component")
         empty = self.features.where("set_key is null")
-        empty = empty.select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
+        nothing = F.lit(None).cast("long").alias("component")
+        empty = empty.select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"), nothing)
         return filled.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
+    def classes(self) -> DataFrame:
+        return self.classed().drop("component")
+
 
 def near_duplicates(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     """Each row's class of near-duplicates: doc_id, text_key, n_shingles, component_id and kept.
@@ -341,9 +352,36 @@ def near_duplicates(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns as they were."""
-    gone = near_duplicates(docs, shape).where("not kept").select(
-        F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")
+    """One row of ``docs`` for each class of near-duplicates, with all its columns as they were.
+
+    It is a row of the class's least doc_id, of a class without ids any; of several texts with that id the one with
+    the least digest, and of rows equal in id and text one. Texts without words are no class: rows with an id and
+    such a text stay once for each text, rows with neither all stay.
+    """
+    run = NearDuplicates(docs, shape)
+    documents = run.classed().groupBy("doc_id", "text_key", "component").agg(
+        F.count("*").alias("rows"), F.first("kept").alias("kept")
+    )
+    documents = run.scratch.cut(documents)
+    of_class = documents.where("kept and component is not null")
+    least = of_class.groupBy("component").agg(F.min("text_key").alias("least_key"))
+    judged = documents.join(least, "component", "left").select(
+        F.col("doc_id").alias("__id"),
+        F.col("text_key").alias("__key"),
+        (F.col("component").isNull() | (F.col("kept") & (F.col("text_key") == F.col("least_key")))).alias("__stays"),
+        ((F.col("rows") > 1) & (F.col("doc_id").isNotNull() | F.col("component").isNotNull())).alias("__repeated"),
     )
+    judged = run.scratch.cut(judged.where("not __stays or __repeated"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.md5(F.col("text").cast("string")).eqNullSafe(F.col("__key"))
-    return docs.join(gone.distinct(), same, "left_anti")
+    repeated = judged.where("__stays")
+    if repeated.isEmpty():
+        return docs.join(judged, same, "left_anti")
+    number = "__row"
+    while number in {c.lower() for c in docs.columns}:
+        number += "_"
+    # numbers are settled by writing: a task that runs again gives its rows the same ones
+    rows = docs.join(repeated, same, "left_semi").withColumn(number, F.monotonically_increasing_id())
+    rows = run.scratch.cut(rows)
+    firsts = rows.groupBy(F.col("doc_id").cast("long"), F.md5(F.col("text").cast("string"))).agg(F.min(number).alias("__first"))
+    once = rows.join(firsts.select("__first"), F.col(number) == F.col("__first"), "left_semi").drop(number)
+    return docs.join(judged, same, "left_anti").unionByName(once)

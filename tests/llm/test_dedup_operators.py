@@ -68,6 +68,39 @@ def test_pairs_the_hub_leaves_apart_are_found(spark):
     assert {r.doc_id: r.component_id for r in found} == classes(rows)
 
 
+def test_a_second_family_in_the_hubs_buckets(spark):
+    # both families meet in the first one's buckets; the second is far from its hub and has strays of its own
+    rng = random.Random(9)
+    base = words(rng, 100)
+    other = base[:85] + words(rng, 15, 40)
+    rows = []
+    for k in range(120):
+        edited = list(base if k % 3 else other)
+        for place in rng.sample(range(100), rng.choice([1, 2, 6])):
+            edited[place] = f"z{rng.randint(0, 30)}"
+        rows.append((k, " ".join(edited)))
+    shape = near_dups.Shape(bands=256, rows=1)
+    found = near_dups.near_duplicates(documents(spark, rows), shape).collect()
+    assert {r.doc_id: r.component_id for r in found} == classes(rows)
+
+
+def test_one_row_of_a_class_stays(spark):
+    long = " ".join(f"w{k}" for k in range(40))
+    near = long + " and"
+    rows = [(7, long)] * 300 + [(9, near)] * 5 + [(3, "alone here")] * 4 + [(None, "no id at all")] * 6
+    rows += [(2, None)] * 3 + [(2, "")] * 2 + [(None, "")] * 2 + [(None, None)]
+    twice = " ".join(f"v{k}" for k in range(40))
+    rows += [(20, twice), (20, twice + " more"), (21, "y z")]
+    table = documents(spark, rows).selectExpr("*", "1 AS __row", "2 AS kept")
+    kept = near_dups.drop_near_duplicates(table)
+    assert kept.columns == table.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    many = [key for key in got if key[0] == 20]
+    assert len(many) == 1 and got.pop(many[0]) == 1
+    expected = {(7, long): 1, (3, "alone here"): 1, (None, "no id at all"): 1, (2, None): 1, (2, ""): 1, (21, "y z"): 1}
+    assert got == expected | {(None, ""): 2, (None, None): 1}
+
+
 def test_signature_estimates_similarity():
     import numpy as np
 
