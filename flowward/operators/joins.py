@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from flowward.operators.membership import by_filter
 from flowward.operators.recent import top_recent
 from flowward.profiles import ATTACK, THREAT
 
@@ -33,14 +34,24 @@ def _attack_with_action(attack: DataFrame, action: DataFrame) -> DataFrame:
     )
 
 
+def composite_parts(traffic: DataFrame, threat: DataFrame, attack: DataFrame, action: DataFrame) -> dict[str, DataFrame]:
+    """What composite rows are joined from, each by ``_key``, the traffic row's id."""
+    return {
+        "traffic": _nest(traffic, "id", "traffic"),
+        "threat": _nest(threat, "traffic_data_id", "threat"),
+        "attack": _attack_with_action(attack, action),
+    }
+
+
+def composed(traffic: DataFrame, threat: DataFrame, attack: DataFrame) -> DataFrame:
+    """{traffic, threat?, attack?, action?} from `composite_parts`."""
+    joined = traffic.join(threat, "_key", "left").join(attack, "_key", "left")
+    return joined.select("traffic", "threat", "attack", "action")
+
+
 def complete_predictions(traffic: DataFrame, threat: DataFrame, attack: DataFrame, action: DataFrame) -> DataFrame:
     """{traffic, threat?, attack?, action?} per traffic row; every key is unique, so no group is larger than one."""
-    return (
-        _nest(traffic, "id", "traffic")
-        .join(_nest(threat, "traffic_data_id", "threat"), "_key", "left")
-        .join(_attack_with_action(attack, action), "_key", "left")
-        .select("traffic", "threat", "attack", "action")
-    )
+    return composed(**composite_parts(traffic, threat, attack, action))
 
 
 def recent_complete(tables: dict[str, DataFrame], n: int = 20, include_attack_rows: bool = False) -> DataFrame:
@@ -133,12 +144,21 @@ def dim_lookup(facts: DataFrame, dim: DataFrame, key: str, how: str = "left", sa
     return salted.join(salted_dim, [key, "_salt"], how).drop("_salt")
 
 
-def admitted_flag(messages: DataFrame, whitelist: DataFrame) -> DataFrame:
-    """Add ``admitted``: whether the sender is an active whitelist entry (exact text, null never)."""
-    allowed = (
-        whitelist.where("is_active").select(F.col("ip_address").alias("sender_ip")).distinct().withColumn("_hit", F.lit(True))
-    )
-    joined = dim_lookup(messages, allowed, "sender_ip")
+def admitted_flag(messages: DataFrame, whitelist: DataFrame, prefilter: bool = False) -> DataFrame:
+    """Add ``admitted``: whether the sender is an active whitelist entry (exact text, null never).
+
+    With ``prefilter``, for a whitelist too large to broadcast, only messages that pass a Bloom filter of it are
+    shuffled to the exact join; all others are settled where they are.
+    """
+    allowed = whitelist.where("is_active").select(F.col("ip_address").alias("sender_ip")).distinct()
+    if not prefilter:
+        return _exact_flag(messages, allowed)
+    maybe, absent = by_filter(messages, allowed, "sender_ip")
+    return _exact_flag(maybe, allowed).unionByName(absent.withColumn("admitted", F.lit(False)))
+
+
+def _exact_flag(messages: DataFrame, allowed: DataFrame) -> DataFrame:
+    joined = dim_lookup(messages, allowed.withColumn("_hit", F.lit(True)), "sender_ip")
     return joined.select(*messages.columns, F.coalesce("_hit", F.lit(False)).alias("admitted"))
 
 

@@ -93,26 +93,37 @@ def list_dim(df: DataFrame, *order: str | Column) -> DataFrame:
 # -- positions over a whole table ---------------------------------------------------
 
 
+def _ranged(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """``df`` range-partitioned by ``order`` and written once, with its partition as ``_part``.
+
+    Rows that tie go by ``_tie``, so that they, too, are dealt over partitions: a hash of the row and of the partition
+    it came from. Equal rows spread, and a task that runs again deals its rows as before.
+    """
+    plain = [F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    tied = df.withColumn("_tie", F.xxhash64(F.spark_partition_id(), *plain))
+    return cut_lineage(tied.repartitionByRange(*order, "_tie").withColumn("_part", F.spark_partition_id()), "ranged")
+
+
 def running_totals(df: DataFrame, order: Sequence[str | Column], sums: dict[str, str]) -> DataFrame:
-    """Add running sums (inclusive) of columns in a total order over all rows.
+    """Add running sums (inclusive) of columns in a total order over all rows; rows that tie have any order.
 
     ``sums`` maps a new column to the numeric column it adds up. The rows are
     range-partitioned by ``order`` and written once, so a row's partition number
     is settled; partition totals (one row per partition) then give each
     partition its starting value. No task sees more than its own partition.
     """
-    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+    ranged = _ranged(df, order)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         ranged.groupBy("_part")
         .agg(*[F.sum(c).alias(name) for name, c in sums.items()])
         .select("_part", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_start_{n}") for n in sums])
     )
-    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_part").orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, 0)
     totals = (
         ranged.join(F.broadcast(starts), "_part")
         .withColumns({n: F.col(f"_start_{n}") + F.sum(c).over(inside) for n, c in sums.items()})
-        .drop("_part", *[f"_start_{n}" for n in sums])
+        .drop("_part", "_tie", *[f"_start_{n}" for n in sums])
     )
     totals._cut_path = ranged._cut_path  # for `discard`, once nothing reads them any more
     return totals
@@ -132,9 +143,21 @@ def with_sequence(df: DataFrame, order: Sequence[str | Column], name: str = "ind
 
 
 def pct_change(df: DataFrame, order: str, col: str, name: str = "trend") -> DataFrame:
-    """Percentage change to the previous row of a short series (one row per time bucket)."""
-    previous = F.lag(col).over(Window.orderBy(order))
-    return df.withColumn(name, F.try_divide((F.col(col) - previous) * F.lit(100.0), previous))
+    """Percentage change to the previous row; null for the first row and after a null or zero.
+
+    Each range of the order hands its last value on to the first row of the next one (one row a partition), so a
+    series of any length is one window per partition. Rows that tie have any order.
+    """
+    ranged = _ranged(df, [order])
+    last = F.max_by(F.struct(F.col(col).alias("value")), F.struct(order, "_tie")).alias("_last")
+    lasts = ranged.groupBy("_part").agg(last)
+    carried = lasts.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_carried"))
+    inside = Window.partitionBy("_part").orderBy(order, "_tie")
+    first = F.row_number().over(inside) == 1
+    previous = F.when(first, F.col("_carried.value")).otherwise(F.lag(col).over(inside))
+    changed = ranged.join(F.broadcast(carried), "_part").withColumn("_previous", previous)
+    changed = changed.withColumn(name, F.try_divide((F.col(col) - F.col("_previous")) * F.lit(100.0), F.col("_previous")))
+    return changed.drop("_part", "_tie", "_carried", "_previous")
 
 
 def score_series(df: DataFrame, n: int = 100, threshold: float = 0.5) -> DataFrame:

@@ -17,7 +17,9 @@ from flowward.operators.sets import union_all
 from flowward.plans.catalog.frames import flatten_complete, live_messages
 from flowward.plans.catalog.registry import query
 from flowward.profiles import default_sources
+from flowward.session import scratch_path
 from flowward.sources import flow_views as V
+from flowward.sources.bucketed import bucketed_complete, write_bucketed
 
 COMPLETE_COLUMNS = (
     "id, source, batch_id, prediction_score, is_attack, attack_type_name, confidence, action_type"
@@ -98,6 +100,14 @@ def complete_predictions(spark, sf_dir):
     return flatten_complete(J.complete_predictions(**V.result_tables(spark, sf_dir)))
 
 
+@query(f"SELECT {COMPLETE_COLUMNS} FROM complete")
+def bucketed_complete_predictions(spark, sf_dir):
+    """From a copy of the tables that is bucketed by traffic row."""
+    path = scratch_path(spark, "bucketed")
+    write_bucketed(V.result_tables(spark, sf_dir), path, 8)
+    return flatten_complete(bucketed_complete(spark, path, 8))
+
+
 _RECENT = f"SELECT {COMPLETE_COLUMNS} FROM complete ORDER BY threat_at DESC, threat_id DESC LIMIT 20"
 
 
@@ -150,6 +160,16 @@ def whitelist_admission(spark, sf_dir):
     return rows.select("id", "sender_ip", "admitted")
 
 
+@query(
+    """SELECT m.id, m.sender_ip, EXISTS (SELECT 1 FROM whitelist w WHERE w.is_active AND w.ip_address = m.sender_ip)
+    AS admitted FROM messages m"""
+)
+def filtered_whitelist_admission(spark, sf_dir):
+    """By a Bloom filter of the whitelist before the exact join."""
+    rows = J.admitted_flag(V.messages(spark, sf_dir), V.whitelist(spark, sf_dir), prefilter=True)
+    return rows.select("id", "sender_ip", "admitted")
+
+
 @query(
     "SELECT id, sender_ip, source FROM messages WHERE sender_ip NOT IN (SELECT ip_address FROM whitelist WHERE is_active)"
 )
@@ -402,6 +422,16 @@ def daily_trend(spark, sf_dir):
     return R.pct_change(t.groupBy(F.to_date("created_at").alias("day")).agg(F.count("*").alias("n")), "day", "n")
 
 
+@query(
+    """SELECT event_id, (value - lag(value) OVER o) * CAST(100 AS DOUBLE) / nullif(lag(value) OVER o, 0) AS trend
+    FROM events WINDOW o AS (ORDER BY ts, event_id)"""
+)
+def value_trend(spark, sf_dir):
+    """The change from each event to the next one in time, over the whole table."""
+    events = V.read_table(spark, sf_dir, "events").select("event_id", "value", F.struct("ts", "event_id").alias("at"))
+    return R.pct_change(events, "at", "value").select("event_id", "trend")
+
+
 @query("SELECT event_id, user_id, event_type, value FROM events")
 def shuffled_events(spark, sf_dir):
     """All rows in an order fixed by the seed."""

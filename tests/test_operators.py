@@ -11,12 +11,14 @@ from flowward.operators import aggregates as A
 from flowward.operators import dimensions as D
 from flowward.operators import evaluation as E
 from flowward.operators import joins as J
+from flowward.operators import membership as M
 from flowward.operators import recent as R
 from flowward.operators.profiling import column_summary, correlation_matrix, text_summary
 from flowward.operators import quantiles as Q
 from flowward.operators.quantiles import exact_quantiles
 from flowward.operators.sets import split, union_all
 from flowward.profiles import default_sources
+from flowward.sources.bucketed import bucketed_complete, write_bucketed
 
 T0 = datetime(2024, 1, 1)
 
@@ -61,7 +63,15 @@ def test_quantiles_leave_missing_values_out(spark):
     assert exact_quantiles(df, ["v"], [0.5]).first()["value"] == 3.0
 
 
-def test_running_totals_over_many_partitions(spark):
+@pytest.fixture
+def many_partitions(spark):
+    """Spark would put tables as small as these into one partition."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_running_totals_over_many_partitions(spark, many_partitions):
     rng = random.Random(5)
     rows = [(rng.randrange(50), i, rng.randrange(10)) for i in range(2000)]
     df = spark.createDataFrame(rows, "k int, id int, n bigint").repartition(7)
@@ -76,6 +86,76 @@ def test_running_totals_over_many_partitions(spark):
     assert {r["id"]: r["index"] for r in numbered} == {r[1]: i + 1 for i, r in enumerate(order)}
 
 
+def _tasks(df):
+    """Rows by ``_part``."""
+    return {r["_part"]: r["count"] for r in df.groupBy("_part").count().collect()}
+
+
+def test_ties_of_the_order_key_are_split(spark, many_partitions):
+    rows = [(1 if i % 2 else i, 1) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k int, n bigint").repartition(7)
+    assert max(_tasks(R._ranged(df, ["k"])).values()) < 1500
+    got = sorted((r["cum_n"], r["k"]) for r in R.cumulative(df, ["k"], ["n"]).collect())
+    assert [c for c, _ in got] == list(range(1, 4001))
+    assert [k for _, k in got] == sorted(k for k, _ in rows)
+
+
+def test_changes_go_on_over_partitions(spark, many_partitions):
+    rng = random.Random(8)
+    values = [rng.choice([None, 0.0, 1.0, 2.5, 7.0]) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(values)), "k int, v double").repartition(5)
+    want = {0: None}
+    for k in range(1, 1500):
+        a, b = values[k - 1], values[k]
+        want[k] = None if not a or b is None else (b - a) * 100.0 / a
+    got = R.pct_change(df, "k", "v")
+    assert got.columns == ["k", "v", "trend"]
+    assert {r["k"]: r["trend"] for r in got.collect()} == want
+    assert R.pct_change(df.where("k < 0"), "k", "v").count() == 0
+
+
+@pytest.mark.parametrize("bits", [None, 1 << 15])
+def test_a_filter_loses_no_match(spark, monkeypatch, bits):
+    if bits:  # far too small a filter
+        monkeypatch.setattr(M, "MOST_BITS", bits)
+    keys = spark.range(6000).select(F.concat(F.lit("10.0."), F.col("id") * 3).alias("sender_ip"), (F.col("id") % 5 > 0).alias("is_active"))
+    facts = spark.range(40_000).select("id", F.when(F.col("id") % 11 > 0, F.concat(F.lit("10.0."), F.col("id"))).alias("sender_ip"))
+    facts = facts.withColumn("_slot", F.lit("mine"))
+    allowed = keys.where("is_active").select("sender_ip")
+    maybe, absent = M.by_filter(facts, allowed, "sender_ip")
+    assert maybe.columns == absent.columns == facts.columns
+    assert maybe.count() + absent.count() == 40_000
+    assert absent.join(allowed, "sender_ip", "left_semi").count() == 0
+    matches = facts.join(allowed, "sender_ip", "left_semi").count()
+    if not bits:
+        assert maybe.count() - matches < 40_000 / 16
+    whitelist = keys.withColumnRenamed("sender_ip", "ip_address")
+    flags = [J.admitted_flag(facts, whitelist, prefilter=p).where("admitted").select("id").collect() for p in (True, False)]
+    assert sorted(flags[0]) == sorted(flags[1]) and len(flags[0]) == matches
+    none = J.admitted_flag(facts, whitelist.where("false"), prefilter=True)
+    assert none.count() == 40_000 and none.where("admitted").count() == 0
+
+
+def test_bucketed_tables_are_joined_where_they_lie(spark, tmp_path):
+    traffic = spark.range(500).selectExpr("id", "id % 7 AS n", "map('a', id * 1D) AS features")
+    threat = spark.range(0, 500, 2).selectExpr("id + 1000 AS id", "CASE WHEN id > 10 THEN id END AS traffic_data_id")
+    attack = spark.range(0, 500, 3).selectExpr("id + 2000 AS id", "id AS traffic_data_id")
+    action = spark.range(0, 500, 6).selectExpr("id + 3000 AS id", "id + 2000 AS attack_prediction_id")
+    tables = {"traffic": traffic, "threat": threat, "attack": attack, "action": action}
+    path = str(tmp_path)
+    write_bucketed(tables, path, 8)
+    found = bucketed_complete(spark, path, 8)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    want = sorted(map(repr, J.complete_predictions(**tables).collect()))
+    assert sorted(map(repr, found.collect())) == want
+    for name in [t.name for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]:
+        spark.sql(f"DROP TABLE {name}")  # as in a session that did not write them
+    again = bucketed_complete(spark, path, 8)
+    assert sorted(map(repr, again.collect())) == want
+    assert "Exchange" not in again._jdf.queryExecution().executedPlan().toString()
+
+
 def test_latest_per_takes_the_whole_row(spark):
     rows = [("a", 1, "x"), ("a", 3, None), ("b", 2, "z"), ("a", 2, "y")]
     df = spark.createDataFrame(rows, "k string, at int, v string")
