@@ -108,13 +108,16 @@ def _set_key(values: np.ndarray) -> bytes | None:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None
 
 
+#: Bytes of a run of texts: its shingles and signatures take many times their room.
+RUN_BYTES = 1 << 20
+
 FEATURES = "doc_id long, text_key string, n_shingles long, set_key binary, bands array<long>"
 
 
 def _featured(shape: Shape) -> Callable:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in chunks(batch.column(2)):
+            for texts in chunks(batch.column(2), RUN_BYTES):
                 words = find_words(texts, SPACED)
                 shingles, bounds = shingle_hashes(texts, words, shape.width)
                 sets = list(_distinct(shingles, bounds))
@@ -139,7 +142,7 @@ def _featured(shape: Shape) -> Callable:
 def _sets(shape: Shape) -> Callable:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in chunks(batch.column(0)):
+            for texts in chunks(batch.column(0), RUN_BYTES):
                 words = find_words(texts, SPACED)
                 sets = list(_distinct(*shingle_hashes(texts, words, shape.width)))
                 yield pa.RecordBatch.from_arrays(

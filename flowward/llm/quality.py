@@ -50,9 +50,11 @@ COLUMNS = {
 }
 #: What the shares of one text sum to: whole numbers give the same sums in any order, for 2**33 texts a language.
 SCALE = 1 << 30
-#: Bits that mark which texts may repeat, and sums of words a task gathers before it hands them on.
+#: Bits that mark which texts may repeat, sums of words a task gathers before it hands them on, and bytes of a run of
+#: texts: what is made from a run takes many times its room.
 FILTER_BITS = 1 << 26
-GATHERED = 1 << 20
+GATHERED = 1 << 18
+RUN_BYTES = 1 << 20
 DDL = {pa.int64(): "long", pa.float64(): "double", pa.string(): "string", pa.bool_(): "boolean"}
 
 
@@ -192,10 +194,10 @@ def _with_letter(texts: Texts, words: Words, hashes: np.ndarray) -> np.ndarray:
 
 
 def _sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    values, inverse = np.unique(keys, return_inverse=True)
-    sums = np.zeros(len(values), np.int64)
-    np.add.at(sums, inverse, weights)
-    return values, sums
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    firsts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[firsts], np.add.reduceat(weights[order], firsts) if len(keys) else np.zeros(0, np.int64)
 
 
 def _merged(sums: dict[str, list]) -> dict[str, list]:
@@ -224,7 +226,7 @@ def _profile(limits: Limits) -> Callable:
             langs = batch.column(0).dictionary_encode()
             names = [v.as_py() for v in langs.dictionary]
             codes = np.asarray(langs.indices.fill_null(-1))
-            for texts in chunks(batch.column(1)):
+            for texts in chunks(batch.column(1), RUN_BYTES):
                 words = find_words(texts, SPACED)
                 counts = words.counts
                 base = _base_failed(counts, _repeated_words(words, word_hashes(texts, words, lower=False)), limits)
@@ -363,7 +365,7 @@ def measure(texts: Texts, refs: References, limits: Limits) -> dict[str, np.ndar
 def _judged(refs: References, limits: Limits, place: int) -> Callable:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [measure(t, refs, limits) for t in chunks(batch.column(place))]
+            parts = [measure(t, refs, limits) for t in chunks(batch.column(place), RUN_BYTES)]
             if not parts:
                 continue
             made = [pa.array(np.concatenate([p[c] for p in parts]), kind, from_pandas=True) for c, kind in COLUMNS.items()]
@@ -389,7 +391,7 @@ def judge(docs: DataFrame, limits: Limits = Limits(), refs: References | None =
 def _passing(refs: References, limits: Limits, place: int) -> Callable:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [measure(t, refs, limits)["kept"] for t in chunks(batch.column(place))]
+            parts = [measure(t, refs, limits)["kept"] for t in chunks(batch.column(place), RUN_BYTES)]
             if parts:
                 yield batch.filter(pa.array(np.concatenate(parts)))
 
