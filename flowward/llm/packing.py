@@ -22,11 +22,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from flowward.llm.scratch import Scratch
-from flowward.llm.words import SPACED, Known, chunks, find_words, per_row, word_hashes
+from flowward.llm.words import SPACED, Known, chunks, find_words, gather, per_row, word_hashes
 
 CAPACITY = 4096
 END = 1
 PART_PIECES = 20_000
+#: Bytes of a run of texts, and words a task remembers: a worker holds them beside what earlier operators left it.
+RUN_BYTES = 1 << 20
+KNOWN_WORDS = 1 << 19
 ROUNDS = 4
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -86,7 +89,7 @@ class WordIds:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain, self.ids_of_rank = plain_encoder(path)
         self.flat = np.zeros(0, np.uint32)
-        self.known = Known(self._solve, [np.int64, np.int64], limit=1 << 21)
+        self.known = Known(self._solve, [np.int64, np.int32], limit=KNOWN_WORDS)
 
     def _plain_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in turn, numbers of ids by word)."""
@@ -118,7 +121,7 @@ class WordIds:
 
     def texts(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids of all texts with ``END`` after each, bounds by text)."""
-        for texts in chunks(column):
+        for texts in chunks(column, RUN_BYTES):
             words = find_words(texts, SPACED)
             place, which = self.known.rows(texts, words, word_hashes(texts, words, lower=False))
             starts, counts = (c[place][which] for c in self.known.columns)
@@ -127,9 +130,7 @@ class WordIds:
             out = np.empty(bounds[-1], np.uint32)
             inside = np.ones(bounds[-1], bool)
             inside[bounds[1:] - 1] = False
-            ends = np.cumsum(counts)
-            total = int(ends[-1]) if len(ends) else 0
-            out[inside] = self.flat[np.arange(total) + np.repeat(starts - ends + counts, counts)]
+            out[inside] = gather(self.flat, starts, counts)
             out[bounds[1:] - 1] = END
             yield out, bounds
 

@@ -134,10 +134,20 @@ def word_texts(texts: Texts, words: Words) -> pa.Array:
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """``flat[s : s + n]`` of every (s, n), one after another."""
-    ends = np.cumsum(counts)
-    total = int(ends[-1]) if len(ends) else 0
-    return flat[np.arange(total) + np.repeat(starts - ends + counts, counts)]
+    """``flat[s : s + n]`` of every (s, n), one after another; in blocks, so that places take little room."""
+    ends = np.cumsum(counts, dtype=np.int64)
+    shifts = starts - ends + counts
+    out = np.empty(int(ends[-1]) if len(ends) else 0, flat.dtype)
+    i, begin = 0, 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, begin + _BLOCK, "right")))
+        end = int(ends[j - 1])
+        if j == i + 1:  # maybe longer than a block
+            out[begin:end] = flat[begin + int(shifts[i]) : end + int(shifts[i])]
+        else:
+            out[begin:end] = flat[np.arange(begin, end) + np.repeat(shifts[i:j], counts[i:j])]
+        i, begin = j, end
+    return out
 
 
 def _byte_values(lower: bool) -> np.ndarray:

@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -350,6 +352,19 @@ def test_pieces_are_the_tokenizers_ids(spark):
         assert whole[k] == tokenizer.encode(text, add_special_tokens=False).ids + [1]
 
 
+def test_encoding_takes_little_room_beside_the_texts():
+    words = [f"w{k} k{k * 7} " for k in range(3000)]
+    texts = pa.array([" ".join(words[k : k + 1500]) for k in range(0, 1500, 5)])  # 4 MB
+    encoder = P.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    assert texts.nbytes > 4 << 20 and sum(len(bounds) - 1 for _, bounds in encoder.texts(texts)) == len(texts)
+    tracemalloc.start()
+    for _ in encoder.texts(texts):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20, peak
+
+
 def check_packing(rows, capacity):
     bins = defaultdict(list)
     for r in rows:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -48,3 +49,18 @@ def test_sliced_and_empty_columns():
     part = next(W.chunks(column))
     assert W.find_words(part, W.SPACED).counts.tolist() == [2, 0]
     assert list(W.chunks(pa.array([], pa.string()))) == []
+
+
+def test_gathering_of_any_runs_takes_room_for_the_result_only():
+    rng = np.random.default_rng(3)
+    flat = rng.integers(0, 256, 1 << 20, dtype=np.uint8)
+    counts = rng.integers(0, 9, 1_500_000)
+    counts[[0, 7, -1]] = 0, 600_000, 0
+    starts = rng.integers(0, len(flat) - 600_000, len(counts))
+    tracemalloc.start()
+    found = W.gather(flat, starts, counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.tobytes() == b"".join(flat[s : s + n].tobytes() for s, n in zip(starts.tolist(), counts.tolist(), strict=True))
+    assert peak < 64 << 20, peak  # two numbers a run and the result
+    assert not len(W.gather(flat, starts[:0], counts[:0])) and not len(W.gather(flat, starts[:1], counts[:1]))
