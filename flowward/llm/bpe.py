@@ -3,7 +3,8 @@
 Texts are cut where the tokenizer can neither join nor look across, the distinct words are counted and each is
 encoded once; an id-to-piece join decodes them once. Ids and decoded texts come back by position: the most
 frequent words form a table of bounded size that all tasks hold, so that a text becomes a sequence of small
-numbers where it is read; all other words of a text are joined to the table of distinct words.
+numbers where it is read; all other words of a text are joined to the table of distinct words. Texts are read once
+more to be put together, so that their numbers are shuffled, but never written.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from flowward.llm.words import SPACED, Texts, Words, chunks, cut_before, gather,
 #: Bound of the table that tasks hold: words, and bytes of one word. At most 170 MB, commonly 35 MB.
 HOT_WORDS = 1 << 20
 HOT_BYTES = 48
-#: Word occurrences put together at a time.
-RUN = 1 << 19
+#: Bytes of texts cut at a time, and word occurrences put together at a time.
+RUN_BYTES = 1 << 20
+RUN = 1 << 17
 
 SPACE = ~SPACED
 ZSTD = pa.Codec("zstd", compression_level=1)
@@ -168,9 +170,13 @@ def word_table(docs: DataFrame, scratch: Scratch, tokenizer: str, text_col: str
     """
     counted = distinct_words(docs, text_col)
     encoded = counted.mapInArrow(_encode_words(tokenizer), "word string, n long, ids array<int>")
+    # written in between: a task that encodes and decodes has two Python workers, which stay beside those of later stages
+    encoded = scratch.cut(encoded, compression="zstd")
     other = F.when(F.col("decoded") != F.col("word"), F.col("decoded"))
     table = decode_ids(encoded, "ids", tokenizer).select("word", "n", "ids", other.alias("other"))
-    return scratch.cut(table, compression="zstd")
+    table = scratch.cut(table, compression="zstd")
+    scratch.drop(encoded)
+    return table
 
 
 # ---- the words that tasks hold ---------------------------------------------------------------------------------
@@ -244,38 +250,57 @@ def _flat_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _coded(hot: HotWords, texts: Texts) -> tuple[Words, np.ndarray, pa.Array, list[int]]:
+    """Words and their numbers; then each text's words that tasks do not hold, each once, and how many these are.
+
+    Their order and their numbers, from ``size`` on, follow from the text alone.
+    """
+    words = cut_before(texts, SPACE)
+    distinct, first, inverse = np.unique(word_hashes(texts, words, lower=False), return_index=True, return_inverse=True)
+    codes = hot.find(distinct)[inverse]
+    cold = np.flatnonzero(codes == hot.size)
+    bounds = np.searchsorted(cold, words.bounds)
+    rest, n_rest = [np.zeros(0, np.int64)], []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        n_rest.append(0)
+        if b > a:
+            kinds, local = np.unique(inverse[cold[a:b]], return_inverse=True)
+            codes[cold[a:b]] = hot.size + local
+            rest.append(first[kinds])
+            n_rest[-1] = len(kinds)
+    rare = word_texts(texts, words).take(pa.array(np.concatenate(rest))).cast(pa.string())
+    return words, codes, rare, n_rest
+
+
+def _rare_words(shared) -> Callable:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot: HotWords = shared.value
+        for batch in batches:
+            for texts in chunks(batch.column(2), RUN_BYTES):
+                _, _, rare, n_rest = _coded(hot, texts)
+                rows = pa.array(np.repeat(np.arange(texts.first, texts.last), n_rest))
+                place = np.arange(len(rare)) - np.repeat(np.cumsum(n_rest) - n_rest, n_rest)
+                arrays = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place.astype(np.int32)), rare]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "hash", "k", "word"])
+
+    return apply
+
+
 def _to_codes(shared) -> Callable:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot: HotWords = shared.value
         for batch in batches:
-            for texts in chunks(batch.column(1)):
-                words = cut_before(texts, SPACE)
-                distinct, first, inverse = np.unique(
-                    word_hashes(texts, words, lower=False), return_index=True, return_inverse=True
-                )
-                codes = hot.find(distinct)[inverse]
-                out, rest, n_rest = [], [], []
-                cold = np.flatnonzero(codes == hot.size)
-                bounds = np.searchsorted(cold, words.bounds)
-                for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                    mine = codes[words.bounds[k] : words.bounds[k + 1]]
-                    n_rest.append(0)
-                    if b > a:  # words of this text that tasks do not hold, each once
-                        kinds, local = np.unique(inverse[cold[a:b]], return_inverse=True)
-                        mine[cold[a:b] - words.bounds[k]] = hot.size + local
-                        rest.append(first[kinds])
-                        n_rest[-1] = len(kinds)
-                    out.append(_packed(mine))
-                where = np.concatenate(rest) if rest else np.zeros(0, np.int64)
-                rare = word_texts(texts, words).take(pa.array(where)).cast(pa.string())
+            for texts in chunks(batch.column(3), RUN_BYTES):
+                words, codes, rare, n_rest = _coded(hot, texts)
+                out = [_packed(codes[a:b]) for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True)]
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n_rest)]).astype(np.int32))
                 arrays = [
-                    batch.column(0).slice(texts.first, texts.last - texts.first),
+                    *batch.slice(texts.first, texts.last - texts.first).columns[:3],
                     pa.array(words.counts.astype(np.int32)),
                     pa.array(out, pa.binary()),
                     pa.ListArray.from_arrays(offsets, rare),
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "codes", "rare"])
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "id", "hash", "n_words", "codes", "rare"])
 
     return apply
 
@@ -318,6 +343,8 @@ def _texts_of(hot: HotWords, rows: pa.RecordBatch) -> pa.RecordBatch:
     # the joined words of each text stand behind the shared ones
     joined = rows.column("joined")
     held = np.diff(_list_bounds(joined))
+    if not np.array_equal(held, np.diff(_list_bounds(rows.column("rare")))):
+        raise ValueError("The texts are not the same each time they are read")
     rare = joined.flatten()
     order = np.lexsort((rare.field("k").to_numpy(), np.repeat(np.arange(len(held)), held)))
     rare = rare.take(pa.array(order))
@@ -325,15 +352,19 @@ def _texts_of(hot: HotWords, rows: pa.RecordBatch) -> pa.RecordBatch:
     base = np.cumsum(held) - held
     codes += np.where(codes >= hot.size, np.repeat(base, n_words), 0)
 
-    def all_of(shared: np.ndarray, shared_bounds: np.ndarray, own: np.ndarray, own_bounds: np.ndarray):
-        flat = np.concatenate([shared, own])
-        starts = np.concatenate([shared_bounds[:-1], own_bounds[:-1] + len(shared)])
-        sizes = np.concatenate([np.diff(shared_bounds), np.diff(own_bounds)])
-        bounds = np.concatenate([[0], np.cumsum(sizes[codes])])[word_bounds]
-        return gather(flat, starts[codes], sizes[codes]), bounds
+    used, which = np.unique(codes, return_inverse=True)
+    shared, own = used[used < hot.size], used[used >= hot.size] - hot.size
+
+    def all_of(side: int, known: np.ndarray, flat: np.ndarray, bounds: np.ndarray):
+        sizes = [hot.sizes[side][shared].astype(np.int64), np.diff(bounds)[own]]
+        flat = np.concatenate([gather(known, hot.bounds[side][shared], sizes[0]), gather(flat, bounds[own], sizes[1])])
+        sizes = np.concatenate(sizes)
+        starts = np.cumsum(sizes) - sizes
+        ends = np.concatenate([[0], np.cumsum(sizes[which])])[word_bounds]
+        return gather(flat, starts[which], sizes[which]), ends
 
-    ids, id_bounds = all_of(hot.ids, hot.bounds[0], *_flat_lists(rare.field("ids")))
-    text, text_bounds = all_of(hot.text, hot.bounds[1], *_flat_bytes(words))
+    ids, id_bounds = all_of(0, hot.ids, *_flat_lists(rare.field("ids")))
+    text, text_bounds = all_of(1, hot.text, *_flat_bytes(words))
     texts = pa.LargeStringArray.from_buffers(len(held), pa.py_buffer(text_bounds.astype(np.int64)), pa.py_buffer(text))
     lists = pa.ListArray.from_arrays(pa.array(id_bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
     return pa.RecordBatch.from_arrays([rows.column("doc_id"), lists, texts.cast(pa.string())], ["doc_id", "ids", "decoded"])
@@ -355,8 +386,8 @@ def encode_documents(
     """(doc_id, ids, decoded) of every text, one row per input row.
 
     ``ids`` is what the tokenizer file gives for the whole text without adding special tokens; where a special
-    token's text stands in it, that is one id. ``decoded`` is the text of the ids, special tokens included. Null and
-    empty texts have no ids and decode to the empty text. Repeated rows are encoded each, a null id stays null, other
+    token's text stands in it, that is one id. ``decoded`` is the text of the ids, special tokens included. The table is
+    read three times: its texts have to stay the same, their order and partitions need not. Null and empty texts have no ids and decode to the empty text. Repeated rows are encoded each, a null id stays null, other
     columns are not read, an empty table stays empty. A text without white space is one word, however long.
     """
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
@@ -367,13 +398,16 @@ def encode_documents(
     small = F.octet_length("word") <= HOT_BYTES
     hot = most_frequent(table, hot_words, small).select("word", "n", "ids", "other")
     shared = spark.sparkContext.broadcast(HotWords(hot.toArrow()))
-    coded = narrow.mapInArrow(_to_codes(shared), "doc_id long, n_words int, codes binary, rare array<string>")
-    coded = scratch.cut(coded.withColumn("row", F.monotonically_increasing_id()), compression="zstd")
-    rare = coded.select("row", F.posexplode("rare").alias("k", "word")).join(table.drop("n"), "word")
-    rare = scratch.cut(rare.select("row", "k", "ids", "other"), compression="zstd")
+    # rows are known by id and text, not by place: another reading may deal them otherwise
+    key = [F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("hash")]
+    rare = narrow.select(*key, "text").mapInArrow(_rare_words(shared), "id long, hash long, k int, word string")
+    rare = rare.join(table.drop("n"), "word").select("id", "hash", "k", "ids", "other")
+    rare = scratch.cut(rare, compression="zstd")
     scratch.drop(table)
-    joined = rare.groupBy("row").agg(F.collect_list(F.struct("k", "ids", "other")).alias("joined"))
-    whole = coded.join(joined, "row", "left").drop("row")
+    joined = rare.groupBy("id", "hash").agg(F.collect_set(F.struct("k", "ids", "other")).alias("joined"))
+    kinds = "doc_id long, id long, hash long, n_words int, codes binary, rare array<string>"
+    coded = narrow.select("doc_id", *key, "text").mapInArrow(_to_codes(shared), kinds)
+    whole = coded.join(joined, ["id", "hash"], "left").drop("id", "hash")
     return whole.mapInArrow(_put_together(shared), "doc_id long, ids array<int>, decoded string")
 
 

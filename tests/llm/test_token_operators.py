@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
@@ -10,6 +11,7 @@ P = pytest.importorskip("public_tokenizers")
 import sentencepiece  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
+from flowward.llm import bpe  # noqa: E402
 from flowward.llm.alignment import align_tokens, alignment_digests, pair_counts  # noqa: E402
 from flowward.llm.bpe import decode_ids, encode_documents, encoded_digests, piece_bytes  # noqa: E402
 from llm.helpers import documents  # noqa: E402
@@ -43,6 +45,32 @@ def test_encoding_keeps_rows_without_ids_and_repeated_ones(spark):
     assert encoded_digests(documents(spark, ["a"]).where("doc_id < 0")).count() == 0
 
 
+def test_repeated_rows_of_words_that_tasks_do_not_hold(spark, byte_bpe):
+    given = [(None, "q rr q"), (None, "q rr q"), (0, "q rr q"), (None, "sss"), *[(4, "rr  t")] * 300, (4, "t q")]
+    found = encode_documents(documents(spark, given).repartition(5), hot_words=0).collect()
+    wanted = Counter((k, *byte_bpe.encode(t, add_special_tokens=False).ids) for k, t in given)
+    assert Counter((r["doc_id"], *r["ids"]) for r in found) == wanted
+    assert sum(r["decoded"] == "rr  t" for r in found) == 300
+
+
+def test_encoding_writes_no_table_of_the_texts(spark, monkeypatch):
+    written, cut = [], bpe.Scratch.cut
+    monkeypatch.setattr(bpe.Scratch, "cut", lambda self, df, **options: written.append(df.columns) or cut(self, df, **options))
+    assert encode_documents(documents(spark, ODD), hot_words=3).count() == len(ODD)
+    assert written and not any({"codes", "text", "decoded"} & set(columns) for columns in written)
+
+
+def test_encoding_refuses_texts_that_change_between_readings():
+    hot = bpe.HotWords(pa.table({"word": ["a"], "n": [1], "ids": [[64]], "other": pa.array([None], pa.string())}))
+    kind = pa.list_(pa.struct({"k": pa.int32(), "ids": pa.list_(pa.int32()), "other": pa.string()}))
+    rows = pa.record_batch({
+        "doc_id": [1], "n_words": [2], "codes": [bpe._packed(bpe.np.array([0, 1]))], "rare": [[" b"]],
+        "joined": pa.array([None], kind),
+    })
+    with pytest.raises(ValueError, match="not the same"):
+        bpe._texts_of(hot, rows)
+
+
 def test_decoding_of_any_ids(spark, byte_bpe):
     lists = [[50256, 64], [], None, [163], [163, 64], [99_999, 64], [64] * 5000]
     table = spark.createDataFrame(list(enumerate(lists)), "k long, ids array<int>")
@@ -99,6 +127,11 @@ def test_alignment_follows_the_bytes(spark, hot_pairs):
     assert {r["doc_id"]: tuple(r)[1:] for r in rows} == dict(enumerate(wanted)) and len(rows) == len(ODD)
 
 
+def test_no_expression_is_evaluated_on_each_group(spark, capsys):
+    alignment_digests(documents(spark, ["hello world"])).explain(True)
+    assert "lambda" not in capsys.readouterr().out
+
+
 def test_alignment_gives_ids_groups_and_pairs(spark, byte_bpe):
     row = align_tokens(documents(spark, ["hello world hello"])).collect()[0]
     ids = byte_bpe.encode(" hello world hello", add_special_tokens=False).ids
