@@ -292,32 +292,40 @@ def _to_codes(shared) -> Callable:
         for batch in batches:
             for texts in chunks(batch.column(3), RUN_BYTES):
                 words, codes, rare, n_rest = _coded(hot, texts)
-                out = [_packed(codes[a:b]) for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True)]
-                offsets = pa.array(np.concatenate([[0], np.cumsum(n_rest)]).astype(np.int32))
+                data, ends = _flat_bytes(rare)
+                upto = np.concatenate([[0], np.cumsum(n_rest)]).astype(np.int64)
+                sizes, n_bytes = np.diff(ends), np.diff(ends[upto])
+                bounds = zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), upto[:-1].tolist(), upto[1:].tolist(), strict=True)
+                out = [_packed(codes[a:b], sizes[c:d], data[ends[c] : ends[d]]) for a, b, c, d in bounds]
                 arrays = [
                     *batch.slice(texts.first, texts.last - texts.first).columns[:3],
                     pa.array(words.counts.astype(np.int32)),
+                    pa.array(n_rest, pa.int32()),
+                    pa.array(n_bytes.astype(np.int32)),
                     pa.array(out, pa.binary()),
-                    pa.ListArray.from_arrays(offsets, rare),
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "id", "hash", "n_words", "codes", "rare"])
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "id", "hash", "n_words", "n_rare", "n_bytes", "codes"])
 
     return apply
 
 
-def _packed(codes: np.ndarray) -> bytes:
-    """The lowest bytes of all codes, then the second ones and so on, compressed."""
-    if not len(codes):
-        return b""
-    planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return ZSTD.compress(planes.tobytes(), asbytes=True)
+def _planes(numbers: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers, then the second ones and so on."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def _unpacked(raw: bytes, n: int) -> np.ndarray:
+def _packed(codes: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> bytes:
+    """The numbers of a text's words, and its own words by their sizes and bytes, compressed."""
+    return ZSTD.compress(_planes(codes) + _planes(sizes) + data.tobytes(), asbytes=True) if len(codes) else b""
+
+
+def _unpacked(raw: bytes, n: int, n_rare: int, n_bytes: int) -> list[np.ndarray]:
     if not n:
-        return np.zeros(0, np.int64)
-    planes = np.frombuffer(ZSTD.decompress(raw, 4 * n, asbytes=True), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+        return [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)]
+    data = np.frombuffer(ZSTD.decompress(raw, 4 * (n + n_rare) + n_bytes, asbytes=True), np.uint8)
+    planes = [data[: 4 * n], data[4 * n : 4 * (n + n_rare)]]
+    numbers = [np.ascontiguousarray(x.reshape(4, -1).T).view("<u4").ravel().astype(np.int64) for x in planes]
+    return [*numbers, data[4 * (n + n_rare) :]]
 
 
 def _put_together(shared) -> Callable:
@@ -337,18 +345,21 @@ def _put_together(shared) -> Callable:
 
 def _texts_of(hot: HotWords, rows: pa.RecordBatch) -> pa.RecordBatch:
     n_words = rows.column("n_words").to_numpy().astype(np.int64)
-    codes = [_unpacked(raw.as_py(), n) for raw, n in zip(rows.column("codes"), n_words.tolist(), strict=True)]
-    codes = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+    n_rare = rows.column("n_rare").to_numpy()
+    given = zip(rows.column("codes").to_pylist(), n_words.tolist(), n_rare.tolist(), rows.column("n_bytes").to_pylist(), strict=True)
+    codes, sizes, data = (np.concatenate(x) for x in zip(*(_unpacked(*g) for g in given), strict=True))
     word_bounds = np.concatenate([[0], np.cumsum(n_words)])
     # the joined words of each text stand behind the shared ones
     joined = rows.column("joined")
     held = np.diff(_list_bounds(joined))
-    if not np.array_equal(held, np.diff(_list_bounds(rows.column("rare")))):
+    if not np.array_equal(held, n_rare):
         raise ValueError("The texts are not the same each time they are read")
     rare = joined.flatten()
     order = np.lexsort((rare.field("k").to_numpy(), np.repeat(np.arange(len(held)), held)))
     rare = rare.take(pa.array(order))
-    words = pa.compute.coalesce(rare.field("other"), rows.column("rare").flatten())
+    offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+    words = pa.LargeStringArray.from_buffers(len(sizes), offsets, pa.py_buffer(data))
+    words = pa.compute.coalesce(rare.field("other").cast(pa.large_string()), words)
     base = np.cumsum(held) - held
     codes += np.where(codes >= hot.size, np.repeat(base, n_words), 0)
 
@@ -405,7 +416,7 @@ def encode_documents(
     rare = scratch.cut(rare, compression="zstd")
     scratch.drop(table)
     joined = rare.groupBy("id", "hash").agg(F.collect_set(F.struct("k", "ids", "other")).alias("joined"))
-    kinds = "doc_id long, id long, hash long, n_words int, codes binary, rare array<string>"
+    kinds = "doc_id long, id long, hash long, n_words int, n_rare int, n_bytes int, codes binary"
     coded = narrow.select("doc_id", *key, "text").mapInArrow(_to_codes(shared), kinds)
     whole = coded.join(joined, ["id", "hash"], "left").drop("id", "hash")
     return whole.mapInArrow(_put_together(shared), "doc_id long, ids array<int>, decoded string")

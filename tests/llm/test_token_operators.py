@@ -64,7 +64,8 @@ def test_encoding_refuses_texts_that_change_between_readings():
     hot = bpe.HotWords(pa.table({"word": ["a"], "n": [1], "ids": [[64]], "other": pa.array([None], pa.string())}))
     kind = pa.list_(pa.struct({"k": pa.int32(), "ids": pa.list_(pa.int32()), "other": pa.string()}))
     rows = pa.record_batch({
-        "doc_id": [1], "n_words": [2], "codes": [bpe._packed(bpe.np.array([0, 1]))], "rare": [[" b"]],
+        "doc_id": [1], "n_words": [2], "n_rare": [1], "n_bytes": [2],
+        "codes": [bpe._packed(bpe.np.array([0, 1]), bpe.np.array([2]), bpe.np.frombuffer(b" b", "u1"))],
         "joined": pa.array([None], kind),
     })
     with pytest.raises(ValueError, match="not the same"):
