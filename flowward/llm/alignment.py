@@ -227,8 +227,10 @@ def alignment_digests(
     pair is the most frequent one of its first id. Texts without tokens have zeros and an empty digest.
     """
     scratch = Scratch(docs.sparkSession, "alignment")
-    side = lambda ids: F.array_join(ids.cast("array<string>"), ",")
-    listed = F.array_join(F.transform("groups", lambda g: F.concat_ws("|", side(g["a"]), side(g["b"]))), ";")
+    # Spark writes [{"a":[1,2],"b":[3]},{"a":[4],"b":[5]}] in one go; an expression evaluated on each group takes twice as long
+    listed = F.to_json("groups")
+    for written, sign in ((']},{"a":[', ";"), ('],"b":[', "|"), ('[{"a":[', ""), ("]}]", "")):
+        listed = F.replace(listed, F.lit(written), F.lit(sign))
     narrow = align_tokens(docs, a, b).select(
         "doc_id",
         "n_a",
