@@ -200,19 +200,38 @@ def most_frequent(table: DataFrame, limit: int, fits=None, count: str = "n") ->
 
 
 class HotWords:
-    """The most frequent words, numbered by frequency: their hashes, ids and decoded bytes."""
+    """The most frequent words, numbered by frequency: their hashes, ids and decoded bytes.
+
+    Every executor keeps what it is sent on its disk, too: that is compressed, and without what follows from the words.
+    """
 
     def __init__(self, rows: pa.Table):
         rows = rows.sort_by([("n", "descending"), ("word", "ascending")]).combine_chunks()
-        n = len(rows)
-        data, bounds = _flat_bytes(rows.column("word"))
-        hashes = word_hashes(Texts(0, n, data, bounds), Words(bounds[:-1], bounds[1:], np.arange(n + 1)), lower=False)
-        order = np.argsort(hashes)
-        self.size, self.hashes, self.codes = n, hashes[order], order.astype(np.uint32)
+        other = rows.column("other")
         ids, id_bounds = _flat_lists(rows.column("ids"))
-        self.text, text_bounds = _flat_bytes(pa.compute.coalesce(rows.column("other"), rows.column("word")))
-        self.ids = ids.astype(np.min_scalar_type(ids.max(initial=0)))  # sent to every executor: as narrow as it goes
+        self.text, text_bounds = _flat_bytes(pa.compute.coalesce(other, rows.column("word")))
+        self.ids = ids.astype(np.min_scalar_type(ids.max(initial=0)))
         self.sizes = [np.diff(b).astype(np.uint16) for b in (id_bounds, text_bounds)]
+        # words that do not decode to themselves, and their hashes
+        self.changed = np.flatnonzero(pa.compute.is_valid(other).to_numpy())
+        self.changed_hashes = _row_hashes(*_flat_bytes(rows.column("word").take(pa.array(self.changed))))
+        self._number()
+
+    def _number(self) -> None:
+        hashes = _row_hashes(self.text, np.concatenate([[0], np.cumsum(self.sizes[1], dtype=np.int64)]))
+        hashes[self.changed] = self.changed_hashes
+        order = np.argsort(hashes)
+        self.size, self.hashes, self.codes = len(hashes), hashes[order], order.astype(np.uint32)
+
+    def __getstate__(self) -> list[tuple[str, int, bytes]]:
+        arrays = (self.text, self.ids, *self.sizes, self.changed, self.changed_hashes)
+        return [(a.dtype.str, len(a), ZSTD.compress(a.tobytes(), asbytes=True)) for a in arrays]
+
+    def __setstate__(self, state: list[tuple[str, int, bytes]]) -> None:
+        raw = [(np.dtype(kind), n, data) for kind, n, data in state]
+        arrays = [np.frombuffer(ZSTD.decompress(data, n * kind.itemsize, asbytes=True), kind) for kind, n, data in raw]
+        self.text, self.ids, *self.sizes, self.changed, self.changed_hashes = arrays
+        self._number()
 
     @functools.cached_property
     def bounds(self) -> list[np.ndarray]:
@@ -227,6 +246,12 @@ class HotWords:
         return np.where(self.hashes[at] == hashes, self.codes[at], np.uint32(self.size))
 
 
+def _row_hashes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The hash of each row's bytes as one word."""
+    n = len(bounds) - 1
+    return word_hashes(Texts(0, n, data, bounds), Words(bounds[:-1], bounds[1:], np.arange(n + 1)), lower=False)
+
+
 def _flat_lists(column) -> tuple[np.ndarray, np.ndarray]:
     """(all values, bounds by row) of a column of lists."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,6 +1,7 @@
 """Byte-level BPE and token alignment against the tokenizer libraries, word by word and text by text."""
 
 import hashlib
+import pickle
 from collections import Counter
 
 import pyarrow as pa
@@ -72,6 +73,23 @@ def test_encoding_refuses_texts_that_change_between_readings():
         bpe._texts_of(hot, rows)
 
 
+def test_words_that_tasks_hold_are_sent_without_what_follows_from_them():
+    n = 50_000
+    words, ids = [f" w{i:x}" for i in range(n)], [[i % 50_000, i % 97] for i in range(n)]
+    other = [{5: "", 7: " longer \ufffd"}.get(i) for i in range(n)]
+    rows = {"word": words, "n": range(n, 0, -1), "ids": pa.array(ids, pa.list_(pa.int32())), "other": pa.array(other, pa.string())}
+    hot = bpe.HotWords(pa.table({k: pa.array(v) for k, v in rows.items()}))
+    sent = pickle.dumps(hot)
+    assert len(sent) < 10 * n  # hashes and numbers alone take 12 bytes a word
+    got = pickle.loads(sent)
+    hashes = bpe._row_hashes(*bpe._flat_bytes(pa.array([*words, "absent", ""])))
+    assert got.find(hashes).tolist() == [*range(n), n, n] == hot.find(hashes).tolist()
+    (id_bounds, text_bounds), text = got.bounds, got.text.tobytes()
+    for i in (0, 4, 5, 6, 7, 8, n - 1):
+        assert got.ids[id_bounds[i] : id_bounds[i + 1]].tolist() == ids[i]
+        assert text[text_bounds[i] : text_bounds[i + 1]].decode() == (words[i] if other[i] is None else other[i])
+
+
 def test_decoding_of_any_ids(spark, byte_bpe):
     lists = [[50256, 64], [], None, [163], [163, 64], [99_999, 64], [64] * 5000]
     table = spark.createDataFrame(list(enumerate(lists)), "k long, ids array<int>")
