@@ -1,6 +1,8 @@
 """Training, scaling, encoding and bundles on generated flows."""
 
+import numpy as np
 import pytest
+from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.sql import functions as F
 
 from flowward.ml.bundle import load_bundle, save_bundle
@@ -8,7 +10,9 @@ from flowward.ml.encoding import encode, encode_target, fit_encoder
 from flowward.ml.pipelines import train_attack_classifier, train_threat_detector
 from flowward.ml.scaling import fit_robust, fit_standard, scale
 from flowward.ml.scorers import ProfileScorer, score_attack, score_threat, soft_vote
+from flowward.ml.network import add_gradient, unrolled
 from flowward.ml.selection import drop_correlated
+from flowward.ml.training import train_mlp
 from flowward.profiles import ATTACK_FEATURES, THREAT_LEGACY, FeatureProfile
 from flowward.sources.generators import gen_attack, gen_threat
 
@@ -106,3 +110,30 @@ def test_python_models_and_votes(spark):
     assert [r["is_attack"] for r in voted] == [False, True]
     with pytest.raises(ValueError, match="Missing required features"):
         ProfileScorer(THREAT_LEGACY, lambda f: f["count"]).transform(df)
+
+
+def test_network_is_fitted_without_mllibs_passes(spark, tmp_path, monkeypatch):
+    df = spark.range(800).select(
+        (F.col("id") % 40 / 20 - 1).alias("x"), (F.floor(F.col("id") / 40) / 10 - 1).alias("y")
+    ).withColumn("label", (F.col("x") * F.col("y") > 0).cast("double"))
+    seen, fit = [], MultilayerPerceptronClassifier._fit
+    monkeypatch.setattr(MultilayerPerceptronClassifier, "_fit", lambda self, rows: seen.append(rows.count()) or fit(self, rows))
+    model = train_mlp(df.union(df.limit(1).withColumn("x", F.lit(None))), ["x", "y"], hidden=(12, 6), epochs=100)
+    assert max(seen) == 1
+    assert model.transform(df).where("prediction <> label").count() < 40
+    network = model.stages[-1]
+    network.save(str(tmp_path / "n"))
+    loaded = MultilayerPerceptronClassificationModel.load(str(tmp_path / "n"))
+    assert loaded.weights == network.weights and loaded.getMaxIter() == 100
+    with pytest.raises(Exception, match="Labels must be whole numbers from 0 to 1"):
+        train_mlp(df.withColumn("label", F.lit(2.0)), ["x", "y"], hidden=(2,), epochs=1)
+
+
+def test_network_gradient_is_that_of_its_loss():
+    layers, draws = (3, 5, 4, 2), np.random.default_rng(1)
+    weights, x, y = draws.normal(size=54), draws.normal(size=(20, 3)), draws.integers(0, 2, 20)
+    loss = lambda w: add_gradient(unrolled(w, layers), x, y, unrolled(np.zeros(54), layers))
+    gradient = np.zeros(54)
+    add_gradient(unrolled(weights, layers), x, y, unrolled(gradient, layers))
+    apart = [(loss(weights + e) - loss(weights - e)) / 2e-6 for e in np.eye(54) * 1e-6]
+    assert np.allclose(gradient, apart, atol=1e-6)
