@@ -2,9 +2,14 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
+from pyspark.ml.classification import (
+    MultilayerPerceptronClassificationModel,
+    MultilayerPerceptronClassifier,
+    RandomForestClassifier,
+)
 from pyspark.sql import functions as F
 
+from flowward.ml import forest as forests
 from flowward.ml.bundle import load_bundle, save_bundle
 from flowward.ml.encoding import encode, encode_target, fit_encoder
 from flowward.ml.pipelines import train_attack_classifier, train_threat_detector
@@ -12,7 +17,7 @@ from flowward.ml.scaling import fit_robust, fit_standard, scale
 from flowward.ml.scorers import ProfileScorer, score_attack, score_threat, soft_vote
 from flowward.ml.network import add_gradient, unrolled
 from flowward.ml.selection import drop_correlated
-from flowward.ml.training import train_mlp
+from flowward.ml.training import train_forest, train_mlp
 from flowward.profiles import ATTACK_FEATURES, THREAT_LEGACY, FeatureProfile
 from flowward.sources.generators import gen_attack, gen_threat
 
@@ -137,3 +142,49 @@ def test_network_gradient_is_that_of_its_loss():
     add_gradient(unrolled(weights, layers), x, y, unrolled(gradient, layers))
     apart = [(loss(weights + e) - loss(weights - e)) / 2e-6 for e in np.eye(54) * 1e-6]
     assert np.allclose(gradient, apart, atol=1e-6)
+
+
+def _ported(spark, n=3000):
+    """Rows of three classes: a word-like column of few values, a wide one, one that says nothing."""
+    rows = spark.range(n).select(
+        (F.col("id") % 5).cast("double").alias("few"), (F.col("id") * 7919 % 3001).cast("double").alias("wide"), (F.col("id") % 11).alias("none")
+    )
+    return rows.withColumn("label", F.when(F.col("few") == 3, 2).when(F.col("wide") > 1500, 1).otherwise(0).cast("double"))
+
+
+def test_forest_is_fitted_without_mllibs_passes(spark, monkeypatch):
+    df, names = _ported(spark), ["few", "wide", "none"]
+    seen, fit = [], RandomForestClassifier._fit
+    monkeypatch.setattr(RandomForestClassifier, "_fit", lambda self, rows: seen.append(rows.count()) or fit(self, rows))
+    model = train_forest(df.union(df.limit(1).withColumn("wide", F.lit(float("nan")))), names, trees=20, depth=6)
+    assert max(seen) == 3  # one row a class, for the model's form
+    forest = model.stages[-1]
+    assert forest.getNumTrees == 20 and forest.numClasses == 3 and forest.featureImportances[2] < 0.1
+    assert model.transform(df).where("prediction <> label").count() < 60
+    assert train_forest(df, names, trees=20, depth=6).stages[-1].toDebugString.split("\n")[1:] == forest.toDebugString.split("\n")[1:]
+    with pytest.raises(Exception, match="labels must be whole numbers"):
+        train_forest(df.withColumn("label", F.lit(0.5)), names, trees=2, depth=2)
+
+
+def test_forest_in_parts_is_the_same_forest(spark, monkeypatch):
+    df, names = _ported(spark, 500), ["few", "wide", "none"]
+    told = lambda: train_forest(df, names, trees=3, depth=7).stages[-1].toDebugString.split("\n")[1:]
+    whole = told()
+    monkeypatch.setattr(forests, "NODES", 1)
+    monkeypatch.setattr(forests, "CELLS", 4 * 2 * 32 * 3)
+    assert told() == whole
+
+
+def test_best_split_of_a_node():
+    counts = np.zeros((2, 2, 4, 2), int)
+    counts[0, 0] = [[3, 1], [2, 2], [1, 3], [0, 0]]
+    counts[0, 1] = [[6, 0], [0, 6], [0, 0], [0, 0]]
+    counts[1] = [[0, 0], [4, 4], [0, 0], [0, 0]]
+    first, second = forests.best_splits(counts, np.array([[5, 9], [5, 9]])).tolist()
+    assert first == [0.5, 9, 0, 6, 0, 0, 6] and second[1:3] == [-1, -1]
+
+
+def test_threat_recipe_scores_its_test_rows_once(spark):
+    _, results = train_threat_detector(gen_threat(spark, 200, 50), k=9, trees=2, depth=3, rfe_trees=2)
+    for name in ("accuracy", "report", "confusion", "roc", "auc"):
+        assert "UDF" not in results[name]._jdf.queryExecution().analyzed().toString()
